@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import binary_ids, pii
+from tessera.llm import binary_ids, piece_dropout, pii, quality, toxicity
 from tessera.llm.common import table
 
 #: Where the public vocabulary files are; a path of one's own may be given to the operators.
@@ -19,6 +20,21 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    index = toxicity.train(docs, labels)
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), index).drop("text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "evidence")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.score_quality(docs.select("doc_id", "text"), quality.train(docs, labels)).drop("text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
@@ -28,4 +44,8 @@ def op8_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_ids.encode_documents(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_pii, op8_binary_ids)}
+def op9_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_dropout.encode_pieces(table(spark, sf_dir, "documents"), vocabulary(PIECE_BPE), rate=0.1, seed=0, with_ids=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_toxicity, op5_quality, op6_pii, op8_binary_ids, op9_piece_dropout)}
