@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import binary_ids, piece_dropout, pii, quality, toxicity
+from tessera.llm import binary_ids, jaccard, piece_dropout, pii, quality, toxicity
 from tessera.llm.common import table
 
 #: Where the public vocabulary files are; a path of one's own may be given to the operators.
@@ -48,4 +48,8 @@ def op9_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_dropout.encode_pieces(table(spark, sf_dir, "documents"), vocabulary(PIECE_BPE), rate=0.1, seed=0, with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_toxicity, op5_quality, op6_pii, op8_binary_ids, op9_piece_dropout)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_toxicity, op5_quality, op6_pii, op8_binary_ids, op9_piece_dropout, op10_jaccard_join)}
