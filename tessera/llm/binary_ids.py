@@ -18,6 +18,7 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,21 @@ HEADER = struct.Struct("<4sIQQQQ")
 MAGIC, VERSION = b"TS8B", 1
 
 
+#: The bits of every 16-bit number.
+_SHORT = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
+
+
+def bit_lengths(values: np.ndarray) -> np.ndarray:
+    """The bits of unsigned 64-bit numbers."""
+    if not len(values) or int(values.max()) < 1 << 16:
+        return _SHORT[values.astype(np.uint16)]
+    out = np.zeros(len(values), np.uint8)
+    for shift in (0, 16, 32, 48):
+        part = ((values >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
+        out = np.where(part > 0, _SHORT[part] + np.uint8(shift), out)
+    return out
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, first word of each block) of unsigned ids.
 
@@ -49,13 +65,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     padded = np.zeros(blocks * BLOCK + 60, np.uint64)
     padded[:n] = ids
-    length = np.zeros(len(padded), np.uint8)
-    rest = padded.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        more = rest >= np.uint64(1 << step)
-        length += (more * step).astype(np.uint8)
-        rest = np.where(more, rest >> np.uint64(step), rest)
-    length += (rest > 0).astype(np.uint8)
+    length = bit_lengths(padded)
     # best[i]: the selector of a word that starts at i. Places beyond the end count as 0 bits, and a block's end cuts the word.
     best = np.full(len(padded), ESCAPE, np.uint8)
     top = length[: blocks * BLOCK].copy()
@@ -187,16 +197,16 @@ def read_shard(filesystem: fs.FileSystem, path: str) -> Iterator[tuple[np.ndarra
 class _Chunks(dict):
     """The ids of each chunk of text, as bytes. A chunk is a space and what follows it up to the next space."""
 
-    LIMIT = 400_000
+    LIMIT = 1_000_000
 
     def __init__(self, encoder: Encoder, lead: str) -> None:
         super().__init__()
         self.encoder, self.lead = encoder, lead
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[chunk] = out = self.encoder.chunk(self.lead + chunk, chunk)
+        out = self.encoder.chunk(self.lead + chunk, chunk)
+        if len(self) < self.LIMIT:  # chunks that come late are rare ones
+            self[chunk] = out
         return out
 
 
@@ -219,15 +229,18 @@ class Encoder:
         self.known = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and spec.get("normalizer") is None and spec.get("post_processor") is None and pre.get("use_regex", True)
         self.model = self.tokenizer.model
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.dtype = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         # Visible bytes stand for themselves in the vocabulary, the others for the code points from 256 on.
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(visible)]
         self.letters = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.tails: dict[str, bytes] = {}
         self.first, self.later = _Chunks(self, ""), _Chunks(self, " ")
+        self.line_feed = self._bytes(self.piece("\n")) if self.known else b""
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.code, ids).tobytes()
 
     def whole(self, text: str) -> bytes:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -239,10 +252,21 @@ class Encoder:
     def chunk(self, text: str, bare: str) -> bytes:
         core = bare.rstrip(self.TAIL)
         if core.isalpha():
-            ids = self.piece(text[: len(text) - len(bare) + len(core)])
-            return self._bytes(ids + self.piece(bare[len(core) :]) if len(core) < len(bare) else ids)
+            lead, tail = text[: len(text) - len(bare)], bare[len(core) :]
+            if tail and core in self.later and lead:  # the word alone is known
+                return self.later[core] + self._tail(tail)
+            return self._bytes(self.piece(lead + core)) + self._tail(tail)
+        if "\n" in bare[1:-1]:  # a line feed between visible characters is a piece, and what follows it starts afresh
+            lines = bare.split("\n")
+            if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+                return (self.later if len(text) > len(bare) else self.first)[lines[0]] + b"".join(self.line_feed + self.first[x] for x in lines[1:])
         return self.whole(text)
 
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails and len(self.tails) < 10_000:
+            self.tails[tail] = self._bytes(self.piece(tail)) if tail else b""
+        return self.tails[tail] if tail in self.tails else self._bytes(self.piece(tail))
+
     def encode(self, text: str) -> np.ndarray:
         if not self.known:
             return np.frombuffer(self.whole(text), self.dtype)
