@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.decontaminate import THRESHOLD, WIDTH
 from tessera.llm.pii import BASE, IBAN_LENGTHS, KINDS
 
 
@@ -41,4 +42,37 @@ def _pii() -> str:
     FROM d LEFT JOIN by_doc USING (doc_id)"""
 
 
-ORACLE: dict[str, str] = {"op6_pii": _pii()}
+def _leaks() -> str:
+    words = lambda t: f"list_filter(regexp_split_to_array(lower(coalesce({t}, '')), '\\s+'), lambda w: w <> '')"
+    cut = lambda a, start: f"array_to_string({a}[{start} + 1:{start} + width], ' ')"
+    return f"""
+    WITH items AS (SELECT item_id, {words("text")} w FROM benchmark WHERE item_id IS NOT NULL),
+    sized AS (SELECT item_id, w, len(w) n_words, least(len(w), {WIDTH}) width FROM items WHERE len(w) > 0),
+    placed AS (SELECT item_id, n_words, width, o AS "offset", {cut("w", "o")} s
+        FROM (SELECT *, unnest(range(0, n_words - width + 1)) o FROM sized)),
+    total AS (SELECT count(DISTINCT item_id) n FROM sized),
+    weights AS (SELECT s, round(1000 * ln(1 + any_value(n) / count(DISTINCT item_id)))::BIGINT weight FROM placed, total GROUP BY s),
+    item_sets AS (SELECT DISTINCT item_id, n_words, width, s, weight FROM placed JOIN weights USING (s)),
+    masses AS (SELECT item_id, n_words, width, sum(weight) mass FROM item_sets GROUP BY ALL),
+    docs AS (SELECT doc_id, {words("text")} w FROM documents WHERE doc_id IS NOT NULL),
+    widths AS (SELECT DISTINCT width FROM sized),
+    seen AS (SELECT doc_id, n, width, pos, {cut("w", "pos")} s
+        FROM (SELECT doc_id, w, len(w) n, width, unnest(range(0, len(w) - width + 1)) pos FROM docs, widths)),
+    starts AS (SELECT DISTINCT doc_id, item_id, n_words, p.width, greatest(0, least(pos - "offset", n - n_words)) start
+        FROM seen JOIN placed p ON seen.s = p.s AND seen.width = p.width),
+    windows AS (SELECT DISTINCT doc_id, n_words, width, start FROM starts),
+    sets AS (SELECT DISTINCT doc_id, n_words, width, start, {cut("part", "o")} s
+        FROM (SELECT *, unnest(range(0, len(part) - width + 1)) o
+              FROM (SELECT windows.*, w[start + 1:start + n_words] part FROM windows JOIN docs USING (doc_id)))),
+    weighed AS (SELECT sets.*, coalesce(weight, (SELECT round(1000 * ln(1 + n))::BIGINT FROM total)) weight FROM sets LEFT JOIN weights USING (s)),
+    window_masses AS (SELECT doc_id, n_words, width, start, sum(weight) window_mass FROM weighed GROUP BY ALL),
+    shared AS (SELECT x.doc_id, x.item_id, x.n_words, x.width, x.start, sum(a.weight) common FROM
+        (SELECT DISTINCT w.doc_id, i.item_id, w.n_words, w.width, w.start FROM windows w JOIN starts i USING (doc_id, n_words, width)) x
+        JOIN weighed a USING (doc_id, n_words, width, start) JOIN item_sets i ON i.item_id = x.item_id AND i.n_words = x.n_words AND i.s = a.s GROUP BY ALL),
+    scored AS (SELECT doc_id, item_id, start, n_words, common / (window_mass + mass - common) similarity
+        FROM shared JOIN masses USING (item_id, n_words, width) JOIN window_masses USING (doc_id, n_words, width, start))
+    SELECT doc_id, item_id, start::INT start, n_words::INT n_words, round(similarity, 6) similarity FROM scored WHERE similarity >= {THRESHOLD}
+    QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start, n_words) = 1"""
+
+
+ORACLE: dict[str, str] = {"op1_decontaminate": _leaks(), "op6_pii": _pii()}
