@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import binary_ids, decontaminate, jaccard, lines, piece_dropout, pii, quality, toxicity
+from tessera.llm import binary_ids, decontaminate, jaccard, lines, piece_dropout, pii, quality, suffix, toxicity
 from tessera.llm.common import table
 
 #: Where the public vocabulary files are; a path of one's own may be given to the operators.
@@ -29,6 +29,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.strip_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     index = toxicity.train(docs, labels)
@@ -61,4 +65,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op4_toxicity, op5_quality, op6_pii, op8_binary_ids, op9_piece_dropout, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_suffix_dedup, op4_toxicity, op5_quality, op6_pii, op8_binary_ids, op9_piece_dropout, op10_jaccard_join)}
