@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import binary_ids, decontaminate, jaccard, lines, piece_dropout, pii, quality, suffix, toxicity
+from tessera.llm import binary_ids, decontaminate, jaccard, lines, media, piece_dropout, pii, quality, suffix, toxicity
 from tessera.llm.common import table
 
 #: Where the public vocabulary files are; a path of one's own may be given to the operators.
@@ -53,6 +53,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pictures of all vectors; the queries are edited copies of every one whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return media.find_copies(media.pictures(vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", edited=True), media.pictures(vectors, "vec_id", "embedding"))
+
+
 def op8_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_ids.encode_documents(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), end_id=2)
 
@@ -65,4 +71,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_suffix_dedup, op4_toxicity, op5_quality, op6_pii, op8_binary_ids, op9_piece_dropout, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_suffix_dedup, op4_toxicity, op5_quality, op6_pii, op7_media, op8_binary_ids, op9_piece_dropout, op10_jaccard_join)}
