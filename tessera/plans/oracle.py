@@ -1 +1,124 @@
-ORACLE = {}
+"""DuckDB SQL for the registered queries."""
+
+from __future__ import annotations
+
+#: The grade is made in labels, so it is null where there is no label.
+LABELLED = "(SELECT d.doc_id, lang, source, n_chars, quality, toxic, grade FROM documents d LEFT JOIN (SELECT *, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END grade FROM labels) l USING (doc_id))"
+
+SCALED = "(SELECT *, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 7)) scaled FROM embeddings)"
+
+
+def _distance(metric: str, column: str) -> str:
+    pairs = f"list_zip(v.{column}::DOUBLE[], q.embedding::DOUBLE[])"
+    if metric == "l2":
+        raw = f"list_sum(list_transform({pairs}, lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    else:
+        raw = f"1 - list_inner_product(v.{column}::DOUBLE[], q.{column if metric == 'scaled_ip' else 'embedding'}::DOUBLE[])"
+    if metric == "cosine":
+        norm = lambda x: f"sqrt(list_inner_product({x}::DOUBLE[], {x}::DOUBLE[]))"
+        raw = f"1 - list_inner_product(v.{column}::DOUBLE[], q.{column}::DOUBLE[]) / ({norm(f'v.{column}')} * {norm(f'q.{column}')})"
+    return f"round({raw}, 5) + 0.0"
+
+
+def _single(metric: str, column: str, k: int, q: int = 0, columns: str = "vec_id, label, distance", condition: str = "true") -> str:
+    if metric == "l2":
+        distance = f"round(list_sum(list_transform(list_zip(v.{column}::DOUBLE[], q.{column}::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 5) + 0.0"
+    elif metric == "ip":
+        distance = f"round(1 - list_inner_product(v.{column}::DOUBLE[], q.{column}::DOUBLE[]), 5) + 0.0"
+    else:
+        distance = _distance(metric, column)
+    return f"SELECT {columns} FROM (SELECT v.vec_id, v.label, {distance} AS distance FROM {SCALED} v, (SELECT * FROM {SCALED} WHERE vec_id = {q}) q WHERE {condition} ORDER BY distance, v.vec_id LIMIT {k})"
+
+
+def _batch(metric: str, column: str, which: str, condition: str = "true") -> str:
+    return f"""SELECT query_idx, vec_id, distance FROM (
+        SELECT q.vec_id AS query_idx, v.vec_id, {_distance(metric, column)} AS distance FROM {SCALED} v, (SELECT * FROM embeddings WHERE {which}) q WHERE {condition})
+        QUALIFY row_number() OVER (PARTITION BY query_idx ORDER BY distance, vec_id) <= 5"""
+
+
+STATISTICS = """SELECT 'vectors' AS table_name, 'v1::value::single::label::["' || label || '"]::::' AS segment_id, count(*) AS row_count, count(*) FILTER (vec_id >= 50) AS indexed,
+    count(*) FILTER (vec_id < 50) AS deleted_row_count, count(*) - ((count(*) - 1) // 20) * 20 AS active_set_row_count, 20::BIGINT AS active_set_size_limit, (count(*) - 1) // 20 AS inactive_set_count FROM embeddings GROUP BY label"""
+
+ORACLE: dict[str, str] = {
+    "scan_star": "SELECT * FROM nation",
+    "scan_projection": "SELECT c_custkey, c_name FROM customer",
+    "scan_projection_reordered": "SELECT c_name, c_acctbal, c_custkey FROM customer WHERE c_custkey > 10",
+    "scan_empty_filter": "SELECT r_name FROM region",
+    "scan_limit_count": "SELECT count(*) AS n FROM (SELECT 1 FROM orders WHERE o_totalprice > 1000 LIMIT 250)",
+    "scan_limit_zero": "SELECT count(*) AS n FROM orders",
+    "filter_eq": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber = 3",
+    "filter_ne": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <> 3",
+    "filter_ne_alt": "SELECT p_partkey, p_size FROM part WHERE p_size <> 7",
+    "filter_lt": "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice < 950.5",
+    "filter_le": "SELECT p_partkey, p_size FROM part WHERE p_size <= 10",
+    "filter_gt": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000",
+    "filter_ge": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 49",
+    "filter_eq_string": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "filter_cmp_string": "SELECT c_custkey, c_name FROM customer WHERE c_name >= 'Customer#000000100' AND c_name < 'Customer#000000900'",
+    "filter_is_null": f"SELECT doc_id FROM {LABELLED} WHERE quality IS NULL",
+    "filter_is_not_null": f"SELECT doc_id, quality FROM {LABELLED} WHERE quality IS NOT NULL",
+    "filter_in_int": f"SELECT doc_id, quality FROM {LABELLED} WHERE coalesce(quality IN (0, 5), false)",
+    "filter_in_string": f"SELECT doc_id, grade FROM {LABELLED} WHERE coalesce(grade IN ('bad', 'null'), false)",
+    "filter_not_in_keeps_null": f"SELECT doc_id, quality FROM {LABELLED} WHERE NOT coalesce(quality IN (1), false)",
+    "filter_in_null": f"SELECT doc_id, quality FROM {LABELLED} WHERE coalesce(quality IN (0), false) OR quality IS NULL",
+    "filter_not_in_null": f"SELECT doc_id, quality FROM {LABELLED} WHERE NOT (coalesce(quality IN (0), false) OR quality IS NULL)",
+    "filter_like_prefix": "SELECT p_partkey, p_type FROM part WHERE p_type LIKE 'S%'",
+    "filter_like_suffix": "SELECT p_partkey, p_brand FROM part WHERE p_brand LIKE '%3'",
+    "filter_like_contains": "SELECT page_id FROM pages WHERE url LIKE '%example.com%'",
+    "filter_like_underscore": "SELECT p_partkey, p_brand FROM part WHERE p_brand LIKE 'Brand#_2'",
+    "filter_not_like": "SELECT page_id FROM pages WHERE url NOT LIKE 'https%'",
+    "filter_not_like_null": f"SELECT doc_id, grade FROM {LABELLED} WHERE grade NOT LIKE 'b%'",
+    "filter_and": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < 10 AND l_discount > 0.05::DOUBLE AND l_returnflag = 'R'",
+    "filter_or": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < 2 OR l_quantity > 49",
+    "filter_not": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT l_returnflag = 'N'",
+    "filter_precedence": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber = 1 OR (l_linenumber = 2 AND l_returnflag <> 'N')",
+    "filter_nested": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_linenumber = 1 OR (l_quantity > 40 AND NOT (l_discount < 0.02::DOUBLE OR l_tax >= 0.07::DOUBLE))) AND l_linestatus <> 'O'",
+    "filter_kleene_or_null": f"SELECT doc_id FROM {LABELLED} WHERE quality = 1 OR lang = 'en'",
+    "filter_kleene_not_null": f"SELECT doc_id FROM {LABELLED} WHERE NOT (quality = 1 AND lang = 'en')",
+    "filter_canonical": """SELECT * FROM (VALUES
+        (0, '((l_linenumber = 1 AND l_quantity != 2) OR (l_tax < 3 AND l_discount >= 4))', 'l_discount,l_linenumber,l_quantity,l_tax'),
+        (1, '(l_linenumber IN [1, 2, 3] AND l_tax IS NULL)', 'l_linenumber,l_tax'),
+        (2, 'NOT (l_returnflag LIKE ''%A%'' OR l_tax IS NOT NULL)', 'l_returnflag,l_tax')) t(i, canonical, columns)""",
+    "knn_filtered": _single("l2", "embedding", 10, condition="v.label <> 3"),
+    "knn_l2_single": _single("l2", "embedding", 10),
+    "knn_ip_single": _single("ip", "embedding", 10),
+    "knn_l2_scaled": _single("l2", "scaled", 10),
+    "knn_ip_scaled": _single("ip", "scaled", 10),
+    "knn_cosine": _single("cosine", "scaled", 10),
+    "knn_projection_distance_first": _single("l2", "embedding", 5, 5, "distance, vec_id"),
+    "knn_without_distance": _single("ip", "embedding", 5, 5, "label, vec_id"),
+    "knn_filtered_none": _single("l2", "embedding", 10, condition="v.label = 77"),
+    "knn_k_exceeds_rows": _single("l2", "embedding", 100, condition="v.vec_id < 20"),
+    "knn_range": f"SELECT * FROM ({_single('l2', 'embedding', 1_000_000, columns='vec_id, distance')}) WHERE distance <= 1.7",
+    "knn_all_distances": _single("ip", "scaled", 1_000_000, 3, "vec_id, distance"),
+    "knn_batch_l2": _batch("l2", "embedding", "vec_id % 20 = 0"),
+    "knn_batch_ip": _batch("ip", "scaled", "vec_id % 20 = 0"),
+    "knn_batch_filtered": _batch("l2", "scaled", "vec_id % 20 = 0", "v.label IN (1, 2, 3)"),
+    "knn_batch_all": _batch("l2", "embedding", "true"),
+    "scan_deleted_excluded": "SELECT vec_id, label FROM embeddings WHERE NOT (label = 4 AND vec_id < 200)",
+    "scan_internal_deleted": "SELECT true AS deleted, vec_id FROM embeddings WHERE label IN (4, 5)",
+    "knn_deleted_excluded": _single("l2", "embedding", 10, columns="vec_id, label", condition="v.vec_id >= 100"),
+    "delete_count": "SELECT count(*) FILTER (label < 3) AS deleted, count(*) FILTER (label >= 3) AS left FROM embeddings",
+    "delete_all": "SELECT count(*) AS deleted, 0::BIGINT AS left FROM embeddings",
+    "update_scalar": "SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice > 300000 THEN 'X, Y' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_totalprice > 300000 THEN 1.5::DOUBLE ELSE o_totalprice END AS o_totalprice FROM orders",
+    "update_vector_then_knn": "SELECT unnest([0, 7, 8])::BIGINT AS vec_id",
+    "update_moves_segment": "SELECT vec_id, CASE WHEN label = 1 THEN 42 ELSE label END AS label FROM embeddings",
+    "insert_text_rows": "SELECT * FROM nation",
+    "insert_batch": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
+    "insert_pk_skip": "SELECT count(*) AS first, 0::BIGINT AS second, count(*) AS n FROM customer",
+    "insert_pk_partial_overlap": "SELECT c_custkey AS k, CASE WHEN c_custkey <= 900 THEN c_name ELSE 'later' END AS name FROM customer",
+    "segment_value_prune": "SELECT event_id, value FROM events WHERE event_type = 'click' AND value > 5",
+    "segment_composite_prune": "SELECT event_id, user_id % 3 AS user_id, event_type FROM events WHERE event_type <> 'click' AND user_id % 3 = 2",
+    "segment_hash_rows": "SELECT event_id, user_id % 3 AS user_id FROM events WHERE user_id % 3 IN (0, 1)",
+    "segment_ids": """SELECT 'v1::value::comp::event_type+user_id::["' || event_type || '","' || (user_id % 3) || '"]::::' AS segment_id, count(*) AS row_count FROM events GROUP BY 1""",
+    "segment_statistics": STATISTICS,
+    "count_records": "SELECT count(*) AS n FROM embeddings WHERE label <> 9",
+    "total_record_count": "SELECT (SELECT count(*) FROM embeddings) + (SELECT count(*) FROM nation) AS total, (SELECT count(*) FROM embeddings WHERE label = 9) AS deleted, 2::BIGINT AS tables, 0::BIGINT AS unloaded",
+    "count_indexed": "SELECT count(*) AS n, count(embedding) AS indexed FROM embeddings",
+    "cursor_pages": "SELECT i AS page, least(30, n - 30 * i) AS n FROM (SELECT count(*) n FROM supplier), range(0, 100000) t(i) WHERE 30 * i < n",
+    "cursor_limit": "SELECT least(7, count(*)) AS n, 0::BIGINT AS more FROM supplier",
+    "snapshot_roundtrip": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey >= 100",
+    "list_and_describe": """SELECT 'vectors' AS table_name, * FROM (VALUES ('vec_id', 'bigint'), ('label', 'int'), ('embedding', 'array<float>'), ('__deleted_flag', 'boolean')) t(column_name, type)""",
+    "arrow_stream_roundtrip": "SELECT s_suppkey, s_name, s_acctbal FROM supplier",
+    "stream_ingest": "SELECT c_custkey AS k, c_name AS name FROM customer",
+}
