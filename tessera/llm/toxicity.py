@@ -22,7 +22,7 @@ from tessera.llm.quality import training_rows
 
 THRESHOLD = 0.3
 #: Labelled examples the index is fitted on, terms, nearest examples, examples a block.
-SAMPLE, TERMS, K, BLOCK = 6000, 256, 15, 32
+SAMPLE, TERMS, K, BLOCK = 4000, 256, 15, 32
 
 
 def text_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
