@@ -101,6 +101,15 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets
 
 
+def word_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the distinct lower-case words of all the texts together."""
+    words = pc.utf8_split_whitespace(pc.utf8_lower(texts.cast(pa.large_string()))).flatten().dictionary_encode()
+    hashes = hash_strings(words.dictionary)
+    counts = np.bincount(words.indices.to_numpy(zero_copy_only=False), minlength=len(hashes))
+    real = hashes != hash_strings(pa.array([""]))[0]
+    return hashes[real], counts[real]
+
+
 def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): each text's distinct word shingles, ascending.
 

@@ -4,8 +4,8 @@ A line is the set of its lower-case words. Words are ordered by rarity; two sets
 a word in their prefixes of n - ceil(t n) + 1 rarest words. Pairs that share one pass filters on their lengths, on the
 places of the shared word and on word bitmaps, each of which only drops pairs that can't be similar, and are then verified.
 
-Rarity is kept in a table of fixed size (counts by word hash), so any number of words fits; words that share a cell only
-make the order less sharp, never the join less exact.
+Rarity is kept in a table of fixed size (ranks by word hash, a byte each), so any number of words fits; words that share a
+cell only make the order less sharp, never the join less exact.
 """
 
 from __future__ import annotations
@@ -19,25 +19,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut, in_chunks, mix64, text_of, word_hashes
+from tessera.llm.common import cut, in_chunks, mix64, text_of, word_counts, word_hashes
 
 THRESHOLD = 0.8
 #: Cells of the rarity table, and of the table of lines that verification needs.
-CELLS, NEEDED = 1 << 20, 1 << 22
+CELLS, NEEDED = 1 << 24, 1 << 22
 #: Earlier candidates that a line sends on for each shared word before the rest wait for the outcome.
 FIRST = 1
-#: Words of a posting list compared at a time.
-TILE = 1 << 20
+#: Pairs compared at a time, and postings gathered for that.
+TILE, HOLD = 1 << 20, 1 << 18
 
 
-def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line, word hashes, offsets) of the lines of texts that have words; a line's distinct hashes, in no order."""
+def _lines(texts: pa.Array, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line, word hashes, offsets) of the lines of texts that have words; a line's distinct hashes, rarest first if the ranks of the cells are given."""
     split = pc.split_pattern(texts.cast(pa.large_string()), "\n")
     offsets = split.offsets.to_numpy().astype(np.int64)
     words, bounds = word_hashes(split.flatten())
     n = np.diff(bounds)
     row = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((words, row))
+    # One key a word: its line, its rank, and as many bits of its hash as are left.
+    bits = max(1, int(len(n)).bit_length())
+    key = words >> np.uint64(bits)
+    if rank is not None:
+        key = (key >> np.uint64(8)) | (rank[_cell(words)].astype(np.uint64) << np.uint64(56 - bits))
+    order = np.argsort(key | (row.astype(np.uint64) << np.uint64(64 - bits)))
     words, row = words[order], row[order]
     first = np.ones(len(words), bool)
     first[1:] = (words[1:] != words[:-1]) | (row[1:] != row[:-1])
@@ -48,42 +53,46 @@ def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return text, some - offsets[text], words, bounds
 
 
+def _cell(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(40)).astype(np.int64)
+
+
 def _need(threshold: float, sizes: np.ndarray) -> np.ndarray:
     """The least overlap with any similar set."""
     return np.ceil(threshold * sizes - 1e-9).astype(np.int64)
 
 
 def _rarity(docs: DataFrame) -> np.ndarray:
-    """In how many lines of all documents the words of each cell occur."""
+    """The rank of each cell (0 to 255): a logarithm of how often words of the cell occur in all documents; 0 for at most once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for part in in_chunks(batch, "t"):
-                _, _, words, _ = _lines(part.column("t"))
-                total += np.bincount((words >> np.uint64(44)).astype(np.int64), minlength=CELLS)
+                words, n = word_counts(part.column("t"))
+                np.add.at(total, _cell(words), n.astype(np.uint32))
         cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(cells.astype(np.int32)), "n": pa.array(total[cells])})
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(cells.astype(np.int32)), "n": pa.array(total[cells].astype(np.int64))})
 
-    counted = docs.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    got = counted.select("cell", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()  # at most CELLS rows
-    table = np.zeros(CELLS, np.int32)
+    counted = docs.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
+    got = counted.select("cell", F.least(F.lit(255), F.ceil(F.log2("n") * 8)).cast("short").alias("n")).toArrow()  # at most CELLS rows
+    table = np.zeros(CELLS, np.uint8)
     table[got["cell"].to_numpy()] = got["n"].to_numpy()
     return table
 
 
-def _postings(docs: DataFrame, rarity, threshold: float) -> DataFrame:
+def _postings(docs: DataFrame, rarity, threshold: float, only=None) -> DataFrame:
     """(word, doc, line, place, size, b1, b2) for the prefix words of every line, or local = true for a line that equals an earlier one near it.
 
     Lines of one chunk with the same words come once, as the earliest; the others are known to go. A word that no other
-    line has can't join, so it is left out.
+    line has can't join, so it is left out. only: a bitmap of the words that are wanted.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = rarity.value
+        rank = rarity.value
         for batch in batches:
             for part in in_chunks(batch, "t"):
-                text, line, words, bounds = _lines(part.column("t"))
+                text, line, words, bounds = _lines(part.column("t"), rank)
                 if not len(text):
                     continue
                 doc = part.column("id").to_numpy(zero_copy_only=False)[text]
@@ -94,17 +103,18 @@ def _postings(docs: DataFrame, rarity, threshold: float) -> DataFrame:
                 order = np.lexsort((line, doc, same))
                 later = np.zeros(len(order), bool)
                 later[order[1:]] = same[order[1:]] == same[order[:-1]]
-                bit = (words & np.uint64(127)).astype(np.int64)
-                mark = np.uint64(1) << (bit & 63).astype(np.uint64)
-                b1 = np.bitwise_or.reduceat(np.where(bit < 64, mark, np.uint64(0)), bounds[:-1])
-                b2 = np.bitwise_or.reduceat(np.where(bit >= 64, mark, np.uint64(0)), bounds[:-1])
-                n = counts[(words >> np.uint64(44)).astype(np.int64)]
-                order = np.lexsort((words, n, row))
-                words, n = words[order], n[order]
+                mark, high = np.uint64(1) << (words & np.uint64(63)), words & np.uint64(64) > 0
+                b1 = np.bitwise_or.reduceat(np.where(high, np.uint64(0), mark), bounds[:-1])
+                b2 = np.bitwise_or.reduceat(np.where(high, mark, np.uint64(0)), bounds[:-1])
                 place = np.arange(len(words)) - bounds[:-1][row]
-                keep = (place <= (sizes - _need(threshold, sizes))[row]) & (n > 1) & ~later[row]
-                r = row[keep]
+                keep = (place <= (sizes - _need(threshold, sizes))[row]) & ~later[row]
+                keep[keep] = rank[_cell(words[keep])] > 0
                 gone = np.flatnonzero(later)
+                if only is not None:
+                    cell = (words >> np.uint64(12)).astype(np.int64) % NEEDED
+                    keep &= (only.value[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) > 0
+                    gone = gone[:0]
+                r = row[keep]
                 none = np.zeros(len(gone), np.int64)
                 cat = lambda a, b, kind: pa.array(np.concatenate([a, b]).astype(kind))
                 yield pa.RecordBatch.from_pydict({
@@ -163,6 +173,7 @@ def _candidates(threshold: float, every: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
+        size = 0
         names = ("word", "doc", "line", "place", "size", "b1", "b2")
         for batch in batches:
             rows = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
@@ -176,11 +187,13 @@ def _candidates(threshold: float, every: bool):
             last = int(np.searchsorted(rows["word"], rows["word"][-1]))  # the last word may go on in the next batch
             for n in names:
                 held.setdefault(n, []).append(rows[n][:last])
-            if last:
+            size += last
+            if size > HOLD:
                 yield compare({n: np.concatenate(v) for n, v in held.items()})
-                held = {n: [] for n in names}
+                held, size = {n: [] for n in names}, 0
             for n in names:
                 held[n].append(rows[n][last:])
+            size += len(rows[names[0]]) - last
         if held:
             yield compare({n: np.concatenate(v) for n, v in held.items()})
 
@@ -190,11 +203,9 @@ def _candidates(threshold: float, every: bool):
 CANDIDATES = "word long, doc long, line int, doc0 long, line0 int, more boolean"
 
 
-def _needed(pairs: DataFrame) -> np.ndarray:
-    """A bitmap of NEEDED cells, set for the lines of the pairs."""
-    ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc0").alias("doc"), F.col("line0").alias("line")))
-    cell = F.pmod(F.xxhash64("doc", "line"), F.lit(NEEDED))
-    words = ends.select(F.shiftright(cell, 6).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (cell % 64).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most NEEDED / 64 rows
+def _bitmap(rows: DataFrame) -> np.ndarray:
+    """A bitmap of NEEDED cells, set for those in the column `cell`."""
+    words = rows.select(F.shiftright("cell", 6).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("cell") % 64).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most NEEDED / 64 rows
     table = np.zeros(NEEDED // 64, np.int64)
     table[words["at"].to_numpy()] = words["bits"].to_numpy()
     return table.view(np.uint64)
@@ -203,7 +214,8 @@ def _needed(pairs: DataFrame) -> np.ndarray:
 def _verify(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs of lines whose word sets are similar."""
     spark = docs.sparkSession
-    cells = spark.sparkContext.broadcast(_needed(pairs))
+    ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc0").alias("doc"), F.col("line0").alias("line")))
+    cells = spark.sparkContext.broadcast(_bitmap(ends.select(F.pmod(F.xxhash64("doc", "line"), F.lit(NEEDED)).alias("cell"))))
     # Spark's own hash decides which lines are needed, so it is made in the JVM for every line number of a document.
     count = F.size(F.split("t", "\n"))
     numbered = docs.select("id", "t", F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.pmod(F.xxhash64("id", i), F.lit(NEEDED)).cast("int")).alias("cells"))
@@ -257,7 +269,8 @@ def later_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshol
     open_lines = cut(found.where("more").select("doc", "line", "word").join(gone, ["doc", "line"], "left_anti"))
     if open_lines.isEmpty():
         return gone
-    posted = _postings(docs, rarity, threshold).where("place >= 0").join(open_lines.select("word").distinct(), "word", "left_semi")
+    only = spark.sparkContext.broadcast(_bitmap(open_lines.select(F.pmod("word", F.lit(NEEDED)).alias("cell"))))
+    posted = _postings(docs, rarity, threshold, only)
     rest = dealt(posted).mapInArrow(_candidates(threshold, True), CANDIDATES).select("doc", "line", "doc0", "line0")
     rest = rest.join(open_lines.select("doc", "line").distinct(), ["doc", "line"], "left_semi").join(pairs, ["doc", "line", "doc0", "line0"], "left_anti")
     return gone.unionByName(_verify(docs, cut(rest.distinct()), threshold)).distinct()
