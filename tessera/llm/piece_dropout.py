@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -341,8 +342,6 @@ def encode_pieces(df: DataFrame, vocabulary: str, rate: float = 0.1, seed: int =
 
 def decode_pieces(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "text") -> DataFrame:
     """df with column `out`, the text of its ids; null ids give a null text, a column named `out` is replaced."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decoded(column: pd.Series) -> pd.Series:
         p = pieces(vocabulary)
