@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut, in_chunks, mix64, text_of, word_counts, word_hashes
+from tessera.llm.common import cut, in_chunks, mix64, release, text_of, word_counts, word_hashes
 
 THRESHOLD = 0.8
 #: Cells of the rarity table, and of the table of lines that verification needs.
@@ -262,9 +262,11 @@ def later_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshol
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     dealt = lambda p: p.repartition(n, "word").sortWithinPartitions("word", "doc", "line")
     found = cut(dealt(_postings(docs, rarity, threshold)).mapInArrow(_candidates(threshold, False), CANDIDATES))
+    release(spark)
     equal = found.where("doc0 is null").select("doc", "line").distinct()
     pairs = found.where("doc0 is not null").select("doc", "line", "doc0", "line0").distinct()
     gone = cut(equal.unionByName(_verify(docs, pairs, threshold)).distinct())
+    release(spark)
     # Lines whose nearest candidates failed and that have further ones: look at all of those.
     open_lines = cut(found.where("more").select("doc", "line", "word").join(gone, ["doc", "line"], "left_anti"))
     if open_lines.isEmpty():
@@ -273,7 +275,10 @@ def later_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshol
     posted = _postings(docs, rarity, threshold, only)
     rest = dealt(posted).mapInArrow(_candidates(threshold, True), CANDIDATES).select("doc", "line", "doc0", "line0")
     rest = rest.join(open_lines.select("doc", "line").distinct(), ["doc", "line"], "left_semi").join(pairs, ["doc", "line", "doc0", "line0"], "left_anti")
-    return gone.unionByName(_verify(docs, cut(rest.distinct()), threshold)).distinct()
+    rest = cut(rest.distinct())
+    out = cut(gone.unionByName(_verify(docs, rest, threshold)).distinct())
+    release(spark)
+    return out
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

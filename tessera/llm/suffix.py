@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, in_chunks, mix64, text_of
+from tessera.llm.common import cut, eight_bytes, in_chunks, mix64, release, text_of
 
 SPAN, GRAM = 100, 16
 #: Bytes of a shard of the comparison stage.
@@ -35,21 +35,11 @@ def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return pick(out[: len(out) - (width - have)], out[width - have :]) if have < width else out
 
 
-def _words(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place as a number, zeros beyond the end."""
-    padded = np.concatenate([data, np.zeros(16, np.uint8)])
-    out = np.empty((len(data) + 7) // 8 * 8, np.uint64)
-    for r in range(8):
-        view = padded[r : r + len(out)].view("<u8") if r == 0 else np.frombuffer(padded[r:].tobytes()[: len(out)], "<u8")
-        out[r::8] = view
-    return out[: len(data)]
-
-
 def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
     """(starts, window counts, least hashes, repeats) of the runs of a text; repeats: whether windows of a run may be equal."""
     if len(data) < SPAN:
         return None
-    w = _words(data)
+    w = eight_bytes(data)
     with np.errstate(over="ignore"):
         h = mix64(w[: len(data) - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15) + mix64(w[8 : len(data) - GRAM + 9]))
     reach = SPAN - GRAM + 1
@@ -151,7 +141,7 @@ def repeated_windows(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.
 
 def _window_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A 128-bit key (two numbers in a row) of the window at each place, for the sorted strings of earlier shards."""
-    w = _words(data)
+    w = eight_bytes(data)
     a, b = np.zeros(len(at), np.uint64), np.full(len(at), 7, np.uint64)
     with np.errstate(over="ignore"):
         for k in [*range(0, SPAN - 7, 8), SPAN - 8]:
@@ -296,6 +286,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     found = docs.mapInArrow(_find_runs, "key long, print long, doc long, start int, n int, kind byte")
     sorted_out = cut(found.repartition(n, "key").sortWithinPartitions("key", "doc", "start").mapInArrow(_sort_out, "key long, doc long, start int, n int, ask boolean"))
+    release(spark)
     asks = sorted_out.where("ask").groupBy("doc").agg(F.collect_set(F.struct("key", "start", "n")).alias("asks"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
