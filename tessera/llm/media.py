@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
 
-#: Corners of an image, scales (each three quarters of the one before), bits, the reach of the tests in pixels.
-CORNERS, SCALES, RATIO, TESTS, REACH = 48, 3, 0.75, 128, 11
+#: Corners of a scale and of an image, scales (each three quarters of the one before), bits, the reach of the tests in pixels.
+CORNERS, TOTAL, SCALES, RATIO, TESTS, REACH = 32, 48, 2, 0.75, 128, 11
 #: Bits that two descriptors of one place may differ in, corners that must agree, the width in pixels of a vote's cell.
 NEAR, AGREE, CELL = 24, 6, 12
 TURNS = 30
@@ -117,12 +117,12 @@ def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     if not xs:
         none = np.zeros(0)
         return none, none, none, none, np.zeros((0, 2), np.int64)
-    order = np.argsort(-np.concatenate(strengths), kind="stable")[: 2 * CORNERS]
+    order = np.argsort(-np.concatenate(strengths), kind="stable")[:TOTAL]
     return *(np.concatenate(v)[order] for v in (xs, ys, scales, angles)), np.concatenate(bits)[order]
 
 
 def features(df: DataFrame, key: str = "id", image: str = "image") -> DataFrame:
-    """A row a corner: id, corner, x, y, scale, angle, d0, d1."""
+    """A row a corner: id, corner, place (x and y in sixteenths of a pixel, the scale's number, the angle in 1024ths of a turn, 16 bits each), d0, d1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,10 +136,12 @@ def features(df: DataFrame, key: str = "id", image: str = "image") -> DataFrame:
                 parts.append((np.arange(len(got[0])), *got[:4], got[4][:, 0], got[4][:, 1]))
             if parts:
                 k, x, y, s, a, d0, d1 = (np.concatenate(c) for c in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "corner": pa.array(k.astype(np.int32)), "x": pa.array(x), "y": pa.array(y), "scale": pa.array(s), "angle": pa.array(a), "d0": pa.array(d0), "d1": pa.array(d1)})
+                bits16 = lambda v: np.clip(np.rint(v), 0, 65535).astype(np.int64)
+                place = bits16(x * 16) << 48 | bits16(y * 16) << 32 | bits16(np.log(s) / -np.log(RATIO)) << 16 | bits16(np.mod(a / (2 * np.pi), 1) * 1024)
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "corner": pa.array(k.astype(np.int32)), "place": pa.array(place), "d0": pa.array(d0), "d1": pa.array(d1)})
 
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(image).alias("image")).where("id is not null and image is not null")
-    return rows.mapInArrow(run, "id long, corner int, x double, y double, scale double, angle double, d0 long, d1 long")
+    return rows.mapInArrow(run, "id long, corner int, place long, d0 long, d1 long")
 
 
 def _tables(df: DataFrame) -> DataFrame:
@@ -156,18 +158,21 @@ def find_copies(queries: DataFrame, images: DataFrame, key: str = "id", image: s
     images, images without corners and null ids match nothing; rows that repeat an id are all searched, and an empty table
     gives no rows. Other columns are not read.
     """
-    one = lambda df: cut(df.select(F.col(key).cast("long").alias("id"), F.col(image).alias("image")).where("id is not null and image is not null").withColumn("same", F.sha2("image", 256)))
+    one = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(image).alias("image")).where("id is not null and image is not null").withColumn("same", F.sha2("image", 256))
     q, all_ = one(queries), one(images)
-    classes = all_.groupBy("same").agg(F.min("id").alias("id"), F.countDistinct("id").alias("n_images"))
+    classes = cut(all_.groupBy("same").agg(F.min("id").alias("id"), F.countDistinct("id").alias("n_images")))
     asked = q.groupBy("same").agg(F.min("id").alias("id"))
     held = features(all_.join(classes.select("same", "id"), ["same", "id"], "left_semi").dropDuplicates(["same"]))
     sought = features(q.join(asked, ["same", "id"], "left_semi").dropDuplicates(["same"]))
-    b = _tables(held).select(*[F.col(c).alias(f"i_{c}") for c in ("id", "corner", "x", "y", "scale", "angle", "d0", "d1")], "no", "value")
+    b = _tables(held).select(*[F.col(c).alias(f"i_{c}") for c in ("id", "place", "d0", "d1")], "no", "value")
     met = _tables(sought).join(b, ["no", "value"]).where(F.bit_count(F.col("d0").bitwiseXOR(F.col("i_d0"))) + F.bit_count(F.col("d1").bitwiseXOR(F.col("i_d1"))) <= NEAR)
     # Two descriptors may meet in several tables: the votes below count corners, so that does no harm.
-    ratio, turn = F.col("i_scale") / F.col("scale"), F.col("i_angle") - F.col("angle")
-    dx = F.col("i_x") - ratio * (F.cos(turn) * F.col("x") - F.sin(turn) * F.col("y"))
-    dy = F.col("i_y") - ratio * (F.sin(turn) * F.col("x") + F.cos(turn) * F.col("y"))
+    part = lambda c, shift: F.shiftrightunsigned(c, shift).bitwiseAND(F.lit(65535)).cast("double")
+    x, y, i_x, i_y = part("place", 48) / 16, part("place", 32) / 16, part("i_place", 48) / 16, part("i_place", 32) / 16
+    ratio = F.pow(F.lit(1 / RATIO), part("i_place", 16) - part("place", 16))
+    turn = (part("i_place", 0) - part("place", 0)) * (2 * np.pi / 1024)
+    dx = i_x - ratio * (F.cos(turn) * x - F.sin(turn) * y)
+    dy = i_y - ratio * (F.sin(turn) * x + F.cos(turn) * y)
     cells = [F.struct(F.floor(dx / CELL + a).alias("cx"), F.floor(dy / CELL + b).alias("cy"), F.lit(f"{a}{b}").alias("grid")) for a in (0, 0.5) for b in (0, 0.5)]
     step = F.pmod(F.round(turn * 12 / (2 * np.pi)), F.lit(12))
     votes = met.select("id", "i_id", "corner", F.round(F.log2(ratio) * 2).alias("rs"), step.alias("rt"), F.explode(F.array(*cells)).alias("c"))

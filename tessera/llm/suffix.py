@@ -263,9 +263,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, begins = np.array([r[1] for r in rows])[own], np.array([r[2] for r in rows])[own]
         return pa.RecordBatch.from_pydict({"doc": pa.array(docs), "start": pa.array((begins + start[hit[head]]).astype(np.int32)), "n": pa.array(size.astype(np.int32))})
 
-    rows, size = [], 0
+    rows, size, before = [], 0, None
     for batch in batches:
         for r in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "start", "bytes")), strict=True):
+            if r[:3] == before:  # a row that repeats a key
+                continue
+            before = r[:3]
             if size > SHARD:
                 yield shard(rows)
                 rows, size = [], 0
@@ -301,7 +304,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                         parts.append(t[a["start"] : a["start"] + a["n"] + SPAN - 1])
                 yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "doc": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int32()), "bytes": pa.array(parts, pa.binary())})
 
-    segments = docs.join(asks, docs.id == asks.doc).select("id", "t", "asks").mapInArrow(fetch, "key long, doc long, start int, bytes binary").dropDuplicates(["key", "doc", "start"])
+    segments = docs.join(asks, docs.id == asks.doc).select("id", "t", "asks").mapInArrow(fetch, "key long, doc long, start int, bytes binary")
     compared = segments.repartition(n, "key").sortWithinPartitions("key", "doc", "start").mapInArrow(_compare, "doc long, start int, n int")
     return sorted_out.where("not ask").select("doc", "start", "n").unionByName(compared)
 
