@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -43,8 +44,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what Python lets go of reaches the JVM a moment later
+        gc.collect()
+        time.sleep(0.3)
+        spark._jvm.System.gc()
 
 
 def scratch(spark: SparkSession, name: str) -> str:

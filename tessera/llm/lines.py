@@ -109,6 +109,11 @@ def _postings(docs: DataFrame, rarity, threshold: float, only=None) -> DataFrame
                 place = np.arange(len(words)) - bounds[:-1][row]
                 keep = (place <= (sizes - _need(threshold, sizes))[row]) & ~later[row]
                 keep[keep] = rank[_cell(words[keep])] > 0
+                # So short a set is similar to no other than itself: the whole set is its only key.
+                whole = np.floor(sizes / threshold + 1e-9) == sizes
+                lone = whole[row]
+                keep &= ~lone | (place == 0)
+                words = np.where(lone, same[row], words)
                 gone = np.flatnonzero(later)
                 if only is not None:
                     cell = (words >> np.uint64(12)).astype(np.int64) % NEEDED
@@ -127,7 +132,7 @@ def _postings(docs: DataFrame, rarity, threshold: float, only=None) -> DataFrame
 
 
 def _candidates(threshold: float, every: bool):
-    """Compares postings sorted by (word, doc, line): pairs of a line and an earlier one that pass the filters.
+    """Compares postings sorted by (word, size, doc, line): pairs of a line and an earlier one that pass the filters.
 
     Without `every`, a line sends on only the FIRST earlier lines with the nearest bitmaps for each word, and says whether
     there are more.
@@ -136,31 +141,33 @@ def _candidates(threshold: float, every: bool):
     def compare(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
         word, size, place = rows["word"], rows["size"].astype(np.int64), rows["place"].astype(np.int64)
         n = len(word)
-        start = np.r_[True, word[1:] != word[:-1]]
-        first = np.maximum.accumulate(np.where(start, np.arange(n), 0))
-        rank = np.arange(n) - first
+        doc, line, b1, b2 = rows["doc"], rows["line"], rows["b1"], rows["b2"]
+        # Each row meets the rows before it, nearest first, as long as they have its word and are not too short.
+        least = np.ceil(threshold * size - 1e-9).astype(np.int64)
         later, earlier, gaps = [], [], []
-        at = np.flatnonzero(rank > 0)
+        at = np.arange(1, n)
         d = 1
         while len(at):
+            at = at[(word[at] == word[at - d]) & (size[at - d] >= least[at])]
             for part in np.array_split(at, max(1, len(at) // TILE)):
                 i, j = part, part - d
-                si, sj = size[i], size[j]
-                room = np.floor((si + sj) * (1 - threshold) / (1 + threshold) + 1e-9)  # the words that may differ
-                ok = np.minimum(si, sj) >= threshold * np.maximum(si, sj) - 1e-9
-                overlap = np.ceil(threshold / (1 + threshold) * (si + sj) - 1e-9)
-                ok &= np.minimum(place[i], place[j]) + 1 + np.minimum(si - place[i], sj - place[j]) - 1 >= overlap
-                gap = sum(np.bitwise_count((rows[b][i] ^ rows[b][j]).view(np.uint64)).astype(np.int64) for b in ("b1", "b2"))
-                ok &= (gap <= room) & ((rows["doc"][i] != rows["doc"][j]) | (rows["line"][i] != rows["line"][j]))
-                later.append(i[ok])
-                earlier.append(j[ok])
+                both = size[i] + size[j]
+                gap = np.bitwise_count((b1[i] ^ b1[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((b2[i] ^ b2[j]).view(np.uint64))
+                ok = gap <= np.floor(both * (1 - threshold) / (1 + threshold) + 1e-9)  # the words that may differ
+                i, j, gap, both = i[ok], j[ok], gap[ok], both[ok]
+                ok = np.minimum(place[i], place[j]) + np.minimum(size[i] - place[i], size[j] - place[j]) >= np.ceil(threshold / (1 + threshold) * both - 1e-9)
+                ok &= (doc[i] != doc[j]) | (line[i] != line[j])
+                i, j = i[ok], j[ok]
+                turned = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & (line[i] < line[j]))
+                later.append(np.where(turned, j, i))
+                earlier.append(np.where(turned, i, j))
                 gaps.append(gap[ok])
             d += 1
-            at = at[rank[at] >= d]
+            at = at[at >= d]
         i, j, g = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (later, earlier, gaps))
         more = np.zeros(len(i), bool)
         if not every and len(i):
-            order = np.lexsort((j, g, i))
+            order = np.lexsort((line[j], doc[j], g, i))
             i, j = i[order], j[order]
             head = np.r_[True, i[1:] != i[:-1]]
             nth = np.arange(len(i)) - np.maximum.accumulate(np.where(head, np.arange(len(i)), 0))
@@ -260,7 +267,7 @@ def later_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshol
     docs = df.select(F.col(key).cast("long").alias("id"), text_of(text).alias("t")).where("id is not null")
     rarity = spark.sparkContext.broadcast(_rarity(docs))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    dealt = lambda p: p.repartition(n, "word").sortWithinPartitions("word", "doc", "line")
+    dealt = lambda p: p.repartition(n, "word").sortWithinPartitions("word", "size", "doc", "line")
     found = cut(dealt(_postings(docs, rarity, threshold)).mapInArrow(_candidates(threshold, False), CANDIDATES))
     release(spark)
     equal = found.where("doc0 is null").select("doc", "line").distinct()
