@@ -21,7 +21,7 @@ from tessera.operators.ann import IvfIndex, build_ivf
 from tessera.operators.cursor import CursorRegistry
 from tessera.operators.knn import check_query, knn, knn_batch
 from tessera.operators.scan import debug_scan, scan
-from tessera.sources.catalog import SEGMENTS_LISTED, Catalog, Table
+from tessera.sources.catalog import ACTIVE_SET_SIZE_LIMIT, SEGMENTS_LISTED, Catalog, Table
 from tessera.sources.rows import conform, from_ipc, text_row
 from tessera.sources.segment import BUCKET
 from tessera.sources.storage import Storage
@@ -40,6 +40,7 @@ class Engine:
         self.metrics: dict[str, list[float]] = defaultdict(lambda: [0, 0.0])
         self.logs = {t: logging.getLogger(f"tessera.{t}") for t in LOG_TOPICS}
         self.topics: set[str] = set()
+        self.settings: dict[str, int] = {"active-set-size-limit": ACTIVE_SET_SIZE_LIMIT, "cursor-ttl": int(cursor_ttl)}
 
     @contextmanager
     def _timed(self, what: str, topic: str) -> Iterator[None]:
@@ -55,7 +56,7 @@ class Engine:
     # Definitions
 
     def create(self, schema: str | T.StructType, name: str, **metadata: object) -> None:
-        self.catalog.create(schema, {"table name": name} | metadata)
+        self.catalog.create(schema, {"table name": name, "active_set_size_limit": self.settings["active-set-size-limit"]} | metadata)
 
     def drop(self, name: str) -> None:
         self.catalog.drop(name)
@@ -160,7 +161,7 @@ class Engine:
     # Writing
 
     def insert_text(self, name: str, row: str) -> None:
-        """One row of text; as in the reference semantics the primary key isn't checked."""
+        """One row of text; its primary key isn't looked up, unlike that of a batch."""
         t = self.catalog.get(name)
         with self._timed("InsertCommand", "insert"):
             self._append(t, text_row(self.spark, row, t.schema))
@@ -340,6 +341,17 @@ class Engine:
     def clear_metrics(self) -> None:
         self.metrics.clear()
 
+    def config(self, action: str, name: str, value: str | None = None) -> dict[str, int]:
+        """get or set a setting: active-set-size-limit (of tables to come), cursor-ttl (seconds)."""
+        if name not in self.settings or action not in ("get", "set"):
+            raise EngineError(f"Unknown setting: {name}")
+        if action == "set":
+            if value is None or not value.isdigit() or int(value) < 1:
+                raise EngineError(f"{name} must be a positive integer, not {value!r}")
+            self.settings[name] = int(value)
+            self.cursors.ttl = self.settings["cursor-ttl"]
+        return {name: self.settings[name]}
+
     def system_log(self, action: str, topic: str | None = None) -> list[str]:
         """set, reset or list the topics that are logged."""
         if topic is not None and topic not in LOG_TOPICS:

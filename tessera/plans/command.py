@@ -37,17 +37,33 @@ def schema_from_ipc(data: bytes) -> tuple[T.StructType, dict[str, str]]:
 def execute(engine: Engine, *words: str | bytes) -> object:
     """Run one command. Results that are rows come as Arrow IPC streams; the words are those of the command family
     TABLE (CREATE DROP LIST DESCRIBE INSERT BATCHINSERT SCAN SCANOPEN FETCHNEXT DEBUGSCAN ANN BATCHANN DELETE UPDATE
-    COUNTRECORDS COUNTINDEXEDELEMENTS TOTALRECORDCOUNT TOTALTABLECOUNT CHECKINDEXING SEGMENTSTATISTICS), SAVE, LOAD,
-    UNLOAD, METRICS and SYSTEMLOG."""
+    COUNTRECORDS COUNTINDEXEDELEMENTS TOTALRECORDCOUNT TOTALTABLECOUNT CHECKINDEXING SEGMENTSTATISTICS), SAVE, LOAD and
+    UNLOAD of a table, SAVE and LOAD of all, PING, INFO, CONFIG GET and SET, FLUSHALL, METRICS and SYSTEMLOG."""
     args = list(words)
     text = lambda x: x.decode() if isinstance(x, bytes) else x
     if not args:
         raise EngineError("No command given.")
     head = text(args.pop(0)).upper()
-    if head in ("SAVE", "LOAD", "UNLOAD", "VDB-SAVE", "VDB-LOAD", "VDB-UNLOAD"):
+    if head in ("VDB-SAVE", "VDB-LOAD", "VDB-UNLOAD") or (head in ("SAVE", "LOAD", "UNLOAD") and len(args) == 2):
         _need(args, 2, 2, head)
         getattr(engine, head.removeprefix("VDB-").lower())(text(args[0]), text(args[1]))
         return "OK"
+    if head in ("SAVE", "BGSAVE", "LOAD"):  # all tables; a save is done when it returns
+        _need(args, 1, 1, head)
+        (engine.load_all if head == "LOAD" else engine.save_all)(text(args[0]))
+        return "OK"
+    if head == "PING":
+        return text(args[0]) if args else "PONG"
+    if head == "FLUSHALL":
+        for name in engine.list_tables():
+            engine.drop(name)
+        return "OK"
+    if head == "INFO":
+        total, deleted = engine.total_record_count()
+        return {"tables": len(engine.list_tables()), "records": total, "deleted_records": deleted, "open_cursors": len(engine.cursors.open_cursors)}
+    if head == "CONFIG":
+        _need(args, 2, 3, head)
+        return engine.config(text(args[0]).lower(), text(args[1]), text(args[2]) if len(args) > 2 else None)
     if head == "METRICS":
         _need(args, 1, 1, head)
         if text(args[0]).upper() == "CLEAR":

@@ -291,6 +291,11 @@ def test_commands(engine):
     assert "Scan" in execute(engine, "METRICS", "PRINT") and execute(engine, "METRICS", "CLEAR") == "OK"
     assert execute(engine, "SYSTEMLOG", "set", "scan") == ["scan"] and execute(engine, "SYSTEMLOG", "reset") == []
     assert execute(engine, "TABLE", "DESCRIBE", "t").names == ["id", "name", "feature"]
+    assert execute(engine, "PING") == "PONG" and execute(engine, "INFO")["tables"] == 1
+    assert execute(engine, "CONFIG", "SET", "active-set-size-limit", "7") == {"active-set-size-limit": 7} == execute(engine, "CONFIG", "GET", "active-set-size-limit")
+    snapshot = engine.catalog.storage.root + "-all"
+    assert execute(engine, "SAVE", snapshot) == "OK" and execute(engine, "FLUSHALL") == "OK" and execute(engine, "TABLE", "LIST") == []
+    assert execute(engine, "LOAD", snapshot) == "OK" and execute(engine, "TABLE", "COUNTRECORDS", "t") == 2
     assert execute(engine, "TABLE", "DROP", "t") == "OK"
     for bad in ((), ("NOPE",), ("TABLE", "NOPE", "t"), ("TABLE", "SCAN", "t"), ("TABLE", "DROP", "t")):
         with pytest.raises(EngineError):
