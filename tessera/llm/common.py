@@ -70,6 +70,7 @@ def in_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> I
     for a, b in zip(starts[:-1], starts[1:], strict=True):
         if b > a:
             yield batch.slice(int(a), int(b - a))
+    pa.default_memory_pool().release_unused()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
