@@ -59,35 +59,59 @@ def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return starts, counts, m[starts], repeats
 
 
+#: Codes packed in one number, nine bits each.
+PACK = 7
+
+
+def packed(codes: np.ndarray) -> np.ndarray:
+    """The PACK codes from each place as one number, zeros beyond the end."""
+    n = len(codes)
+    padded = np.concatenate([codes.astype(np.int64), np.zeros(PACK, np.int64)])
+    key = np.zeros(n, np.int64)
+    for k in range(PACK):
+        key = (key << 9) | padded[k : k + n]
+    return key
+
+
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, sorted keys) of keys of up to 42 bits; sorting numbers that hold their places is much faster than sorting places."""
+    if len(keys) >= 1 << 21:
+        order = np.argsort(keys)
+        return order, keys[order]
+    both = np.sort(keys << 21 | np.arange(len(keys)))
+    return both & ((1 << 21) - 1), both >> 21
+
+
 def suffix_array(codes: np.ndarray) -> np.ndarray:
     """The starts of the suffixes of codes 0..256 in their order; one that ends first comes first.
 
     Larsson and Sadakane's scheme: only groups that are not settled are sorted again, by the rank of what follows.
     """
     n = len(codes)
-    padded = np.concatenate([codes.astype(np.int64), np.zeros(8, np.int64)])
+    used = np.bincount(codes, minlength=257) > 0
+    used[0] = True  # stands for what is beyond the end
+    dense = (np.cumsum(used) - 1)[codes]
+    bits = max(1, int(used.sum() - 1).bit_length())
+    h = 42 // bits
+    padded = np.concatenate([dense, np.zeros(h, np.int64)])
     key = np.zeros(n, np.int64)
-    for k in range(7):
-        key = (key << 9) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
-    first = np.r_[True, key[order][1:] != key[order][:-1]]
+    for k in range(h):
+        key = (key << bits) | padded[k : k + n]
+    order, key = _sorted(key)
+    first = np.r_[True, key[1:] != key[:-1]]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    h = 7
-    while h < n:
-        heads = np.flatnonzero(first)
-        sizes = np.diff(np.r_[heads, n])
-        open_ = np.repeat(sizes > 1, sizes)
-        slots = np.flatnonzero(open_)
+    while True:
+        slots = np.flatnonzero(~(first & np.r_[first[1:], True]))
         if not len(slots):
             break
         pos = order[slots]
         after = np.where(pos + h < n, rank[np.minimum(pos + h, n - 1)] + 1, 0)
-        sort = np.lexsort((after, rank[pos]))
-        pos, after = pos[sort], after[sort]
+        pair = rank[pos] * (n + 1) + after
+        sort, pair = _sorted(pair)
+        pos = pos[sort]
         order[slots] = pos
-        old = rank[pos]
-        new = np.r_[True, (old[1:] != old[:-1]) | (after[1:] != after[:-1])]
+        new = np.r_[True, pair[1:] != pair[:-1]]
         rank[pos] = slots[np.maximum.accumulate(np.where(new, np.arange(len(pos)), 0))]
         first[slots] = new
         h *= 2
@@ -98,25 +122,33 @@ def common_prefixes(codes: np.ndarray, order: np.ndarray, depth: int, stride: in
     """For each place of `order` the codes shared with the suffix before it, counted up to `depth`.
 
     Kasai: in text order the count falls by at most one from a suffix to the next. Every `stride`-th suffix is counted from
-    nothing and gives the others a count to start from.
+    nothing and gives the others a count to start from; counting takes PACK codes at a time.
     """
     n = len(codes)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
+    limit = np.minimum(depth, n - np.maximum(np.arange(n), before))
+    limit[before < 0] = 0
     count = np.zeros(n, np.int64)
-    padded = np.concatenate([codes, np.full(depth + 1, -1, codes.dtype)])
+    key = np.concatenate([packed(codes), np.zeros(depth + PACK, np.int64)])
 
     def extend(at: np.ndarray) -> None:
-        at = at[before[at] >= 0]
+        at = at[count[at] < limit[at]]
         while len(at):
-            ok = (count[at] < depth) & (padded[at + count[at]] == padded[before[at] + count[at]]) & (padded[at + count[at]] >= 0)
-            at = at[ok]
-            count[at] += 1
+            c = count[at]
+            apart = key[at + c] ^ key[before[at] + c]
+            same = np.full(len(at), PACK)
+            some = np.flatnonzero(apart)
+            x = apart[some]
+            same[some] = sum((x < (1 << (9 * (PACK - k)))).astype(np.int64) for k in range(1, PACK))
+            c = np.minimum(c + same, limit[at])
+            count[at] = c
+            at = at[(same == PACK) & (c < limit[at])]
 
     extend(np.arange(0, n, stride))
     for k in range(1, stride):
         at = np.arange(k, n, stride)
-        count[at] = np.where(before[at] >= 0, np.maximum(count[at - 1] - 1, 0), 0)
+        count[at] = np.minimum(np.maximum(count[at - 1] - 1, 0), limit[at])
         extend(at)
     return count[order]
 
