@@ -44,9 +44,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
-    for _ in range(2):  # what Python lets go of reaches the JVM a moment later
+    for _ in range(3):  # what Python lets go of reaches the JVM a moment later, and files go a moment after that
         gc.collect()
-        time.sleep(0.3)
+        time.sleep(0.7)
         spark._jvm.System.gc()
 
 
