@@ -247,16 +247,25 @@ def _verify(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc": sub.column("id").take(pa.array(text[pick])), "line": pa.array(line[pick].astype(np.int32)), "words": pa.array([raw[8 * a : 8 * b] for a, b in zip(bounds[pick].tolist(), bounds[pick + 1].tolist(), strict=True)], pa.binary())})
 
     sets = numbered.mapInArrow(emit, "doc long, line int, words binary").dropDuplicates(["doc", "line"])
-    both = pairs.join(sets, ["doc", "line"]).join(sets.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("words").alias("words0")), ["doc0", "line0"])
+    pair = F.struct("doc", "line", "doc0", "line0").alias("pair")
+    sides = pairs.select(pair, F.lit(0).alias("side"), "doc", "line").unionByName(pairs.select(pair, F.lit(1).alias("side"), F.col("doc0").alias("doc"), F.col("line0").alias("line")))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    both = sides.join(sets, ["doc", "line"]).select("pair.*", "side", "words").repartition(n, "doc", "line", "doc0", "line0").sortWithinPartitions("doc", "line", "doc0", "line0", "side")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first = None, b""
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("words").to_pylist(), batch.column("words0").to_pylist(), strict=True):
-                common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) if x != y else len(x) // 8
-                ok.append(common >= threshold * (len(x) // 8 + len(y) // 8 - common) - 1e-9)
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_pydict({n: batch.column(n).filter(mask) for n in ("doc", "line")})
+            found = []
+            for d, k, d0, k0, side, words in zip(*(batch.column(c).to_pylist() for c in ("doc", "line", "doc0", "line0", "side", "words")), strict=True):
+                if side == 0:
+                    key, first = (d, k, d0, k0), words
+                elif key == (d, k, d0, k0):
+                    x, y = len(first) // 8, len(words) // 8
+                    common = x if first == words else len(np.intersect1d(np.frombuffer(first, np.uint64), np.frombuffer(words, np.uint64), assume_unique=True))
+                    if common >= threshold * (x + y - common) - 1e-9:
+                        found.append((d, k))
+            docs_of, lines_of = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_pydict({"doc": pa.array(docs_of, pa.int64()), "line": pa.array(lines_of, pa.int32())})
 
     return both.mapInArrow(similar, "doc long, line int").distinct()
 
