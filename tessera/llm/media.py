@@ -162,8 +162,9 @@ def find_copies(queries: DataFrame, images: DataFrame, key: str = "id", image: s
     q, all_ = one(queries), one(images)
     classes = cut(all_.groupBy("same").agg(F.min("id").alias("id"), F.countDistinct("id").alias("n_images")))
     asked = q.groupBy("same").agg(F.min("id").alias("id"))
-    held = features(all_.join(classes.select("same", "id"), ["same", "id"], "left_semi").dropDuplicates(["same"]))
-    sought = features(q.join(asked, ["same", "id"], "left_semi").dropDuplicates(["same"]))
+    # Corners are a few kilobytes an image, less than the pixels: those of a class's other images are left out afterwards.
+    held = features(all_).join(classes.select("id"), "id", "left_semi")
+    sought = features(q).join(asked.select("id"), "id", "left_semi")
     b = _tables(held).select(*[F.col(c).alias(f"i_{c}") for c in ("id", "place", "d0", "d1")], "no", "value")
     met = _tables(sought).join(b, ["no", "value"]).where(F.bit_count(F.col("d0").bitwiseXOR(F.col("i_d0"))) + F.bit_count(F.col("d1").bitwiseXOR(F.col("i_d1"))) <= NEAR)
     # Two descriptors may meet in several tables: the votes below count corners, so that does no harm.
