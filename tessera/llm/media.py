@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
 
-#: Corners of a scale and of an image, scales (each three quarters of the one before), bits, the reach of the tests in pixels.
+#: Corners of a scale and of an image (64 at most: votes hold them as bits), scales (each three quarters of the one before), bits, the reach of the tests in pixels.
 CORNERS, TOTAL, SCALES, RATIO, TESTS, REACH = 32, 48, 2, 0.75, 128, 11
 #: Bits that two descriptors of one place may differ in, corners that must agree, the width in pixels of a vote's cell.
 NEAR, AGREE, CELL = 24, 6, 12
@@ -174,10 +174,15 @@ def find_copies(queries: DataFrame, images: DataFrame, key: str = "id", image: s
     turn = (part("i_place", 0) - part("place", 0)) * (2 * np.pi / 1024)
     dx = i_x - ratio * (F.cos(turn) * x - F.sin(turn) * y)
     dy = i_y - ratio * (F.sin(turn) * x + F.cos(turn) * y)
-    cells = [F.struct(F.floor(dx / CELL + a).alias("cx"), F.floor(dy / CELL + b).alias("cy"), F.lit(f"{a}{b}").alias("grid")) for a in (0, 0.5) for b in (0, 0.5)]
     step = F.pmod(F.round(turn * 12 / (2 * np.pi)), F.lit(12))
-    votes = met.select("id", "i_id", "corner", F.round(F.log2(ratio) * 2).alias("rs"), step.alias("rt"), F.explode(F.array(*cells)).alias("c"))
-    counted = votes.groupBy("id", "i_id", "rs", "rt", "c").agg(F.countDistinct("corner").alias("n")).groupBy("id", "i_id").agg(F.max("n").alias("n_inliers")).where(F.col("n_inliers") >= AGREE)
+    # Half cells with the corners that vote for them as bits; a vote's cell is any two by two of them.
+    half = lambda d: F.floor(d * 2 / CELL)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("corner"))
+    votes = met.select("id", "i_id", bit.alias("bit"), F.round(F.log2(ratio) * 2).alias("rs"), step.alias("rt"), half(dx).alias("hx"), half(dy).alias("hy"))
+    halves = votes.groupBy("id", "i_id", "rs", "rt", "hx", "hy").agg(F.bit_or("bit").alias("bits"))
+    around = F.explode(F.array(*[F.struct((F.col("hx") - a).alias("cx"), (F.col("hy") - b).alias("cy")) for a in (0, 1) for b in (0, 1)]))
+    cells = halves.select("id", "i_id", "rs", "rt", "bits", around.alias("c")).groupBy("id", "i_id", "rs", "rt", "c").agg(F.bit_count(F.bit_or("bits")).alias("n"))
+    counted = cells.groupBy("id", "i_id").agg(F.max("n").cast("long").alias("n_inliers")).where(F.col("n_inliers") >= AGREE)
     named = counted.join(classes.select(F.col("id").alias("i_id"), "n_images"), "i_id")
     return named.join(q.select("same", F.col("id").alias("query_id")).join(asked, "same").select("query_id", "id"), "id").select("query_id", F.col("i_id").alias("class_id"), "n_images", "n_inliers").distinct()
 
