@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-All of it is DataFrame operations. A word shingle that a document shares with an item lines the two up and so proposes a
-window of the item's length. The windows get weighted SimHash fingerprints; fingerprints of windows and of items of the
+All of it is DataFrame operations. The word shingles that a document shares with an item propose every window of the item's
+length that holds enough of their weight, in whatever order. The windows get weighted SimHash fingerprints; fingerprints of windows and of items of the
 same length meet when one of RADIUS + 1 bit blocks is equal, which every pair within RADIUS bits has; pairs within it are
 verified by the weighted Jaccard similarity of their shingles.
 """
@@ -52,8 +52,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
     Words are lower-case runs without white space, shingles five of them (all words of an item that has fewer). The
     similarity of a window and an item is that of their shingle sets, a shingle weighing ln(1 + items / items that have it)
-    in thousandths, ln(1 + items) where none has; from `threshold` on it is a leak. The best window is the most similar,
-    the first among equals; near the ends of a document, windows are moved inside; one that is longer than the document is
+    in thousandths, ln(1 + items) where none has; from `threshold` on it is a leak, wherever the window starts. The best
+    window is the most similar of those that a shared shingle lines up with an item, or of all where none of those is a
+    leak, the first among equals; near the ends of a document, windows are moved inside; one that is longer than the document is
     all of it. Null or empty texts and rows with null keys have no leaks; rows that repeat a key count as one document;
     an empty table on either side gives no rows; other columns are not read. Documents of any length are scanned whole.
     """
@@ -81,11 +82,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         hit = each.join(near(placed.where(F.col("width") == w)), "shingle")
         found = hit if found is None else found.unionByName(hit)
     # A window can be similar only if the document has enough of the item's shingles at all.
-    hits = cut(found.join(near(weights), "shingle").groupBy("doc", "item", "n_words", "n", "offset", "weight", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("n") - F.col("n_words"))).alias("start"), "width").agg(F.count("*").alias("times")))
+    hits = cut(found.join(near(weights), "shingle").select("doc", "item", "n_words", "width", "n", "pos", "offset", "weight").distinct())
     enough = hits.select("doc", "item", "n_words", "width", "offset", "weight").distinct().groupBy("doc", "item", "n_words", "width").agg(F.sum("weight").alias("got")).join(near(prints.select("item", "n_words", "width", "mass")), ["item", "n_words", "width"])
     # Offsets of a repeated shingle each count, so `got` is no less than the weight of the shared set.
-    enough = enough.where(F.col("got") >= F.lit(threshold) * F.col("mass") - 1e-9).select("doc", "item", "n_words", "width")
-    windows = cut(hits.join(enough, ["doc", "item", "n_words", "width"], "left_semi").select("doc", "start", "n_words", "width").distinct())
+    enough = enough.where(F.col("got") >= F.lit(threshold) * F.col("mass") - 1e-9).select("doc", "item", "n_words", "width", "mass")
+    # Every start has the places of shared shingles that its window holds; a shingle at two places counts twice, so again no window is lost.
+    places = hits.select("doc", "item", "n_words", "width", "n", "pos", "weight").distinct().join(enough, ["doc", "item", "n_words", "width"])
+    starts = F.sequence(F.greatest(F.lit(0), F.col("pos") + F.col("width") - F.col("n_words")), F.least(F.col("pos"), F.greatest(F.lit(0), F.col("n") - F.col("n_words"))))
+    held = places.withColumn("start", F.explode(starts)).groupBy("doc", "item", "n_words", "width", "n", "mass", "start").agg(F.sum("weight").alias("got"))
+    every = held.where(F.col("got") >= F.lit(threshold) * F.col("mass") - 1e-9).select("doc", "start", "n_words", "width", F.lit(False).alias("aligned"))
+    aligned = hits.join(enough, ["doc", "item", "n_words", "width"], "left_semi").select("doc", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("n") - F.col("n_words"))).alias("start"), "n_words", "width", F.lit(True).alias("aligned"))
+    windows = cut(every.unionByName(aligned).groupBy("doc", "start", "n_words", "width").agg(F.max("aligned").alias("aligned")))
     by_doc = windows.groupBy("doc").agg(F.collect_set(F.struct("start", "n_words", "width")).alias("at"))
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__t")).join(by_doc, "doc")
     split = texts.select("doc", F.transform(_words("__t"), lambda w: F.xxhash64(w)).alias("h"), F.explode("at").alias("at")).select("doc", "at.*", F.col("h"))
@@ -100,7 +107,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     shared = pairs.join(sets.select("doc", "start", "n_words", "width", "shingle", "weight"), ["doc", "start", "n_words", "width"]).join(item_sets.select("item", "n_words", "width", "shingle"), ["item", "n_words", "width", "shingle"])
     scored = shared.groupBy("doc", "item", "start", "n_words", "window_mass", "mass").agg(F.sum("weight").alias("common"))
     scored = scored.withColumn("similarity", F.col("common") / (F.col("window_mass") + F.col("mass") - F.col("common"))).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("doc", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), (-F.col("n_words")).alias("less"))).alias("best"))
+    scored = scored.join(windows.select("doc", "start", "n_words", "aligned"), ["doc", "start", "n_words"])
+    best = scored.groupBy("doc", "item").agg(F.max(F.struct("aligned", "similarity", (-F.col("start")).alias("back"), (-F.col("n_words")).alias("less"))).alias("best"))
     return best.select(F.col("doc").alias(key), F.col("item").alias(item_key), (-F.col("best.back")).alias("start"), (-F.col("best.less")).alias("n_words"), F.round("best.similarity", 6).alias("similarity"))
 
 

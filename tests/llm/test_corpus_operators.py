@@ -239,6 +239,31 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0 and decontaminate.find_leaks(df.limit(0), bench).count() == 0
 
 
+def test_leaks_in_another_order(spark):
+    """A passage that holds an item's words in another order shares no alignment with it at the best window."""
+    r = np.random.default_rng(11)
+    items = [(i, [f"i{i}_{k}" for k in range(n)]) for i, n in enumerate([45, 50, 58])]
+    docs = []
+    for i, y in items:
+        for cut in (len(y) // 4, len(y) // 3, len(y) // 2):
+            pad = [f"p{int(x)}" for x in r.integers(0, 1000, 90)]
+            docs.append((len(docs), i, pad[:40] + y[cut:] + y[:cut] + pad[40:]))
+    sets = lambda x: {tuple(x[k : k + 5]) for k in range(len(x) - 4)}
+    want = {}
+    for d, i, x in docs:  # shingles have one item each, or none: all weigh alike but for what no item has
+        own, some, none = sets(items[i][1]), round(1000 * np.log(1 + 3)), round(1000 * np.log(1 + 3))
+        for a in range(len(x) - len(items[i][1]) + 1):
+            win = sets(x[a : a + len(items[i][1])])
+            both = some * len(win & own) / (some * len(own) + none * len(win - own))
+            if both >= 0.8 and both > want.get((d, i), (0, 0))[1]:
+                want[d, i] = (a, both)
+    assert len(want) == len(docs)
+    df = spark.createDataFrame([(d, " ".join(x)) for d, _, x in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(y)) for i, y in items], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.start, x.similarity) for x in decontaminate.find_leaks(df, bench).collect()}
+    assert got == {k: (a, round(s, 6)) for k, (a, s) in want.items()}
+
+
 def test_images(spark):
     r = np.random.default_rng(7)
     pictures = {i: media.render(r.normal(0, 0.13, 64)) for i in range(30)}
