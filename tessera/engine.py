@@ -151,11 +151,11 @@ class Engine:
         return self.ivf[name, column]
 
     def approximate_ann(self, name: str, column: str, k: int, queries: Sequence[Sequence[float]], ef: int | None = None) -> DataFrame:
-        """The nearest rows by the column's inverted file; a larger ef looks into more cells."""
+        """The nearest rows by the column's inverted file: in two thirds of the cells, by test a recall at 10 of 0.9; an ef or k above that share of 200 looks into more, 200 into all."""
         if (name, column) not in self.ivf:
             raise EngineError(f"Column '{column}' of table '{name}' has no built index.")
         index = self.ivf[name, column]
-        nprobe = max(1, -(-len(index.centres) * max(k, ef or k) // 200))
+        nprobe = max(-(-len(index.centres) * 2 // 3), -(-len(index.centres) * max(k, ef or k) // 200))
         return index.search(self.spark, [check_query(q, self._width(name, column)) for q in queries], k, nprobe)
 
     # Writing

@@ -163,6 +163,22 @@ def test_recall(spark, tmp_path, metric):
     assert recall(len(index.centres) * 2 // 3) >= 0.9
 
 
+def test_recall_of_the_approximate_command(engine):
+    data = np.random.default_rng(2).uniform(-1, 1, (1000, 16))
+    engine.create("ID uint32 not null, Feature Fixed_Size_List[ 16, Float32 ]", "a", index_info=[{**INDEX[0], "column_id": "1"}])
+    df = engine.spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, feature array<float>")
+    engine.insert("a", df)
+    engine.build_index("a", "feature", f"{engine.catalog.storage.root}/ivf")
+    queries = data[:40].tolist()
+    truth = exact_ids(engine.spark, df, "feature", "id", queries, 10, "l2")
+    for ef in (None, 30, 1000):
+        got = [set() for _ in queries]
+        for row in engine.approximate_ann("a", "feature", 10, queries, ef).collect():
+            got[row.query_idx].add(row.id)
+        recall = sum(len(a & b) for a, b in zip(truth, got, strict=True)) / 400
+        assert recall >= (1.0 if ef == 1000 else 0.9), ef
+
+
 def test_primary_key(engine):
     from pyspark.sql import types as T
 
