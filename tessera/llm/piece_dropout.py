@@ -2,8 +2,9 @@
 
 Merging takes the best-scored adjacent pair first, the leftmost on ties. A candidate merge, named by the word and the
 borders of its two halves, is skipped when a keyed hash of it falls below the dropout rate. With rate 0 the ids are those
-of the library. A word's key also holds one of VARIANTS numbers, drawn by a keyed hash of the document and the word's
-place, so that the occurrences of a word differ; a run with the same seed repeats exactly, in whatever task it runs.
+of the library. A word's key also holds the document and the word's place, so that every occurrence of a word draws anew;
+occurrences share their work only where the same candidates of a word are skipped. A run with the same seed repeats
+exactly, in whatever task it runs.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,10 +24,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import hash_strings, in_chunks, mix64, text_of
 
-VARIANTS = 4
 SPACE = "▁"
 #: The priority of a pair that does not merge.
 NEVER = np.int32(2**31 - 1)
+#: Candidate merges of a word that are drawn ahead, as bits of a number, and words whose candidates a task remembers.
+DRAWN, REMEMBERED = 64, 200_000
 #: Words of up to so many characters are merged together in arrays; longer ones by an agenda of their own.
 WIDTHS = (8, 16, 32, 64)
 
@@ -52,11 +55,15 @@ class Pieces:
         rank = np.empty(n, np.int32)
         rank[by_score] = np.arange(n)
         pairs = {}
+        self.splits: dict[str, list[int]] = {}
         for p, i in self.ids.items():
             for k in range(1, len(p)):
                 a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = i
+                    self.splits.setdefault(p, []).append(k)
+        self.longest = max(map(len, self.splits), default=0)
+        self.known: dict[str, list[int] | None] = {}
         self.pairs = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
@@ -77,6 +84,17 @@ class Pieces:
         with np.errstate(over="ignore"):
             return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
+    def candidates(self, word: str) -> list[int] | None:
+        """The borders (7 bits each) of every merge that can ever be a candidate in a word; None if there are more than DRAWN."""
+        if word not in self.known:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            n, at = len(word), None
+            if n <= WIDTHS[-1]:
+                at = [a << 14 | (a + k) << 7 | e for a in range(n) for e in range(a + 2, min(n, a + self.longest) + 1) for k in self.splits.get(word[a:e], ())]
+            self.known[word] = at if at is not None and len(at) <= DRAWN else None
+        return self.known[word]
+
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Where in `keys` each pair is, or -1."""
         key = (left.astype(np.int64) << 32) | right
@@ -91,14 +109,44 @@ class Pieces:
         return at
 
 
-def skipped(word_keys: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, rate: float) -> np.ndarray:
-    """Which candidate merges the keyed hash skips."""
-    if rate <= 0:
-        return np.zeros(len(word_keys), bool)
+def spots(start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the borders of candidate merges."""
     with np.errstate(over="ignore"):
         place = (start.astype(np.uint64) * np.uint64(0x100000001B3) + middle.astype(np.uint64)) * np.uint64(0x100000001B3) + end.astype(np.uint64)
-        h = mix64(word_keys ^ mix64(place + np.uint64(0x9E3779B97F4A7C15)))
-    return h < np.uint64(min(int(rate * 2**64), 2**64 - 1))
+        return mix64(place + np.uint64(0x9E3779B97F4A7C15))
+
+
+def below(word_keys: np.ndarray, spot: np.ndarray, rate: float) -> np.ndarray:
+    return mix64(word_keys ^ spot) < np.uint64(min(int(rate * 2**64), 2**64 - 1))
+
+
+def skipped(word_keys: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, rate: float) -> np.ndarray:
+    """Which candidate merges the keyed hash skips."""
+    return below(word_keys, spots(start, middle, end), rate) if rate > 0 else np.zeros(len(word_keys), bool)
+
+
+def alike(p: Pieces, words: list[str], codes: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """(first, which): an occurrence of each word and set of skipped candidates, and for every occurrence which of these it is."""
+    often = np.bincount(codes, minlength=len(words)) > 3  # rare words have little to share
+    found = [p.candidates(w) if o else None for w, o in zip(words, often.tolist(), strict=True)]
+    size = np.array([len(f) if f is not None else 0 for f in found], np.int64)
+    start = np.cumsum(size) - size
+    borders = np.fromiter(chain.from_iterable(f for f in found if f is not None), np.int64, int(size.sum()))
+    flat = spots(borders >> 14, borders >> 7 & 127, borders & 127)
+    alone = np.array([f is None for f in found], bool)[codes]
+    drawn = np.zeros(len(codes), np.uint64)
+    live = np.flatnonzero(size[codes] > 0)
+    for j in range(int(size.max(initial=0))):
+        live = live[size[codes[live]] > j]
+        drawn[live] |= below(keys[live], flat[start[codes[live]] + j], rate).astype(np.uint64) << np.uint64(j)
+    drawn[alone] = np.flatnonzero(alone)
+    order = np.lexsort((drawn, codes))
+    c, d = codes[order], drawn[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (c[1:] != c[:-1]) | (d[1:] != d[:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
 
 
 def merge_one(p: Pieces, chars: np.ndarray, key: int, rate: float) -> list[tuple[int, int]]:
@@ -274,11 +322,12 @@ def encode_texts(p: Pieces, texts: pa.Array, text_keys: np.ndarray, rate: float,
         count = np.diff(offsets)
         place = np.arange(len(codes)) - np.repeat(offsets[:-1], count)
         secret = mix64(np.array([seed], np.uint64) + np.uint64(0x5EED))[0]
-        variant = mix64(np.repeat(mix64(text_keys ^ secret), count) + place.astype(np.uint64)) % np.uint64(VARIANTS) if rate > 0 else np.zeros(len(codes), np.uint64)
-        pair = codes * VARIANTS + variant.astype(np.int64)
-        distinct, which = np.unique(pair, return_inverse=True)
-        keys = mix64(hash_strings(words)[distinct // VARIANTS] ^ mix64(secret + (distinct % VARIANTS).astype(np.uint64)))
-    ids, ends = encode_words(p, pc.take(words, pa.array(distinct // VARIANTS)).to_pylist(), keys, rate)
+        keys = mix64(hash_strings(words)[codes] ^ mix64(np.repeat(mix64(text_keys ^ secret), count) + place.astype(np.uint64)))
+    if rate > 0:
+        first, which = alike(p, words.to_pylist(), codes, keys, rate)
+    else:
+        _, first, which = np.unique(codes, return_index=True, return_inverse=True)
+    ids, ends = encode_words(p, pc.take(words, pa.array(codes[first])).to_pylist(), keys[first], rate)
     sizes = np.diff(ends)[which]
     out = ragged(ids, ends[:-1][which], sizes)
     total = np.concatenate([[0], np.cumsum(sizes)])

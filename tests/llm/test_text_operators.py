@@ -150,6 +150,20 @@ def test_merging_in_arrays_is_the_agenda():
             assert piece_dropout.merge_one(p, chars, key, 0.3) == [(int(sym[0, i]), i) for i in np.flatnonzero(alive[0])]
 
 
+def test_every_occurrence_of_a_word_draws_anew():
+    p = piece_dropout.pieces(vocabulary(PIECE_BPE))
+    word, n = "worthwhile", 3000
+    ids, offsets = piece_dropout.encode_texts(p, pa.array([f"{word} " * n + "x" * 99]), np.array([7], np.uint64), 0.1, 0)
+    secret = piece_dropout.mix64(np.array([0], np.uint64) + np.uint64(0x5EED))[0]
+    with np.errstate(over="ignore"):
+        place = piece_dropout.mix64(piece_dropout.mix64(np.array([7], np.uint64) ^ secret) + np.arange(n).astype(np.uint64))
+    keys = piece_dropout.mix64(piece_dropout.hash_strings(pa.array(["▁" + word])) ^ place)
+    chars = np.array([ord(c) for c in "▁" + word])
+    want = [tuple(s for s, _ in piece_dropout.merge_one(p, chars, int(k), 0.1)) for k in keys]
+    assert ids[: sum(map(len, want))].tolist() == [i for x in want for i in x]
+    assert len(set(want)) > 12
+
+
 def test_pieces_query(spark):
     df = docs(spark, [*ODD, "the same words the same words the same words " * 20]).selectExpr("doc_id", "text", "5 as n_tokens")
     first = {r.doc_id: r.ids for r in piece_dropout.encode_pieces(df, vocabulary(PIECE_BPE), 0.3, 1).collect()}
