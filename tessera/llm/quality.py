@@ -107,7 +107,9 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, steps: int = 500,
             m1 += 0.1 * (g - m1)
             m2 += 0.001 * (g * g - m2)
             p -= (0.01 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-    x = np.concatenate([pooled(model, texts[i : i + 256]) for i in range(0, len(texts), 256)]).astype(np.float64)
+    parts = np.cumsum([len(t) for t in texts]) >> 20  # a text of more than a megabyte is a part of its own
+    edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(texts)]
+    x = np.concatenate([pooled(model, texts[a:b]) for a, b in zip(edges, edges[1:], strict=False)]).astype(np.float64)
     scale = x.std(0) + 1e-6
     centre = x.mean(0)
     z = np.concatenate([(x - centre) / scale, np.ones((len(x), 1))], axis=1)
@@ -131,12 +133,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
     return docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id")  # `limit` rows bound the broadcast
 
 
-#: Labelled documents and code points of each that the model is fitted on; scoring reads whole texts.
-SAMPLE, SAMPLE_CHARS = 3000, 20_000
+#: Labelled documents that the model is fitted on, each by its whole text.
+SAMPLE = 3000
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
-    rows = training_rows(docs, labels, "quality", 5, 0, limit).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "y").collect()
+    rows = training_rows(docs, labels, "quality", 5, 0, limit).select("doc_id", "text", "y").collect()
     rows.sort(key=lambda r: (r.doc_id, r.y, r.text))
     return fit([r.text.encode() for r in rows], np.array([r.y for r in rows]))
 

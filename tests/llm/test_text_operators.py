@@ -214,6 +214,16 @@ def test_quality_covers_the_whole_text_and_ignores_neighbours():
         assert np.allclose(together[i], np.r_[chunks.mean(0), chunks.max(0)], atol=1e-3)
 
 
+def test_quality_learns_from_the_end_of_long_texts(spark):
+    good, bad = labelled(4, 12)
+    neutral = " ".join(["same words"] * 2000)  # over 20,000 characters
+    texts = [neutral + " " + " ".join([t] * 30) for t in good + bad]
+    df = docs(spark, texts)
+    labels = spark.createDataFrame([(i, int(i < 12)) for i in range(24)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.score_quality(df, quality.train(df, labels)).collect()}
+    assert all((got[i] > 0.5) == (i < 12) for i in range(24))
+
+
 def test_quality_query_shapes(spark):
     df = docs(spark, ODD).selectExpr("doc_id", "text", "'a' as score", "1 as label")
     model = quality.fit([], np.zeros(0))
