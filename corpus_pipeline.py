@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, lines, piece_dropout, quality
@@ -27,10 +27,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+def _shingle_set(text: Column) -> Column:
+    """The distinct runs of five lower-case words of a text, ascending; all its words are one if they are fewer."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - 5)), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, 5), " ")))
+    return F.array_sort(F.array_distinct(F.transform(F.array(words), runs)[0]))  # so that words are split once, not for each run
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of similar documents the one with the least doc_id stays."""
+    """Of each class of similar documents the one with the least doc_id stays; of rows with one doc_id, or none, and one set of shingles the least.
+
+    Rows without doc_id are compared with each other only; those that have no words either all stay.
+    """
     later = jaccard.jaccard_classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(docs.columns)
+    rows = docs.join(later, "doc_id", "left_anti").select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    alone = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"\S")
+    # Copies meet before the shuffle, so that no task holds a large group of them.
+    once = rows.where(~alone).groupBy("doc_id", F.sha2(F.array_join(_shingle_set(F.col("text")).cast("array<string>"), ","), 256)).agg(F.min("row").alias("row"))
+    return once.select("row.*").unionByName(rows.where(alone).select("row.*")).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

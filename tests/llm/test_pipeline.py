@@ -28,3 +28,11 @@ def test_null_and_empty_documents(spark):
         out = stage(spark, docs, sf)
         assert out.count() >= 1 and (name == "tokens" or out.columns == docs.columns)
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_one_row_of_each_repeated_document_stays(spark):
+    rows = [(1, "a b c d e f"), (1, "A b  c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "g h i j k l"), (None, "g h i j k l"), (None, None), (None, ""), (3, "x"), (3, "x"), (4, "other words of that one"), (4, "quite another text of this id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    got = sorted(map(tuple, kept.collect()), key=str)
+    assert got == sorted([(1, "A b  c d e f"), (None, "g h i j k l"), (None, None), (None, ""), (3, "x"), (4, "other words of that one"), (4, "quite another text of this id")], key=str)
