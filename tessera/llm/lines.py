@@ -1,11 +1,16 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its lower-case words. Words are ordered by rarity; two sets with Jaccard similarity of at least t share
-a word in their prefixes of n - ceil(t n) + 1 rarest words. Pairs that share one pass filters on their lengths, on the
-places of the shared word and on word bitmaps, each of which only drops pairs that can't be similar, and are then verified.
-
-Rarity is kept in a table of fixed size (ranks by word hash, a byte each), so any number of words fits; words that share a
-cell only make the order less sharp, never the join less exact.
+A line is the set of its lower-case words. Words are ordered by rarity; two sets of similarity t or more share their rarest
+common word within the first n - ceil(t n) + 1 words of both, and their second rarest within one word more. So a line is
+posted under each of its first words that is not frequent, and under each pair of its first frequent words: whichever word
+is the rarest common one, the lines meet, and no key gathers the lines of a frequent word. Lines that meet pass filters on
+their lengths, on the places of the shared key and on 128 bits that tell how many words differ at least; each only drops
+lines that can't be similar. A line names few earlier candidates and is done when one of them is verified; the lines whose
+candidates all fail, and that may have more, look at all of them.
+
+Postings travel packed, a row for a bucket of keys and a chunk of text. Equal lines are merged within a chunk, within a task
+as far as they recur, and where they meet. Rarity is kept in a table of fixed size (a byte for a cell of word hashes), so any
+number of words fits; words that share a cell only make the order less sharp, never the join less exact.
 """
 
 from __future__ import annotations
@@ -17,17 +22,29 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.llm.common import cut, in_chunks, mix64, release, text_of, word_counts, word_hashes
 
 THRESHOLD = 0.8
-#: Cells of the rarity table, and of the table of lines that verification needs.
-CELLS, NEEDED = 1 << 24, 1 << 22
-#: Earlier candidates that a line sends on for each shared word before the rest wait for the outcome.
-FIRST = 1
-#: Pairs compared at a time, and postings gathered for that.
-TILE, HOLD = 1 << 20, 1 << 18
+#: Cells of the rarity table, in blocks that are summed apart.
+CELLS, BLOCK = 1 << 24, 1 << 18
+#: Words of this rank (8 log2 of the occurrences of their cell) or more are frequent: they are posted in pairs.
+FREQUENT = 8 * 10
+#: Lines with more distinct words post frequent words one by one, apart from those of shorter lines.
+LONG = 500
+#: Earlier candidates that a line names for each key before the rest wait for the outcome.
+FIRST = 2
+#: Text and pairs of frequent words handled at a time, pairs of lines compared at a time, and sets that a task remembers as recurring.
+CHUNK, PAIRS, TILE, RECURRING = 8 << 20, 1 << 20, 1 << 20, 1 << 16
+#: Cells of the table of keys that are wanted in the second round.
+NEEDED = 1 << 22
+#: Buckets of keys for each shuffle partition; a task holds one bucket at a time.
+SPREAD = 4
+
+PACKED = {"key": "<u4", "same": "<u8", "b1": "<u8", "b2": "<u8", "line": "<u4", "size": "<u4", "place": "<u4", "doc": "<i8", "sub": "<i8"}
+POSTED = "bucket int, " + ", ".join(f"{c} binary" for c in PACKED)
+FOUND = "doc long, sub long, line int, doc0 long, sub0 long, line0 int, bucket int, key long, more boolean"
+ID, ID0 = ["doc", "sub", "line"], ["doc0", "sub0", "line0"]
 
 
 def _lines(texts: pa.Array, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,230 +79,354 @@ def _need(threshold: float, sizes: np.ndarray) -> np.ndarray:
     return np.ceil(threshold * sizes - 1e-9).astype(np.int64)
 
 
-def _rarity(docs: DataFrame) -> np.ndarray:
-    """The rank of each cell (0 to 255): a logarithm of how often words of the cell occur in all documents; 0 for at most once."""
+def _pack(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Binary values of the runs of an array between bounds."""
+    raw = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * raw.itemsize).astype(np.int32)), pa.py_buffer(raw)])
+
+
+def _unpack(column: list, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind)
+
+
+def _rarity(docs: DataFrame, n: int) -> np.ndarray:
+    """The rank of each cell (0 to 255): 8 log2 of how often words of the cell occur in all documents; 0 for at most once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for part in in_chunks(batch, "t"):
-                words, n = word_counts(part.column("t"))
-                np.add.at(total, _cell(words), n.astype(np.uint32))
+                words, counts = word_counts(part.column("t"))
+                total += np.bincount(_cell(words), counts, CELLS).astype(np.uint32) if len(words) > CELLS // 16 else 0
+                if len(words) <= CELLS // 16:
+                    np.add.at(total, _cell(words), counts.astype(np.uint32))
         cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(cells.astype(np.int32)), "n": pa.array(total[cells].astype(np.int64))})
+        bounds = np.searchsorted(cells, np.arange(0, CELLS + 1, BLOCK))
+        yield pa.RecordBatch.from_pydict({"block": pa.array(np.arange(len(bounds) - 1, dtype=np.int32)), "cells": _pack((cells % BLOCK).astype("<u4"), bounds), "n": _pack(total[cells].astype("<u4"), bounds)})
 
-    counted = docs.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
-    got = counted.select("cell", F.least(F.lit(255), F.ceil(F.log2("n") * 8)).cast("short").alias("n")).toArrow()  # at most CELLS rows
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, cells, counts in zip(batch.column("block").to_pylist(), batch.column("cells").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                np.add.at(total.setdefault(block, np.zeros(BLOCK, np.int64)), np.frombuffer(cells, "<u4"), np.frombuffer(counts, "<u4"))
+        for block, sums in total.items():
+            ranks = np.where(sums > 1, np.minimum(255, np.ceil(np.log2(np.maximum(sums, 1)) * 8)), 0).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "ranks": pa.array([ranks.tobytes()], pa.binary())})
+
+    summed = docs.select("t").mapInArrow(count, "block int, cells binary, n binary").repartition(min(n, CELLS // BLOCK), "block").mapInArrow(add, "block int, ranks binary")
     table = np.zeros(CELLS, np.uint8)
-    table[got["cell"].to_numpy()] = got["n"].to_numpy()
+    for row in summed.toLocalIterator():  # CELLS bytes in all
+        table[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.ranks, np.uint8)
     return table
 
 
-def _postings(docs: DataFrame, rarity, threshold: float, only=None) -> DataFrame:
-    """(word, doc, line, place, size, b1, b2) for the prefix words of every line, or local = true for a line that equals an earlier one near it.
-
-    Lines of one chunk with the same words come once, as the earliest; the others are known to go. A word that no other
-    line has can't join, so it is left out. only: a bitmap of the words that are wanted.
-    """
+def _keys(words: np.ndarray, bounds: np.ndarray, ranks: np.ndarray, same: np.ndarray, live: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, line, place) under which the live lines are posted: first words, pairs of first frequent words, or the whole set if it is similar to no other."""
+    sizes = np.diff(bounds)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(words)) - bounds[:-1][row]
+    spare = sizes - _need(threshold, sizes)
+    lone = np.floor(sizes / threshold + 1e-9) == sizes
+    joins = live & ~lone
+    often = ranks >= FREQUENT
+    at = np.flatnonzero((place <= spare[row]) & joins[row] & (ranks > 0) & (~often | (sizes >= threshold * LONG)[row]))
+    with np.errstate(over="ignore"):
+        yield np.where(often[at], mix64(words[at] + np.uint64(1)), words[at]), row[at], place[at]
+        alone = np.flatnonzero(live & lone)
+        yield same[alone], alone, np.zeros(len(alone), np.int64)
+        # Frequent words are the last ones of the order; each goes with those after it.
+        at = np.flatnonzero((place <= spare[row] + 1) & joins[row] & often & (sizes <= LONG)[row])
+        if not len(at):
+            return
+        ends = np.searchsorted(row[at], row[at], side="right")
+        partners = ends - np.arange(len(at)) - 1
+        cells = np.cumsum(partners) // PAIRS
+        for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(cells)) + 1):
+            a = np.repeat(part, partners[part])
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(partners[part]) - partners[part], partners[part])
+            yield mix64(words[at[a]] * np.uint64(0x9E3779B97F4A7C15) + words[at[b]]), row[at[a]], place[at[a]]
+
+
+class _Recurring:
+    """The sets that recurred in a task so far, each with its least line; a bounded number."""
+
+    def __init__(self) -> None:
+        self.same = np.zeros(0, np.uint64)
+        self.least = np.zeros((3, 0), np.int64)
+
+    def later(self, same: np.ndarray, own: np.ndarray, again: np.ndarray) -> np.ndarray:
+        """Which lines (own: doc, sub, line) equal an earlier one that is remembered; lines marked `again` are remembered from now on."""
+        out = np.zeros(len(same), bool)
+        if len(self.same):
+            at = np.minimum(np.searchsorted(self.same, same), len(self.same) - 1)
+            hit = np.flatnonzero(self.same[at] == same)
+            out[hit] = _less(self.least[:, at[hit]], own[:, hit])
+            lower = hit[~out[hit]]
+            self.least[:, at[lower]] = own[:, lower]
+            again = again.copy()
+            again[hit] = False
+        new = np.flatnonzero(again)[: max(0, RECURRING - len(self.same))]
+        if len(new):
+            keys = np.concatenate([self.same, same[new]])
+            order = np.argsort(keys, kind="stable")
+            self.same, self.least = keys[order], np.concatenate([self.least, own[:, new]], axis=1)[:, order]
+        return out
+
+
+def _less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the columns of a come before those of b."""
+    return (a[0] < b[0]) | ((a[0] == b[0]) & ((a[1] < b[1]) | ((a[1] == b[1]) & (a[2] < b[2]))))
+
+
+def _postings(docs: DataFrame, rarity, buckets: int, threshold: float, only=None) -> DataFrame:
+    """Packed postings of all lines by bucket of their keys; bucket -1 has the lines that equal an earlier one of their task. only: a bitmap of the wanted keys."""
+
+    def rows(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+        order = np.argsort(bucket.astype(np.int16) if buckets < 1 << 15 else bucket, kind="stable")
+        b = bucket[order]
+        starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
+        bounds = np.r_[starts, len(b)].astype(np.int64)
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(b[starts].astype(np.int32))} | {c: _pack(columns[c][order].astype(kind), bounds) for c, kind in PACKED.items()})
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = rarity.value
+        rank, memory = rarity.value, _Recurring()
         for batch in batches:
-            for part in in_chunks(batch, "t"):
+            for part in in_chunks(batch, "t", CHUNK):
                 text, line, words, bounds = _lines(part.column("t"), rank)
                 if not len(text):
                     continue
-                doc = part.column("id").to_numpy(zero_copy_only=False)[text]
+                own = np.stack([part.column("id").to_numpy(zero_copy_only=False)[text], part.column("sub").to_numpy(zero_copy_only=False)[text], line])
                 sizes = np.diff(bounds)
-                row = np.repeat(np.arange(len(sizes)), sizes)
                 with np.errstate(over="ignore"):
                     same = np.add.reduceat(mix64(words), bounds[:-1]) ^ mix64(np.bitwise_xor.reduceat(words, bounds[:-1]) + sizes.astype(np.uint64))
-                order = np.lexsort((line, doc, same))
-                later = np.zeros(len(order), bool)
-                later[order[1:]] = same[order[1:]] == same[order[:-1]]
+                order = np.lexsort((own[2], own[1], own[0], same))
+                twin = np.r_[False, same[order[1:]] == same[order[:-1]]]
+                later, again = np.zeros(len(order), bool), np.zeros(len(order), bool)
+                # Rows that repeat a key and a text are one document: none of their lines is later than the other's.
+                head = order[np.maximum.accumulate(np.where(twin, 0, np.arange(len(order))))]
+                differs = (own[:, order] != own[:, head]).any(axis=0)
+                later[order] = differs
+                extra = np.zeros(len(order), bool)
+                extra[order] = twin & ~differs
+                again[order] = np.r_[twin[1:], False] & ~twin
+                kept = np.flatnonzero(~later & ~extra)
+                later[kept] = memory.later(same[kept], own[:, kept], again[kept])
                 mark, high = np.uint64(1) << (words & np.uint64(63)), words & np.uint64(64) > 0
-                b1 = np.bitwise_or.reduceat(np.where(high, np.uint64(0), mark), bounds[:-1])
-                b2 = np.bitwise_or.reduceat(np.where(high, mark, np.uint64(0)), bounds[:-1])
-                place = np.arange(len(words)) - bounds[:-1][row]
-                keep = (place <= (sizes - _need(threshold, sizes))[row]) & ~later[row]
-                keep[keep] = rank[_cell(words[keep])] > 0
-                # So short a set is similar to no other than itself: the whole set is its only key.
-                whole = np.floor(sizes / threshold + 1e-9) == sizes
-                lone = whole[row]
-                keep &= ~lone | (place == 0)
-                words = np.where(lone, same[row], words)
-                gone = np.flatnonzero(later)
-                if only is not None:
-                    cell = (words >> np.uint64(12)).astype(np.int64) % NEEDED
-                    keep &= (only.value[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) > 0
-                    gone = gone[:0]
-                r = row[keep]
-                none = np.zeros(len(gone), np.int64)
-                cat = lambda a, b, kind: pa.array(np.concatenate([a, b]).astype(kind))
-                yield pa.RecordBatch.from_pydict({
-                    "word": cat((words[keep] >> np.uint64(12)).view(np.int64), mix64((doc[gone] * 1000 + line[gone]).view(np.uint64)).view(np.int64) >> 12, np.int64),
-                    "doc": cat(doc[r], doc[gone], np.int64), "line": cat(line[r], line[gone], np.int32), "place": cat(place[keep], none - 1, np.int32),
-                    "size": cat(sizes[r], none, np.int32), "b1": cat(b1[r].view(np.int64), none, np.int64), "b2": cat(b2[r].view(np.int64), none, np.int64),
-                })
-
-    return docs.mapInArrow(emit, "word long, doc long, line int, place int, size int, b1 long, b2 long")
+                bits = {"b1": np.bitwise_xor.reduceat(np.where(high, np.uint64(0), mark), bounds[:-1]), "b2": np.bitwise_xor.reduceat(np.where(high, mark, np.uint64(0)), bounds[:-1])}
+                at = lambda r, key, place: {"key": key, "same": same[r], "line": line[r], "size": sizes[r], "place": place, "doc": own[0][r], "sub": own[1][r]} | {c: v[r] for c, v in bits.items()}
+                if only is None and (gone := np.flatnonzero(later)).size:
+                    none = np.zeros(len(gone), np.int64)
+                    yield rows(none - 1, at(gone, none, none))
+                for key, r, place in _keys(words, bounds, rank[_cell(words)], same, ~later & ~extra, threshold):
+                    bucket = (key % np.uint64(buckets)).astype(np.int64)
+                    if only is not None:
+                        cell = (key >> np.uint64(32)).astype(np.int64) % NEEDED
+                        want = np.flatnonzero((only.value[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1))
+                        key, r, place, bucket = key[want], r[want], place[want], bucket[want]
+                    if len(key):
+                        yield rows(bucket, at(r, key >> np.uint64(32), place))
+
+    return docs.mapInArrow(emit, POSTED)
+
+
+class _Bucket:
+    """The postings of one bucket in order of (key, size); equal sets of a key stand as their earliest line."""
+
+    def __init__(self, columns: dict[str, list], threshold: float) -> None:
+        rows = {c: _unpack(columns[c], kind) for c, kind in PACKED.items()}
+        marks = rows["size"] == 0  # lines that the second round asks for
+        self.asked = {c: rows[c][marks] for c in ("key", "doc", "sub", "line")}
+        if marks.any():
+            rows = {c: v[~marks] for c, v in rows.items()}
+        both = (rows["key"].astype(np.uint64) << np.uint64(32)) | rows["size"]
+        order = np.lexsort((rows["line"], rows["sub"], rows["doc"], rows["same"], both))
+        both, same = both[order], rows["same"][order]
+        twin = np.zeros(len(order), bool)
+        twin[1:] = (both[1:] == both[:-1]) & (same[1:] == same[:-1])
+        head = order[np.maximum.accumulate(np.where(twin, 0, np.arange(len(order))))] if len(order) else order
+        differs = np.zeros(len(order), bool)
+        for c in ("doc", "sub", "line"):
+            differs |= rows[c][order] != rows[c][head]
+        gone = order[differs & (rows["place"][order] == 0)]
+        self.gone = {c: rows[c][gone] for c in ("doc", "sub", "line")}
+        kept = order[~twin]
+        self.rows, self.both = {c: v[kept] for c, v in rows.items()}, both[~twin]
+        self.size, self.place = self.rows["size"].astype(np.int64), self.rows["place"].astype(np.int64)
+        self.threshold = threshold
+        self.since = np.empty(len(kept), np.int64)
+        self.since[np.lexsort((self.rows["line"], self.rows["sub"], self.rows["doc"]))] = np.arange(len(kept))
+        key = self.both & np.uint64(0xFFFFFFFF00000000)
+        least, most = _need(threshold, self.size), np.floor(self.size / threshold + 1e-9).astype(np.int64)
+        self.lo = np.searchsorted(self.both, key | least.astype(np.uint64))
+        self.hi = np.searchsorted(self.both, key | most.astype(np.uint64), side="right")
+
+    def passes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether y is earlier than x and no filter tells that they can't be similar."""
+        t, r = self.threshold, self.rows
+        out = np.flatnonzero(self.since[y] < self.since[x])
+        x, y = x[out], y[out]
+        both = self.size[x] + self.size[y]
+        gap = np.bitwise_count(r["b1"][x] ^ r["b1"][y]).astype(np.int64) + np.bitwise_count(r["b2"][x] ^ r["b2"][y])
+        ok = gap <= np.floor(both * (1 - t) / (1 + t) + 1e-9)  # the words that may differ
+        out, x, y, both = out[ok], x[ok], y[ok], both[ok]
+        ok = np.minimum(self.place[x], self.place[y]) + np.minimum(self.size[x] - self.place[x], self.size[y] - self.place[y]) >= np.ceil(t / (1 + t) * both - 1e-9)
+        return out[ok]
+
+    def first(self, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, earlier line, more): for each line up to `most` candidates, those of like size first, and whether there may be more."""
+        found = np.zeros(len(self.size), np.int64)
+        left, right = [], []
+        live, d = np.flatnonzero(self.hi - self.lo > 1), 1
+        while len(live) > 16:
+            for step in (-d, d):
+                for x in np.array_split(live, len(live) // TILE + 1):
+                    y = x + step
+                    ok = np.flatnonzero((y >= self.lo[x]) & (y < self.hi[x]) & (found[x] < most))
+                    x, y = x[ok], y[ok]
+                    ok = self.passes(x, y)
+                    left.append(x[ok])
+                    right.append(y[ok])
+                    found[x[ok]] += 1
+            d += 1
+            live = live[(found[live] < most) & ((live - d >= self.lo[live]) | (live + d < self.hi[live]))]
+        # The few that are left, such as the earliest line of a large group, go through their range at once.
+        for x in live.tolist():
+            for a in range(self.lo[x], self.hi[x], TILE):
+                y = np.arange(a, min(a + TILE, self.hi[x]))
+                y = y[np.abs(y - x) >= d]
+                y = y[self.passes(np.full(len(y), x), y)]
+                y = y[np.argsort(np.abs(y - x), kind="stable")][: most - found[x]]
+                left.append(np.full(len(y), x))
+                right.append(y)
+                found[x] += len(y)
+                if found[x] >= most:
+                    break
+        i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
+        return i, j, found[i] >= most
+
+    def every(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All candidates of the lines that were asked for."""
+        wanted = set(zip(*(self.asked[c].tolist() for c in ("key", "doc", "sub", "line")), strict=True))
+        has = np.flatnonzero(np.isin(self.rows["doc"], self.asked["doc"]))
+        own = zip(*(self.rows[c][has].tolist() for c in ("key", "doc", "sub", "line")), strict=True)
+        for x in has[np.fromiter((o in wanted for o in own), bool, len(has))].tolist():
+            for a in range(self.lo[x], self.hi[x], TILE):
+                y = np.arange(a, min(a + TILE, self.hi[x]))
+                y = y[self.passes(np.full(len(y), x), y)]
+                yield np.full(len(y), x), y, np.zeros(len(y), bool)
 
 
 def _candidates(threshold: float, every: bool):
-    """Compares postings sorted by (word, size, doc, line): pairs of a line and an earlier one that pass the filters.
-
-    Without `every`, a line sends on only the FIRST earlier lines with the nearest bitmaps for each word, and says whether
-    there are more.
-    """
-
-    def compare(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        word, size, place = rows["word"], rows["size"].astype(np.int64), rows["place"].astype(np.int64)
-        n = len(word)
-        doc, line, b1, b2 = rows["doc"], rows["line"], rows["b1"], rows["b2"]
-        # Each row meets the rows before it, nearest first, as long as they have its word and are not too short.
-        least = np.ceil(threshold * size - 1e-9).astype(np.int64)
-        later, earlier, gaps = [], [], []
-        at = np.arange(1, n)
-        d = 1
-        while len(at):
-            at = at[(word[at] == word[at - d]) & (size[at - d] >= least[at])]
-            for part in np.array_split(at, max(1, len(at) // TILE)):
-                i, j = part, part - d
-                both = size[i] + size[j]
-                gap = np.bitwise_count((b1[i] ^ b1[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((b2[i] ^ b2[j]).view(np.uint64))
-                ok = gap <= np.floor(both * (1 - threshold) / (1 + threshold) + 1e-9)  # the words that may differ
-                i, j, gap, both = i[ok], j[ok], gap[ok], both[ok]
-                ok = np.minimum(place[i], place[j]) + np.minimum(size[i] - place[i], size[j] - place[j]) >= np.ceil(threshold / (1 + threshold) * both - 1e-9)
-                ok &= (doc[i] != doc[j]) | (line[i] != line[j])
-                i, j = i[ok], j[ok]
-                turned = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & (line[i] < line[j]))
-                later.append(np.where(turned, j, i))
-                earlier.append(np.where(turned, i, j))
-                gaps.append(gap[ok])
-            d += 1
-            at = at[at >= d]
-        i, j, g = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (later, earlier, gaps))
-        more = np.zeros(len(i), bool)
-        if not every and len(i):
-            order = np.lexsort((line[j], doc[j], g, i))
-            i, j = i[order], j[order]
-            head = np.r_[True, i[1:] != i[:-1]]
-            nth = np.arange(len(i)) - np.maximum.accumulate(np.where(head, np.arange(len(i)), 0))
-            count = np.bincount(i, minlength=n)
-            keep = nth < FIRST
-            i, j = i[keep], j[keep]
-            more = count[i] > FIRST
-        pick = lambda name, at, kind: pa.array(rows[name][at].astype(kind))
-        return pa.RecordBatch.from_pydict({"word": pick("word", i, np.int64), "doc": pick("doc", i, np.int64), "line": pick("line", i, np.int32), "doc0": pick("doc", j, np.int64), "line0": pick("line", j, np.int32), "more": pa.array(more)})
+    """Reads packed postings in order of buckets: pairs of a line and an earlier one that pass the filters, and lines known to go (no earlier line named)."""
+
+    def gone(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+        n = len(rows["doc"])
+        none = lambda kind: pa.nulls(n, kind)
+        return pa.RecordBatch.from_pydict({"doc": pa.array(rows["doc"]), "sub": pa.array(rows["sub"]), "line": pa.array(rows["line"].astype(np.int32)), "doc0": none(pa.int64()), "sub0": none(pa.int64()), "line0": none(pa.int32()), "bucket": none(pa.int32()), "key": none(pa.int64()), "more": pa.array(np.zeros(n, bool))})
+
+    def compare(bucket: int, columns: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        if bucket < 0:
+            for at in range(len(columns["doc"])):
+                yield gone({c: np.frombuffer(columns[c][at], PACKED[c]) for c in ("doc", "sub", "line")})
+            return
+        met = _Bucket(columns, threshold)
+        if not every and len(met.gone["doc"]):
+            yield gone(met.gone)
+        r = met.rows
+        for i, j, more in met.every() if every else [met.first(FIRST)]:
+            if len(i):
+                yield pa.RecordBatch.from_pydict({
+                    "doc": pa.array(r["doc"][i]), "sub": pa.array(r["sub"][i]), "line": pa.array(r["line"][i].astype(np.int32)), "doc0": pa.array(r["doc"][j]), "sub0": pa.array(r["sub"][j]), "line0": pa.array(r["line"][j].astype(np.int32)),
+                    "bucket": pa.array(np.full(len(i), bucket, np.int32)), "key": pa.array(r["key"][i].astype(np.int64)), "more": pa.array(more),
+                })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
-        size = 0
-        names = ("word", "doc", "line", "place", "size", "b1", "b2")
+        bucket, held = None, {c: [] for c in PACKED}
         for batch in batches:
-            rows = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
-            gone = np.flatnonzero(rows["place"] < 0)
-            if len(gone):  # found equal to an earlier line already: no second line to name
-                yield pa.RecordBatch.from_pydict({"word": pa.array(rows["word"][gone]), "doc": pa.array(rows["doc"][gone]), "line": pa.array(rows["line"][gone]), "doc0": pa.nulls(len(gone), pa.int64()), "line0": pa.nulls(len(gone), pa.int32()), "more": pa.array(np.zeros(len(gone), bool))})
-                rest = rows["place"] >= 0
-                rows = {n: v[rest] for n, v in rows.items()}
-            if not len(rows["word"]):
-                continue
-            last = int(np.searchsorted(rows["word"], rows["word"][-1]))  # the last word may go on in the next batch
-            for n in names:
-                held.setdefault(n, []).append(rows[n][:last])
-            size += last
-            if size > HOLD:
-                yield compare({n: np.concatenate(v) for n, v in held.items()})
-                held, size = {n: [] for n in names}, 0
-            for n in names:
-                held[n].append(rows[n][last:])
-            size += len(rows[names[0]]) - last
-        if held:
-            yield compare({n: np.concatenate(v) for n, v in held.items()})
+            own = batch.column("bucket").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else []
+            for a, b in zip(cuts, [*cuts[1:], len(own)], strict=True):
+                if bucket is not None and (own[a] != bucket or bucket < 0):
+                    yield from compare(bucket, held)
+                    held = {c: [] for c in PACKED}
+                bucket = int(own[a])
+                for c in PACKED:
+                    held[c].extend(batch.column(c).slice(a, b - a).to_pylist())
+        if bucket is not None:
+            yield from compare(bucket, held)
 
     return run
 
 
-CANDIDATES = "word long, doc long, line int, doc0 long, line0 int, more boolean"
-
-
-def _bitmap(rows: DataFrame) -> np.ndarray:
-    """A bitmap of NEEDED cells, set for those in the column `cell`."""
-    words = rows.select(F.shiftright("cell", 6).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("cell") % 64).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most NEEDED / 64 rows
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of NEEDED cells, set for those of the column `key`."""
+    cell = F.pmod("key", F.lit(NEEDED))
+    words = keys.select(F.shiftright(cell, 6).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (cell % 64).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most NEEDED / 64 rows
     table = np.zeros(NEEDED // 64, np.int64)
     table[words["at"].to_numpy()] = words["bits"].to_numpy()
     return table.view(np.uint64)
 
 
+def _asked(lines: DataFrame) -> DataFrame:
+    """Open lines (ID, bucket, key) as postings of size 0."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            values = {c: batch.column(c).to_numpy(zero_copy_only=False) if c in ("key", "doc", "sub", "line") else np.zeros(n, np.int64) for c in PACKED}
+            yield pa.RecordBatch.from_pydict({"bucket": batch.column("bucket")} | {c: _pack(v.astype(PACKED[c]), np.arange(n + 1)) for c, v in values.items()})
+
+    return lines.select(*ID, "bucket", "key").mapInArrow(emit, POSTED)
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs of lines whose word sets are similar."""
-    spark = docs.sparkSession
-    ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc0").alias("doc"), F.col("line0").alias("line")))
-    cells = spark.sparkContext.broadcast(_bitmap(ends.select(F.pmod(F.xxhash64("doc", "line"), F.lit(NEEDED)).alias("cell"))))
-    # Spark's own hash decides which lines are needed, so it is made in the JVM for every line number of a document.
-    count = F.size(F.split("t", "\n"))
-    numbered = docs.select("id", "t", F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.pmod(F.xxhash64("id", i), F.lit(NEEDED)).cast("int")).alias("cells"))
+    """The lines (ID) of pairs whose word sets are similar."""
+    ends = pairs.select(*ID).unionByName(pairs.select(*[F.col(b).alias(a) for a, b in zip(ID, ID0, strict=True)])).groupBy("doc", "sub").agg(F.collect_set("line").alias("wanted"))
+    texts = docs.join(ends.withColumnsRenamed({"doc": "id"}), ["id", "sub"])
+    # Only the lines that are wanted go on, numbered as they come.
+    some = F.transform(F.array(F.split("t", "\n")), lambda all_: F.transform("wanted", lambda i: F.get(all_, i)))[0]
+    texts = texts.select("id", "sub", "wanted", F.array_join(some, "\n").alias("t"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = cells.value
         for batch in batches:
             for part in in_chunks(batch, "t"):
-                own = part.column("cells")
-                base = own.offsets.to_numpy().astype(np.int64)
-                cell = own.values.to_numpy()[base[0] : base[-1]].astype(np.int64)
-                base = base - base[0]
-                want = (bits[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) > 0
-                if not want.any():
-                    continue
-                docs_with = np.flatnonzero(np.add.reduceat(want, base[:-1]) > 0)
-                sub = part.take(pa.array(docs_with))
-                text, line, words, bounds = _lines(sub.column("t"))
-                keep = want[base[docs_with][text] + line]
-                pick = np.flatnonzero(keep)
-                raw = words.tobytes()
-                yield pa.RecordBatch.from_pydict({"doc": sub.column("id").take(pa.array(text[pick])), "line": pa.array(line[pick].astype(np.int32)), "words": pa.array([raw[8 * a : 8 * b] for a, b in zip(bounds[pick].tolist(), bounds[pick + 1].tolist(), strict=True)], pa.binary())})
-
-    sets = numbered.mapInArrow(emit, "doc long, line int, words binary").dropDuplicates(["doc", "line"])
-    both = pairs.join(sets, ["doc", "line"]).join(sets.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("words").alias("words0")), ["doc0", "line0"])
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("words").to_pylist(), batch.column("words0").to_pylist(), strict=True):
-                common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) if x != y else len(x) // 8
-                ok.append(common >= threshold * (len(x) // 8 + len(y) // 8 - common) - 1e-9)
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_pydict({n: batch.column(n).filter(mask) for n in ("doc", "line")})
+                text, nth, words, bounds = _lines(part.column("t"))
+                wanted = part.column("wanted")
+                base = wanted.offsets.to_numpy().astype(np.int64)
+                line = wanted.values.to_numpy()[base[:-1][text] + nth]
+                yield pa.RecordBatch.from_pydict({"doc": part.column("id").take(pa.array(text)), "sub": part.column("sub").take(pa.array(text)), "line": pa.array(line), "words": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(words.view(np.int64)))})
 
-    return both.mapInArrow(similar, "doc long, line int").distinct()
+    sets = texts.mapInArrow(emit, "doc long, sub long, line int, words array<long>").groupBy(*ID).agg(F.first("words").alias("words"))
+    other = sets.select(*[F.col(a).alias(b) for a, b in zip(ID, ID0, strict=True)], F.col("words").alias("words0"))
+    both = pairs.join(sets, ID).join(other, ID0).withColumn("common", F.size(F.array_intersect("words", "words0")))
+    return both.where(F.col("common") >= threshold * (F.size("words") + F.size("words0") - F.col("common")) - 1e-9).select(*ID).distinct()
 
 
 def later_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc, line): the lines, counted from 0, that are similar to an earlier one: of a smaller key, or further up in the same text."""
+    """(doc, sub, line): the lines, counted from 0, that are similar to an earlier one; sub is the hash of the text.
+
+    Earlier are the lines of a smaller key, those further up in the same text, and, if a key has several texts, those of the
+    text with the smaller hash. Rows that repeat both key and text are one document.
+    """
     spark = df.sparkSession
-    docs = df.select(F.col(key).cast("long").alias("id"), text_of(text).alias("t")).where("id is not null")
-    rarity = spark.sparkContext.broadcast(_rarity(docs))
+    docs = df.select(F.col(key).cast("long").alias("id"), text_of(text).alias("t")).where("id is not null").select("id", F.xxhash64("t").alias("sub"), "t")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    dealt = lambda p: p.repartition(n, "word").sortWithinPartitions("word", "size", "doc", "line")
-    found = cut(dealt(_postings(docs, rarity, threshold)).mapInArrow(_candidates(threshold, False), CANDIDATES))
-    release(spark)
-    equal = found.where("doc0 is null").select("doc", "line").distinct()
-    pairs = found.where("doc0 is not null").select("doc", "line", "doc0", "line0").distinct()
-    gone = cut(equal.unionByName(_verify(docs, pairs, threshold)).distinct())
+    rarity = spark.sparkContext.broadcast(_rarity(docs, n))
+    dealt = lambda p: p.repartition(n, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.spark_partition_id())).sortWithinPartitions("bucket")
+    found = cut(dealt(_postings(docs, rarity, n * SPREAD, threshold)).mapInArrow(_candidates(threshold, False), FOUND))
     release(spark)
-    # Lines whose nearest candidates failed and that have further ones: look at all of those.
-    open_lines = cut(found.where("more").select("doc", "line", "word").join(gone, ["doc", "line"], "left_anti"))
+    equal = found.where("doc0 is null").select(*ID).distinct()
+    pairs = found.where("doc0 is not null").select(*ID, *ID0).distinct().join(equal, ID, "left_anti")
+    gone = cut(equal.unionByName(_verify(docs, pairs, threshold)))
+    # Lines whose candidates failed and that may have further ones: look at all of those.
+    open_lines = cut(found.where("more").select(*ID, "bucket", "key").distinct().join(gone, ID, "left_anti"))
     if open_lines.isEmpty():
         return gone
-    only = spark.sparkContext.broadcast(_bitmap(open_lines.select(F.pmod("word", F.lit(NEEDED)).alias("cell"))))
-    posted = _postings(docs, rarity, threshold, only)
-    rest = dealt(posted).mapInArrow(_candidates(threshold, True), CANDIDATES).select("doc", "line", "doc0", "line0")
-    rest = rest.join(open_lines.select("doc", "line").distinct(), ["doc", "line"], "left_semi").join(pairs, ["doc", "line", "doc0", "line0"], "left_anti")
-    rest = cut(rest.distinct())
-    out = cut(gone.unionByName(_verify(docs, rest, threshold)).distinct())
     release(spark)
-    return out
+    only = spark.sparkContext.broadcast(_bitmap(open_lines.select("key")))
+    posted = _postings(docs, rarity, n * SPREAD, threshold, only).unionByName(_asked(open_lines))
+    rest = cut(dealt(posted).mapInArrow(_candidates(threshold, True), FOUND).select(*ID, *ID0).distinct())
+    return cut(gone.unionByName(_verify(docs, rest, threshold)).distinct())
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -293,29 +434,17 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshol
 
     A line goes when the Jaccard similarity of its set of words to that of any earlier line is `threshold` or more, whether
     or not the earlier line stays. Words are lower-case runs without white space; lines end at a line feed; a line without
-    words always stays. A null text stays null, with one line; a row with a null key stays as it is. Rows that repeat a key
-    are one document whose equal line numbers go together. Columns named as the outputs are replaced, others stay.
+    words always stays. A null text stays null, with one line; a row with a null key stays as it is. A key may have several
+    texts: each is a document of its own, in order of the texts' hashes; rows that repeat key and text are one document and
+    lose the same lines. Columns named as the outputs are replaced, others stay.
     """
-    lost = later_lines(df, key, text, threshold).groupBy("doc").agg(F.collect_list("line").alias("__lost"))
+    lost = later_lines(df, key, text, threshold).groupBy("doc", "sub").agg(F.collect_list("line").alias("lost"))
     rest = [c for c in df.columns if c not in ("n_lines", "n_removed")]
-    joined = df.select(*[F.col(f"`{c}`") for c in rest], F.col(key).cast("long").alias("__k")).join(lost.withColumnRenamed("doc", "__k"), "__k", "left").drop("__k")
-    schema = T.StructType([*[f for f in df.select(*[f"`{c}`" for c in rest]).schema.fields], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-
-    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, total, removed = [], [], []
-            for t, lost in zip(batch.column(text).to_pylist(), batch.column("__lost").to_pylist(), strict=True):
-                lines = (t or "").split("\n")
-                total.append(len(lines))
-                if lost:
-                    drop = set(lost)
-                    left = [x for i, x in enumerate(lines) if i not in drop]
-                    removed.append(len(lines) - len(left))
-                    t = "\n".join(left)
-                else:
-                    removed.append(0)
-                kept.append(t)
-            columns = {c: batch.column(c) for c in rest} | {text: pa.array(kept, batch.schema.field(text).type), "n_lines": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    return joined.mapInArrow(strip, schema)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(key).cast("long").alias("doc"), F.xxhash64(text_of(text)).alias("sub"))
+    joined = rows.join(lost, ["doc", "sub"], "left")
+    t = F.col("row").getField(text)
+    kept = F.transform(F.array(F.split(t, "\n")), lambda all_: F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), "lost"), lambda i: F.get(all_, i)))[0]
+    stripped = F.when(F.col("lost").isNull(), t).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
+    out = [(stripped if c == text else F.col("row").getField(c)).alias(c) for c in rest]
+    return joined.select(*out, F.coalesce(n_lines, F.lit(1)).cast("long").alias("n_lines"), F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_removed"))
