@@ -1,8 +1,9 @@
 """Media columns: grayscale images, and a search for cropped or edited copies by local descriptors.
 
-Corners are found on several scales; each gets an orientation and binary brightness tests turned by it. Descriptors that
-agree in one of four tables of 32 bits meet in a join; the pairs that are close in all bits vote for a placement of one
-image in the other, and a copy is where enough corners vote alike.
+Corners are found on several scales; each gets an orientation and binary brightness tests turned by it. Queries and images
+are dealt as a grid of blocks, so that a task holds one block of queries and streams through images. In it descriptors meet
+in eight tables, one for each 16 bits, which no pair within seven bits escapes; pairs that are close in all bits vote for a
+placement of one image in the other, and a copy is where enough corners vote alike.
 """
 
 from __future__ import annotations
@@ -17,13 +18,21 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
 
-#: Corners of a scale and of an image (64 at most: votes hold them as bits), scales (each three quarters of the one before), bits, the reach of the tests in pixels.
-CORNERS, TOTAL, SCALES, RATIO, TESTS, REACH = 32, 48, 2, 0.75, 128, 11
+#: Pixels of a scale for one of its corners, the ratio of scales (all that fit are used), bits, the reach of the tests in pixels.
+AREA, RATIO, TESTS, REACH = 128, 2**-0.25, 128, 11
 #: Bits that two descriptors of one place may differ in, corners that must agree, the width in pixels of a vote's cell.
-NEAR, AGREE, CELL = 24, 6, 12
+NEAR, AGREE, CELL = 16, 6, 12
 TURNS = 30
 #: Gray levels that a test must differ by.
 MARGIN = 3
+#: Queries of a block of the grid, images of a block, and pairs of descriptors compared at a time.
+QUERIES, IMAGES, TILE = 4096, 2048, 1 << 20
+#: Images that a task of `features` remembers, to describe equal ones once.
+REMEMBERED = 1 << 16
+#: Images that are compared with a block of queries at a time.
+TOGETHER = 64
+#: A packed corner: x and y in eighths of a pixel, the number of the scale, the angle in 1024ths of a turn, the bits.
+CORNER = np.dtype([("x", "<u2"), ("y", "<u2"), ("scale", "u1"), ("angle", "<u2"), ("d0", "<u8"), ("d1", "<u8")])
 
 
 def encode_image(pixels: np.ndarray) -> bytes:
@@ -71,11 +80,11 @@ _PATTERN = _pattern()
 _DISC = np.array([(y, x) for y in range(-9, 10) for x in range(-9, 10) if x * x + y * y <= 81])
 
 
-def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(x, y, scale, angle, bits as two numbers) of an image's corners, strongest first; places are in its own pixels."""
+def describe(pixels: np.ndarray) -> np.ndarray:
+    """The CORNERs of an image, with places in its own pixels: the strongest of each scale, in proportion to its area."""
     base = pixels.astype(float)
-    xs, ys, scales, angles, bits, strengths = [], [], [], [], [], []
-    for level in range(SCALES):
+    found = []
+    for level in range(64):
         factor = RATIO**level
         h, w = int(round(base.shape[0] * factor)), int(round(base.shape[1] * factor))
         if min(h, w) < 2 * REACH + 4:
@@ -97,7 +106,7 @@ def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         py, px = py[inside], px[inside]
         if not len(py):
             continue
-        order = np.lexsort((px, py, -score[py, px]))[:CORNERS]
+        order = np.lexsort((px, py, -score[py, px]))[: max(1, h * w // AREA)]
         py, px = py[order], px[order]
         disc = x[py[:, None] + _DISC[:, 0], px[:, None] + _DISC[:, 1]]
         disc = disc - disc.mean(1, keepdims=True)
@@ -107,47 +116,161 @@ def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         p = _PATTERN[turn]
         first = smooth[py[:, None] + p[:, :, 0, 1], px[:, None] + p[:, :, 0, 0]]
         second = smooth[py[:, None] + p[:, :, 1, 1], px[:, None] + p[:, :, 1, 0]]
-        packed = np.packbits(first + MARGIN < second, axis=1).reshape(len(py), 2, 8)
-        xs.append((px + 0.5) / factor)
-        ys.append((py + 0.5) / factor)
-        scales.append(np.full(len(py), 1 / factor))
-        angles.append(angle)
-        bits.append(np.ascontiguousarray(packed).view(">i8")[:, :, 0].astype(np.int64))
-        strengths.append(score[py, px])
-    if not xs:
-        none = np.zeros(0)
-        return none, none, none, none, np.zeros((0, 2), np.int64)
-    order = np.argsort(-np.concatenate(strengths), kind="stable")[:TOTAL]
-    return *(np.concatenate(v)[order] for v in (xs, ys, scales, angles)), np.concatenate(bits)[order]
-
-
-def features(df: DataFrame, key: str = "id", image: str = "image") -> DataFrame:
-    """A row a corner: id, corner, place (x and y in sixteenths of a pixel, the scale's number, the angle in 1024ths of a turn, 16 bits each), d0, d1."""
+        packed = np.packbits(first + MARGIN < second, axis=1).view(">u8")
+        got = np.zeros(len(py), CORNER)
+        got["x"], got["y"] = (np.minimum(np.rint((p + 0.5) / factor * 8), 65535) for p in (px, py))
+        got["scale"], got["angle"] = level, np.rint(np.mod(angle / (2 * np.pi), 1) * 1024)
+        got["d0"], got["d1"] = packed[:, 0], packed[:, 1]
+        found.append(got)
+    return np.concatenate(found) if found else np.zeros(0, CORNER)
+
+
+def features(df: DataFrame) -> DataFrame:
+    """(id, same, corners): the packed corners of the images (id, image, same) that have any; of rows with one `same` in a task only those of falling ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
         for batch in batches:
-            ids, parts = [], []
-            for i, data in zip(batch.column("id").to_pylist(), batch.column("image").to_pylist(), strict=True):
-                pixels = decode_image(data)
+            ids, names, corners = [], [], []
+            for i, data, same in zip(*(batch.column(c) for c in ("id", "image", "same")), strict=True):
+                i, same = i.as_py(), same.as_py()
+                if seen.get(same, i + 1) <= i:
+                    continue  # equal to an image with a smaller id, which stands for both
+                if len(seen) < REMEMBERED or same in seen:
+                    seen[same] = i
+                pixels = decode_image(data.as_py())
                 if pixels is None or min(pixels.shape) < 2:
                     continue
                 got = describe(pixels)
-                ids += [i] * len(got[0])
-                parts.append((np.arange(len(got[0])), *got[:4], got[4][:, 0], got[4][:, 1]))
-            if parts:
-                k, x, y, s, a, d0, d1 = (np.concatenate(c) for c in zip(*parts, strict=True))
-                bits16 = lambda v: np.clip(np.rint(v), 0, 65535).astype(np.int64)
-                place = bits16(x * 16) << 48 | bits16(y * 16) << 32 | bits16(np.log(s) / -np.log(RATIO)) << 16 | bits16(np.mod(a / (2 * np.pi), 1) * 1024)
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "corner": pa.array(k.astype(np.int32)), "place": pa.array(place), "d0": pa.array(d0), "d1": pa.array(d1)})
-
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(image).alias("image")).where("id is not null and image is not null")
-    return rows.mapInArrow(run, "id long, corner int, place long, d0 long, d1 long")
-
-
-def _tables(df: DataFrame) -> DataFrame:
-    low, high = F.lit(0xFFFFFFFF).cast("long"), 32
-    part = lambda d, i: F.struct(F.lit(i).alias("no"), (F.shiftrightunsigned(d, high) if i % 2 == 0 else F.col(d).bitwiseAND(low)).alias("value"))
-    return df.withColumn("t", F.explode(F.array(part("d0", 0), part("d0", 1), part("d1", 2), part("d1", 3)))).select("*", "t.no", "t.value").drop("t")
+                if len(got):
+                    ids.append(i)
+                    names.append(same)
+                    corners.append(got.tobytes())
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "same": pa.array(names, pa.string()), "corners": pa.array(corners, pa.binary())})
+
+    return df.mapInArrow(run, "id long, same string, corners binary")
+
+
+class _Tables:
+    """The corners of a block of queries, in a sorted table for each 16 bits of their descriptors."""
+
+    def __init__(self, corners: list[bytes]) -> None:
+        self.corners = np.frombuffer(b"".join(corners), CORNER)
+        counts = np.array([len(c) // CORNER.itemsize for c in corners])
+        self.owner = np.repeat(np.arange(len(counts)), counts)
+        self.d = np.ascontiguousarray(self.corners["d0"]), np.ascontiguousarray(self.corners["d1"])
+        self.tables = []
+        for k in range(8):
+            value = self.part(self.corners, k)
+            order = np.argsort(value, kind="stable")
+            self.tables.append((np.searchsorted(value[order], np.arange((1 << 16) + 1)), order))
+
+    @staticmethod
+    def part(corners: np.ndarray, k: int) -> np.ndarray:
+        return ((corners["d0" if k < 4 else "d1"] >> np.uint64(16 * (k % 4))) & np.uint64(0xFFFF)).astype(np.int64)
+
+    def matches(self, corners: np.ndarray, near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (corner of a query, one of `corners`) that meet in a table and differ in at most `near` bits; each once."""
+        left, right = [], []
+        d = np.ascontiguousarray(corners["d0"]), np.ascontiguousarray(corners["d1"])
+        for k, (starts, order) in enumerate(self.tables):
+            value = self.part(corners, k)
+            lo, n = starts[value], starts[value + 1] - starts[value]
+            cells = np.cumsum(n) // TILE
+            for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(cells)) + 1):
+                m = n[part]
+                j = np.repeat(part, m)
+                i = order[np.repeat(lo[part] - (np.cumsum(m) - m), m) + np.arange(len(j))]
+                own, other = k // 4, 1 - k // 4  # the half that has the table's bits tells most pairs apart
+                x = self.d[own][i] ^ d[own][j]
+                ok = np.flatnonzero(np.bitwise_count(x) <= near)
+                i, j, x = i[ok], j[ok], x[ok]
+                z = self.d[other][i] ^ d[other][j]
+                ok = np.bitwise_count(x) + np.bitwise_count(z) <= near
+                # A pair that has met in an earlier table has been taken there.
+                for e in range(k):
+                    ok &= ((x if e // 4 == own else z) >> np.uint64(16 * (e % 4))) & np.uint64(0xFFFF) != 0
+                left.append(i[ok])
+                right.append(j[ok])
+        return np.concatenate(left), np.concatenate(right)
+
+    def copies(self, corners: np.ndarray, image: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, image, corners that agree on one scale, turn and shift) of the pairs (i, j) of corners, from AGREE on; image: the image of each of `corners`."""
+        none = np.zeros(0, np.int64)
+        width = int(image.max()) + 1 if len(image) else 1
+        pair = self.owner[i] * width + image[j]
+        keep = np.flatnonzero(np.bincount(pair)[pair] >= AGREE) if len(pair) else none
+        i, j = i[keep], j[keep]
+        pairs, pair = np.unique(pair[keep], return_inverse=True)
+        q, c = self.corners[i], corners[j]
+        level = q["scale"].astype(np.int64) - c["scale"]
+        turn = (c["angle"].astype(float) - q["angle"]) * (2 * np.pi / 1024)
+        step = np.rint(turn * 12 / (2 * np.pi)).astype(np.int64) % 12
+        # Most pairs have too few votes for any scale and turn, wherever the corners are.
+        levels = int(np.abs(level).max()) * 2 + 1 if len(level) else 1
+        vote = (pair * levels + level + levels // 2) * 12 + step
+        votes = np.bincount(vote, minlength=len(pairs) * levels * 12).reshape(-1, 12)
+        near = (votes + np.maximum(np.roll(votes, 1, axis=1), np.roll(votes, -1, axis=1))).ravel()
+        keep = np.flatnonzero(near[vote] >= AGREE)
+        if not len(keep):
+            return none, none, none
+        i, q, c, pair, level, turn, step = (v[keep] for v in (i, q, c, pair, level, turn, step))
+        ratio = RATIO ** level.astype(float)
+        x, y = q["x"] / 8, q["y"] / 8
+        dx = c["x"] / 8 - ratio * (np.cos(turn) * x - np.sin(turn) * y)
+        dy = c["y"] / 8 - ratio * (np.sin(turn) * x + np.cos(turn) * y)
+        half = lambda d: np.floor(d * 2 / CELL).astype(np.int64) + (1 << 16)
+        hx, hy = half(dx), half(dy)
+        best: dict[int, int] = {}
+        # A vote's cell is any two by two half cells, and any two neighbouring turns.
+        for a in (0, 1):
+            for b in (0, 1):
+                for t in (0, 1):
+                    cell = (((((level + 64) * 12 + (step + t) % 12) << 17) + ((hx + a) >> 1)) << 17) + ((hy + b) >> 1)
+                    places, code = _codes(pair, cell)
+                    once = np.unique(code * len(self.corners) + i) // len(self.corners)
+                    who, n = np.unique(once, return_counts=True)
+                    for p, m in zip(places[who[n >= AGREE]].tolist(), n[n >= AGREE].tolist(), strict=True):
+                        best[p] = max(best.get(p, 0), m)
+        who = np.array(sorted(best), np.int64)
+        return pairs[who] // width, pairs[who] % width, np.array([best[p] for p in who.tolist()], np.int64)
+
+
+def _codes(pair: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pair of each code, code of each row): numbers for the distinct (pair, cell)."""
+    order = np.lexsort((cell, pair))
+    p, c = pair[order], cell[order]
+    new = np.r_[True, (p[1:] != p[:-1]) | (c[1:] != c[:-1])]
+    code = np.empty(len(order), np.int64)
+    code[order] = np.cumsum(new) - 1
+    return p[new], code
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order of (i, j, side): the copies that each cell of the grid has. The queries (side 0) of a cell come first."""
+    cell, ids, corners, tables = None, [], [], None
+    for batch in batches:
+        where = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("i", "j", "side")])
+        cuts = np.flatnonzero(np.r_[True, (where[:, 1:] != where[:, :-1]).any(axis=0)]) if where.shape[1] else []
+        for a, b in zip(cuts, [*cuts[1:], where.shape[1]], strict=True):
+            if cell != tuple(where[:2, a]):
+                cell, ids, corners, tables = tuple(where[:2, a]), [], [], None
+            own = batch.slice(int(a), int(b - a))
+            if where[2, a] == 0:
+                ids += own.column("same").to_pylist()
+                corners += own.column("corners").to_pylist()
+                continue
+            if not ids:
+                continue
+            tables = tables or _Tables(corners)
+            for at in range(0, own.num_rows, TOGETHER):
+                part = own.slice(at, TOGETHER)
+                raw = part.column("corners").to_pylist()
+                found = np.frombuffer(b"".join(raw), CORNER)
+                image = np.repeat(np.arange(len(raw)), [len(c) // CORNER.itemsize for c in raw])
+                q, who, n = tables.copies(found, image, *tables.matches(found))
+                if len(q):
+                    yield pa.RecordBatch.from_pydict({"asked": pa.array([ids[x] for x in q.tolist()], pa.string()), "same": part.column("same").take(pa.array(who)), "n_inliers": pa.array(n)})
 
 
 def find_copies(queries: DataFrame, images: DataFrame, key: str = "id", image: str = "image") -> DataFrame:
@@ -155,36 +278,30 @@ def find_copies(queries: DataFrame, images: DataFrame, key: str = "id", image: s
 
     Images with the same bytes are one class, named by the least id; so are queries while they are searched. n_inliers is
     the number of corners of the query that agree on one scale, turn and shift; from AGREE on it is a copy. Null or broken
-    images, images without corners and null ids match nothing; rows that repeat an id are all searched, and an empty table
-    gives no rows. Other columns are not read.
+    images, images without corners and null ids match nothing; rows that repeat an id are all searched, each with its own
+    image, and an empty table gives no rows. Other columns are not read.
     """
-    one = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(image).alias("image")).where("id is not null and image is not null").withColumn("same", F.sha2("image", 256))
-    q, all_ = one(queries), one(images)
-    classes = cut(all_.groupBy("same").agg(F.min("id").alias("id"), F.countDistinct("id").alias("n_images")))
-    asked = q.groupBy("same").agg(F.min("id").alias("id"))
-    # Corners are a few kilobytes an image, less than the pixels: those of a class's other images are left out afterwards.
-    held = features(all_).join(classes.select("id"), "id", "left_semi")
-    sought = features(q).join(asked.select("id"), "id", "left_semi")
-    b = _tables(held).select(*[F.col(c).alias(f"i_{c}") for c in ("id", "place", "d0", "d1")], "no", "value")
-    met = _tables(sought).join(b, ["no", "value"]).where(F.bit_count(F.col("d0").bitwiseXOR(F.col("i_d0"))) + F.bit_count(F.col("d1").bitwiseXOR(F.col("i_d1"))) <= NEAR)
-    # Two descriptors may meet in several tables: the votes below count corners, so that does no harm.
-    part = lambda c, shift: F.shiftrightunsigned(c, shift).bitwiseAND(F.lit(65535)).cast("double")
-    x, y, i_x, i_y = part("place", 48) / 16, part("place", 32) / 16, part("i_place", 48) / 16, part("i_place", 32) / 16
-    ratio = F.pow(F.lit(1 / RATIO), part("i_place", 16) - part("place", 16))
-    turn = (part("i_place", 0) - part("place", 0)) * (2 * np.pi / 1024)
-    dx = i_x - ratio * (F.cos(turn) * x - F.sin(turn) * y)
-    dy = i_y - ratio * (F.sin(turn) * x + F.cos(turn) * y)
-    step = F.pmod(F.round(turn * 12 / (2 * np.pi)), F.lit(12))
-    # Half cells with the corners that vote for them as bits; a vote's cell is any two by two of them.
-    half = lambda d: F.floor(d * 2 / CELL)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("corner"))
-    votes = met.select("id", "i_id", bit.alias("bit"), F.round(F.log2(ratio) * 2).alias("rs"), step.alias("rt"), half(dx).alias("hx"), half(dy).alias("hy"))
-    halves = votes.groupBy("id", "i_id", "rs", "rt", "hx", "hy").agg(F.bit_or("bit").alias("bits"))
-    around = F.explode(F.array(*[F.struct((F.col("hx") - a).alias("cx"), (F.col("hy") - b).alias("cy")) for a in (0, 1) for b in (0, 1)]))
-    cells = halves.select("id", "i_id", "rs", "rt", "bits", around.alias("c")).groupBy("id", "i_id", "rs", "rt", "c").agg(F.bit_count(F.bit_or("bits")).alias("n"))
-    counted = cells.groupBy("id", "i_id").agg(F.max("n").cast("long").alias("n_inliers")).where(F.col("n_inliers") >= AGREE)
-    named = counted.join(classes.select(F.col("id").alias("i_id"), "n_images"), "i_id")
-    return named.join(q.select("same", F.col("id").alias("query_id")).join(asked, "same").select("query_id", "id"), "id").select("query_id", F.col("i_id").alias("class_id"), "n_images", "n_inliers").distinct()
+    spark = queries.sparkSession
+
+    def corners(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(id, same) of all rows with an image, and (id, same, corners) of one row of each image."""
+        rows = df.select(F.col(key).cast("long").alias("id"), F.col(image).alias("image")).where("id is not null and image is not null").withColumn("same", F.sha2("image", 256))
+        held = features(rows).groupBy("same").agg(F.min("id").alias("id"), F.first("corners").alias("corners"))
+        return rows.select("id", "same"), cut(held)
+
+    asked, sought = corners(queries)
+    all_, held = corners(images)
+    named = all_.groupBy("same").agg(F.countDistinct("id").alias("n_images"))
+    across, down = (max(1, -(-frame.count() // size)) for frame, size in ((held, IMAGES), (sought, QUERIES)))
+    # Each block of queries meets each block of images in one cell of the grid.
+    block = lambda n: F.pmod(F.xxhash64("same"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = sought.select(block(down).alias("i"), every(across).alias("j"), F.lit(0).alias("side"), "same", "corners")
+    right = held.select(every(down).alias("i"), block(across).alias("j"), F.lit(1).alias("side"), "same", "corners")
+    grid = left.unionByName(right).repartition(across * down, "i", "j").sortWithinPartitions("i", "j", "side", "same")
+    found = cut(grid.mapInArrow(_search, "asked string, same string, n_inliers long"))
+    classes = found.join(held.select("same", F.col("id").alias("class_id")), "same").join(named, "same")
+    return classes.join(asked.select(F.col("id").alias("query_id"), F.col("same").alias("asked")), "asked").select("query_id", "class_id", "n_images", "n_inliers").distinct()
 
 
 SIDE, GRID = 96, 8
