@@ -186,32 +186,31 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in in_chunks(batch, "t"):
             texts = part.column("t").cast(pa.binary()).to_pylist()
-            ids = part.column("id").to_pylist()
+            ids, subs = part.column("id").to_pylist(), part.column("sub").to_pylist()
             rows: list[tuple[np.ndarray, ...]] = []
             prints: list[int] = []
-            for i, t in zip(ids, texts, strict=True):
+            for i, u, t in zip(ids, subs, texts, strict=True):
                 got = runs(np.frombuffer(t, np.uint8))
                 if got is None:
                     continue
                 starts, counts, least, repeats = got
                 view = memoryview(t)
                 prints += [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts.tolist(), (starts + counts + SPAN - 1).tolist(), strict=True)]
-                rows.append((np.full(len(starts), i), starts, counts, least, repeats))
+                rows.append((np.full(len(starts), i), np.full(len(starts), u), starts, counts, least, repeats))
             if not rows:
                 continue
-            doc, start, count, least, repeats = (np.concatenate(c) for c in zip(*rows, strict=True))
+            doc, sub, start, count, least, repeats = (np.concatenate(c) for c in zip(*rows, strict=True))
             key, prt = least.view(np.int64), np.array(prints, np.uint64).view(np.int64)
-            order = np.lexsort((start, doc, prt, key))
+            order = np.lexsort((start, sub, doc, prt, key))
             same = np.zeros(len(order), bool)
             same[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (prt[order[1:]] == prt[order[:-1]])
             # All but the first of runs with the same bytes are repeats; they go straight to their documents.
             gone = same & ~repeats
-            keep = ~gone
             dup_key = mix64(doc.view(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_pydict({
-                "key": pa.array(np.where(gone, dup_key, key)), "print": pa.array(prt), "doc": pa.array(doc), "start": pa.array(start.astype(np.int32)),
+                "key": pa.array(np.where(gone, dup_key, key)), "print": pa.array(prt), "doc": pa.array(doc), "sub": pa.array(sub), "start": pa.array(start.astype(np.int32)),
                 "n": pa.array(count.astype(np.int32)), "kind": pa.array(np.where(gone, 2, np.where(repeats, 1, 0)).astype(np.int8)),
-            }) if keep.any() or gone.any() else None
+            })
 
 
 def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,29 +220,29 @@ def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     current, known, held, asked = None, {}, None, False
     for batch in batches:
-        out: list[tuple[int, int, int, int, bool]] = []
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "print", "doc", "start", "n", "kind")]
-        key, prt, doc, start, n, kind = cols
+        out: list[tuple[int, int, int, int, int, bool]] = []
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "print", "doc", "sub", "start", "n", "kind")]
+        key, prt, doc, sub, start, n, kind = cols
         whole = kind == 2
-        for k, d, s, c in zip(key[whole].tolist(), doc[whole].tolist(), start[whole].tolist(), n[whole].tolist(), strict=True):
-            out.append((k, d, s, c, False))
+        for row in zip(key[whole].tolist(), doc[whole].tolist(), sub[whole].tolist(), start[whole].tolist(), n[whole].tolist(), strict=True):
+            out.append((*row, False))
         rest = np.flatnonzero(~whole)
-        key, prt, doc, start, n, kind = (c[rest] for c in cols)
+        key, prt, doc, sub, start, n, kind = (c[rest] for c in cols)
         if len(key):
             # Most keys have one run, which is read no further unless its own windows may repeat.
             edge = np.r_[True, key[1:] != key[:-1]]
             alone = edge & np.r_[edge[1:], False] & (kind == 0)
             alone[0] &= current != key[0]
             for i in np.flatnonzero(~alone).tolist():
-                k, p, d, s, c, kd = int(key[i]), int(prt[i]), int(doc[i]), int(start[i]), int(n[i]), int(kind[i])
+                k, p, d, u, s, c, kd = (int(v[i]) for v in (key, prt, doc, sub, start, n, kind))
                 if k != current:
                     current, known, held, asked = k, {}, None, False
                 if p in known and kd == 0:
-                    if known[p] != (d, s):
-                        out.append((k, d, s, c, False))
+                    if known[p] != (d, u, s):
+                        out.append((k, d, u, s, c, False))
                     continue
-                known[p] = (d, s)
-                row = (k, d, s, c, True)
+                known[p] = (d, u, s)
+                row = (k, d, u, s, c, True)
                 if asked or kd == 1:
                     if held is not None and not asked:
                         out.append(held)
@@ -255,19 +254,19 @@ def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out += [held, row]
                     asked = True
         if out:
-            k, d, s, c, a = zip(*out, strict=True)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(k, pa.int64()), "doc": pa.array(d, pa.int64()), "start": pa.array(s, pa.int32()), "n": pa.array(c, pa.int32()), "ask": pa.array(a, pa.bool_())})
+            k, d, u, s, c, a = zip(*out, strict=True)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(k, pa.int64()), "doc": pa.array(d, pa.int64()), "sub": pa.array(u, pa.int64()), "start": pa.array(s, pa.int32()), "n": pa.array(c, pa.int32()), "ask": pa.array(a, pa.bool_())})
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From segments sorted by (key, doc, start): (doc, start, n) of their windows that an earlier one equals."""
     last, seen = None, np.rec.fromarrays([np.zeros(0, np.uint64)] * 2, names="a,b")
 
-    def shard(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    def shard(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
         nonlocal last, seen
-        segments = [r[3] for r in rows]
+        segments = [r[4] for r in rows]
         where, start, group = repeated_windows(segments)
-        order = np.argsort(group, kind="stable")  # windows come in the order of (key, doc, start)
+        order = np.argsort(group, kind="stable")  # windows come in the order of (key, doc, sub, start)
         later = np.zeros(len(group), bool)
         later[order[1:]] = group[order[1:]] == group[order[:-1]]
         keys = np.array([r[0] for r in rows])
@@ -287,25 +286,25 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = np.flatnonzero(later)
         if not len(hit):
             none = pa.array([], pa.int64())
-            return pa.RecordBatch.from_pydict({"doc": none, "start": none.cast(pa.int32()), "n": none.cast(pa.int32())})
+            return pa.RecordBatch.from_pydict({"doc": none, "sub": none, "start": none.cast(pa.int32()), "n": none.cast(pa.int32())})
         cut_at = np.r_[True, (where[hit][1:] != where[hit][:-1]) | (start[hit][1:] != start[hit][:-1] + 1)]
         head = np.flatnonzero(cut_at)
         size = np.diff(np.r_[head, len(hit)])
         own = where[hit[head]]
-        docs, begins = np.array([r[1] for r in rows])[own], np.array([r[2] for r in rows])[own]
-        return pa.RecordBatch.from_pydict({"doc": pa.array(docs), "start": pa.array((begins + start[hit[head]]).astype(np.int32)), "n": pa.array(size.astype(np.int32))})
+        docs, subs, begins = (np.array([r[k] for r in rows])[own] for k in (1, 2, 3))
+        return pa.RecordBatch.from_pydict({"doc": pa.array(docs), "sub": pa.array(subs), "start": pa.array((begins + start[hit[head]]).astype(np.int32)), "n": pa.array(size.astype(np.int32))})
 
     rows, size, before = [], 0, None
     for batch in batches:
-        for r in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "start", "bytes")), strict=True):
-            if r[:3] == before:  # a row that repeats a key
+        for r in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "sub", "start", "bytes")), strict=True):
+            if r[:4] == before:  # a row that repeats a key and a text
                 continue
-            before = r[:3]
+            before = r[:4]
             if size > SHARD:
                 yield shard(rows)
                 rows, size = [], 0
             rows.append(r)
-            size += len(r[3])
+            size += len(r[4])
     if rows:
         yield shard(rows)
 
@@ -314,44 +313,50 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 FIRST_KEY = -(1 << 63)
 
 
+def _documents(df: DataFrame, key: str, text: str) -> DataFrame:
+    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(FIRST_KEY)).alias("id"), text_of(text).alias("t"))
+    return rows.select("id", F.xxhash64("t").alias("sub"), "t")
+
+
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, start, n): runs of window starts, each of which an earlier window equals, in the UTF-8 bytes of the texts."""
+    """(doc, sub, start, n): runs of window starts, each of which an earlier window equals, in the UTF-8 bytes of the texts; sub is the text's hash."""
     spark = df.sparkSession
-    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(FIRST_KEY)).alias("id"), text_of(text).alias("t"))
+    docs = _documents(df, key, text)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    found = docs.mapInArrow(_find_runs, "key long, print long, doc long, start int, n int, kind byte")
-    sorted_out = cut(found.repartition(n, "key").sortWithinPartitions("key", "doc", "start").mapInArrow(_sort_out, "key long, doc long, start int, n int, ask boolean"))
+    found = docs.mapInArrow(_find_runs, "key long, print long, doc long, sub long, start int, n int, kind byte")
+    sorted_out = cut(found.repartition(n, "key").sortWithinPartitions("key", "doc", "sub", "start").mapInArrow(_sort_out, "key long, doc long, sub long, start int, n int, ask boolean"))
     release(spark)
-    asks = sorted_out.where("ask").groupBy("doc").agg(F.collect_set(F.struct("key", "start", "n")).alias("asks"))
+    asks = sorted_out.where("ask").groupBy(F.col("doc").alias("id"), "sub").agg(F.collect_set(F.struct("key", "start", "n")).alias("asks"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_chunks(batch, "t"):
-                keys, ids, starts, parts = [], [], [], []
-                for d, t, asked in zip(part.column("id").to_pylist(), part.column("t").cast(pa.binary()).to_pylist(), part.column("asks").to_pylist(), strict=True):
+                keys, ids, subs, starts, parts = [], [], [], [], []
+                for d, u, t, asked in zip(part.column("id").to_pylist(), part.column("sub").to_pylist(), part.column("t").cast(pa.binary()).to_pylist(), part.column("asks").to_pylist(), strict=True):
                     for a in asked:
                         keys.append(a["key"])
                         ids.append(d)
+                        subs.append(u)
                         starts.append(a["start"])
                         parts.append(t[a["start"] : a["start"] + a["n"] + SPAN - 1])
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "doc": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int32()), "bytes": pa.array(parts, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "doc": pa.array(ids, pa.int64()), "sub": pa.array(subs, pa.int64()), "start": pa.array(starts, pa.int32()), "bytes": pa.array(parts, pa.binary())})
 
-    segments = docs.join(asks, docs.id == asks.doc).select("id", "t", "asks").mapInArrow(fetch, "key long, doc long, start int, bytes binary")
-    compared = segments.repartition(n, "key").sortWithinPartitions("key", "doc", "start").mapInArrow(_compare, "doc long, start int, n int")
-    return sorted_out.where("not ask").select("doc", "start", "n").unionByName(compared)
+    segments = docs.join(asks, ["id", "sub"]).mapInArrow(fetch, "key long, doc long, sub long, start int, bytes binary")
+    compared = segments.repartition(n, "key").sortWithinPartitions("key", "doc", "sub", "start").mapInArrow(_compare, "doc long, sub long, start int, n int")
+    return sorted_out.where("not ask").select("doc", "sub", "start", "n").unionByName(compared)
 
 
 def strip_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, kept (binary: the remaining bytes), n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
 
     A byte goes when some SPAN-byte string that covers it also starts earlier: in a row of a smaller key, or before in the
-    same text. Strings are judged on the input. A null text is empty, a null key comes before all others and stays null;
-    rows that repeat a key with the same text are one document and stay alike. Other columns are not read. A text is held
+    same text. Strings are judged on the input. A null text is empty, a null key comes before all others and stays null; a
+    key may have several texts, which come in order of their hashes; rows that repeat key and text are one document. Other columns are not read. A text is held
     whole in a task; a key's run of equal hashes is compared in shards.
     """
-    marks = repeated_spans(df, key, text).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
-    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(FIRST_KEY)).alias("id"), text_of(text).alias("t"))
-    joined = docs.join(marks, docs.id == marks.doc, "left").select("id", "t", "marks")
+    marks = repeated_spans(df, key, text).groupBy(F.col("doc").alias("id"), "sub").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+    docs = _documents(df, key, text)
+    joined = docs.join(marks, ["id", "sub"], "left").select("id", "t", "marks")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
