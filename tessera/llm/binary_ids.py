@@ -194,6 +194,10 @@ def read_shard(filesystem: fs.FileSystem, path: str) -> Iterator[tuple[np.ndarra
             a = b
 
 
+#: Stands for a null key in a file, and the ids of a shard.
+NO_KEY, SHARD = -(1 << 63), 1 << 25
+
+
 class _Chunks(dict):
     """The ids of each chunk of text, as bytes. A chunk is a space and what follows it up to the next space."""
 
@@ -289,44 +293,50 @@ def encoder(path: str) -> Encoder:
 def write_ids(df: DataFrame, path: str, vocabulary: str, end_id: int | None = 2, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
     """Encode every text, write shards below `path` in ascending order of `key`, and return their list.
 
-    A null text is empty and has the end id only. A null key sorts first and is written as the least integer. Rows that
-    repeat a key all stay, in no fixed order among themselves. Columns other than the two are not read. An empty table
-    writes no shard. The list has file, part, first_key, n_docs, n_ids; it is checkpointed, so a task that runs again
-    after an executor was lost writes another file and never changes one in the list.
+    A null text is empty and has the end id only. A null key sorts first and comes back as null. Rows that repeat a key all
+    stay, in order of their texts. Columns other than the two are not read. An empty table writes no shard. A task closes
+    a shard at SHARD ids, so that it holds no more than that. The list has file, part, nth (of the part's shards),
+    first_key, n_docs, n_ids; it is checkpointed, so a task that runs again after an executor was lost writes other files
+    and never changes one in the list.
     """
     n = partitions or max(2 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = df.select(F.col(key).cast("long").alias("k"), text_of(text).alias("t")).repartitionByRange(n, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first())
+    order = F.col("k").asc_nulls_first()
+    rows = df.select(F.col(key).cast("long").alias("k"), text_of(text).alias("t")).repartitionByRange(n, order).sortWithinPartitions(order, "t")
     base = path.rstrip("/")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own = encoder(vocabulary)
-        keys, counts, packed, carry = [], [], [], np.zeros(0, own.dtype)
+        own, number, nth = encoder(vocabulary), TaskContext.get().partitionId(), 0
         end = np.zeros(0, own.dtype) if end_id is None else np.array([end_id], own.dtype)
+        filesystem, folder = fs.FileSystem.from_uri(base)
+        keys, counts, packed, held, carry = [], [], [], 0, np.zeros(0, own.dtype)
+
+        def close() -> pa.RecordBatch:
+            filesystem.create_dir(folder)
+            name = f"{number:06d}-{nth:04d}-{uuid.uuid4().hex}.s8b"
+            doc_ids, sizes = np.concatenate(keys), np.concatenate(counts)
+            total = write_shard(filesystem, f"{folder}/{name}", doc_ids, sizes, [*packed, (*pack(carry), len(carry))])
+            return pa.RecordBatch.from_pydict({"file": [f"{base}/{name}"], "part": pa.array([number], pa.int32()), "nth": pa.array([nth], pa.int32()), "first_key": pa.array([doc_ids[0]], pa.int64()), "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([total], pa.int64())})
+
         for batch in batches:
             for part in in_chunks(batch, "t"):
                 found = []
                 for t in part.column("t").to_pylist():
                     found += [own.encode(t), end]
                 counts.append(np.fromiter((len(a) + len(b) for a, b in zip(found[::2], found[1::2], strict=True)), np.int64))
-                keys.append(part.column("k").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False))
+                keys.append(part.column("k").fill_null(NO_KEY).to_numpy(zero_copy_only=False))
                 ids = np.concatenate([carry, *found])
                 even = len(ids) // BLOCK * BLOCK
                 packed.append((*pack(ids[:even]), even))
-                carry = ids[even:]
-        if not keys:
-            return
-        packed.append((*pack(carry), len(carry)))
-        number = TaskContext.get().partitionId()
-        filesystem, folder = fs.FileSystem.from_uri(base)
-        filesystem.create_dir(folder)
-        name = f"{number:06d}-{uuid.uuid4().hex}.s8b"
-        doc_ids, sizes = np.concatenate(keys), np.concatenate(counts)
-        total = write_shard(filesystem, f"{folder}/{name}", doc_ids, sizes, packed)
-        yield pa.RecordBatch.from_pydict({"file": [f"{base}/{name}"], "part": pa.array([number], pa.int32()), "first_key": pa.array([doc_ids[0]], pa.int64()), "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([total], pa.int64())})
+                carry, held = ids[even:], held + even
+                if held >= SHARD:
+                    yield close()
+                    keys, counts, packed, held, carry, nth = [], [], [], 0, carry[:0], nth + 1
+        if keys:
+            yield close()
 
-    return cut(rows.mapInArrow(write, "file string, part int, first_key long, n_docs long, n_ids long"))
+    return cut(rows.mapInArrow(write, "file string, part int, nth int, first_key long, n_docs long, n_ids long"))
 
 
 def read_ids(shards: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -335,9 +345,9 @@ def read_ids(shards: DataFrame, with_ids: bool = False) -> DataFrame:
     The list of shards is short (a row a file), so the running totals are made on the driver.
     """
     spark = shards.sparkSession
-    listed = sorted(((r.part, r.file, r.n_ids) for r in shards.collect()))
+    listed = sorted((r.part, r.nth, r.file, r.n_ids) for r in shards.collect())
     starts = np.concatenate([[0], np.cumsum([n for *_, n in listed])]).astype(np.int64)
-    files = spark.createDataFrame([(f, int(s)) for (_, f, _), s in zip(listed, starts, strict=False)], "file string, start long").repartition(max(1, len(listed)), "file")
+    files = spark.createDataFrame([(f, int(s)) for (_, _, f, _), s in zip(listed, starts, strict=False)], "file string, start long").repartition(max(1, len(listed)), "file")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +358,7 @@ def read_ids(shards: DataFrame, with_ids: bool = False) -> DataFrame:
                     ends = np.cumsum(counts)
                     data = memoryview(ids.astype("<u4").tobytes())
                     crcs = [zlib.crc32(data[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-                    out = {"doc_id": pa.array(doc_ids), "start": pa.array(at + ends - counts), "n_tokens": pa.array(counts), "ids_crc32": pa.array(crcs, pa.int64())}
+                    out = {"doc_id": pa.array(doc_ids, mask=doc_ids == NO_KEY), "start": pa.array(at + ends - counts), "n_tokens": pa.array(counts), "ids_crc32": pa.array(crcs, pa.int64())}
                     if with_ids:
                         out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int64)))
                     at += int(ends[-1])
