@@ -244,12 +244,12 @@ def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return values[np.arange(total) + np.repeat(starts - before, sizes)]
 
 
-def encode_words(p: Pieces, words: list[str], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, offsets) of words, each already with its leading spaces as U+2581; a U+2581 of the text itself comes as U+10FFFF."""
+def encode_words(p: Pieces, words: list[str], keys: np.ndarray, rate: float, mark: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of words, each already with its leading spaces as U+2581; mark: what stands for a U+2581 of the text itself."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     ends = np.cumsum(sizes)
-    own = np.where(chars == 0x10FFFF, ord(SPACE), chars)  # what a symbol that stays unknown is written as
+    own = np.where(chars == ord(mark), ord(SPACE), chars) if mark else chars  # what a symbol that stays unknown is written as
     rows, starts, symbols = [], [], []
     low = 0
     for width in WIDTHS:
@@ -288,8 +288,8 @@ def encode_words(p: Pieces, words: list[str], keys: np.ndarray, rate: float) ->
 _SPLIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
-def split_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(code of each word, offsets of the texts, distinct words): a word is spaces and what follows them; a text's own U+2581 becomes U+10FFFF."""
+def split_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, str]:
+    """(code of each word, offsets of the texts, distinct words, mark): a word is spaces and what follows them; last, the character that stands for a text's own U+2581, one that no text has."""
     texts = texts.cast(pa.large_string())
     odd = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.match_substring_regex(texts, "^ | $"), pc.match_substring(texts, SPACE)))
     plain = pc.split_pattern(texts, " ")
@@ -303,31 +303,32 @@ def split_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
             codes = codes[np.repeat(~empty, n_words)]
             n_words = np.where(empty, 0, n_words)
         words = pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()), coded.dictionary, pa.scalar("", pa.large_string()))
-        return codes, np.concatenate([[0], np.cumsum(n_words)]), words
+        return codes, np.concatenate([[0], np.cumsum(n_words)]), words, ""
     known: dict[str, int] = {}
     codes, counts = [], []
+    mark = next(c for c in map(chr, range(0x10FFFF, 0xFFFF, -1)) if not pc.any(pc.match_substring(texts, c)).as_py())
     for t in texts.to_pylist():
-        found = _SPLIT.findall((SPACE + t.replace(SPACE, "\U0010ffff").replace(" ", SPACE)) if t else "")
+        found = _SPLIT.findall((SPACE + t.replace(SPACE, mark).replace(" ", SPACE)) if t else "")
         counts.append(len(found))
         codes += [known.setdefault(w, len(known)) for w in found]
-    return np.array(codes, np.int64), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), pa.array(list(known), pa.large_string())
+    return np.array(codes, np.int64), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), pa.array(list(known), pa.large_string()), mark
 
 
 def encode_texts(p: Pieces, texts: pa.Array, text_keys: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of texts; text_keys: an unsigned number for each text that its draw depends on."""
-    codes, offsets, words = split_texts(texts)
+    codes, offsets, words, mark = split_texts(texts)
     if not len(codes):
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
     with np.errstate(over="ignore"):
         count = np.diff(offsets)
         place = np.arange(len(codes)) - np.repeat(offsets[:-1], count)
         secret = mix64(np.array([seed], np.uint64) + np.uint64(0x5EED))[0]
-        keys = mix64(hash_strings(words)[codes] ^ mix64(np.repeat(mix64(text_keys ^ secret), count) + place.astype(np.uint64)))
+        keys = mix64(hash_strings(pc.replace_substring(words, mark, SPACE) if mark else words)[codes] ^ mix64(np.repeat(mix64(text_keys ^ secret), count) + place.astype(np.uint64)))
     if rate > 0:
         first, which = alike(p, words.to_pylist(), codes, keys, rate)
     else:
         _, first, which = np.unique(codes, return_index=True, return_inverse=True)
-    ids, ends = encode_words(p, pc.take(words, pa.array(codes[first])).to_pylist(), keys[first], rate)
+    ids, ends = encode_words(p, pc.take(words, pa.array(codes[first])).to_pylist(), keys[first], rate, mark)
     sizes = np.diff(ends)[which]
     out = ragged(ids, ends[:-1][which], sizes)
     total = np.concatenate([[0], np.cumsum(sizes)])
