@@ -110,7 +110,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(HASHES // BANDS):
                     key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, k])
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, BANDS, dtype=np.int32)), pa.array(key.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_pydict({"id": part.column("id"), "n": pa.array(np.diff(offsets)), "same": pa.array(sets, pa.binary()), "bands": flat})
+            yield pa.RecordBatch.from_pydict({"id": part.column("id"), "sub": part.column("sub"), "n": pa.array(np.diff(offsets)), "same": pa.array(sets, pa.binary()), "bands": flat})
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,36 +145,43 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield group(rows, key[1], key[2])
 
 
-def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", first: bool = False) -> DataFrame:
     """Per row: key, class_id (the least key of its class), n_links (other distinct shingle sets linked to its own), n_copies (rows with its shingle set).
 
     Two texts are linked when the Jaccard similarity of their sets of five-word shingles is 0.8 or more; classes are the
     connected components. Words are lower-case runs without white space; a text of one to four words has one shingle, all
     its words. A null or empty text has no shingles: it is a class of its own, without links. A row with a null key is
-    compared with nothing and has a null class. Rows that repeat a key are one document. Other columns are not read.
+    compared with nothing and has a null class. A key may have several texts: each row counts with its own. Other columns
+    are not read. first: also sub (the hash of the text) and is_first (whether key and text are the least of the class).
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).cast("long").alias("id"), text_of(text).alias("t"))
-    sketch = cut(rows.mapInArrow(_sketch, "id long, n long, same binary, bands array<long>"))
+    rows = df.select(F.col(key).cast("long").alias("id"), text_of(text).alias("t")).select("id", F.xxhash64("t").alias("sub"), "t")
+    sketch = cut(rows.mapInArrow(_sketch, "id long, sub long, n long, same binary, bands array<long>"))
     has = sketch.where("n > 0 and id is not null")
-    first = cut(has.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies")))
-    nodes = has.join(first.select(F.col("rep").alias("id"), "same"), ["id", "same"], "left_semi").dropDuplicates(["id"])
-    bands = nodes.select("id", F.explode("bands").alias("band"))
-    leads = bands.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("m")).where("m > 1").drop("m")
-    stars = bands.join(leads, "band").where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))
-    cluster = cut(components(stars).join(nodes.select(F.col("id").alias("node"), "n"), "node"))
+    # Each distinct set is a node, with a number of its own; the least key with that set stands for it.
+    sets = cut(has.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = has.join(sets.select(F.col("rep").alias("id"), "same", "node"), ["id", "same"]).dropDuplicates(["node"])
+    bands = nodes.select("node", F.explode("bands").alias("band"))
+    leads = bands.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("m")).where("m > 1").drop("m")
+    stars = bands.join(leads, "band").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    cluster = cut(components(stars).join(nodes.select("node", "n", "id", "sub"), "node"))
     size = cluster.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = cluster.join(size, "root").select(F.col("node").alias("id"), F.col("root").alias("cluster"), "blocks", block.alias("block"))
-    texts = rows.join(placed, "id").select("id", "cluster", "blocks", "block", "t")
-    dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "t")
+    placed = cluster.join(size, "root").select("node", "id", "sub", F.col("root").alias("cluster"), "blocks", block.alias("block"))
+    texts = rows.join(placed, ["id", "sub"]).dropDuplicates(["node"])
+    dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("node").alias("id"), "t")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     groups = dealt.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
     found = cut(groups.mapInArrow(_compare, "id long, to long, links long"))
     roots = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
-    of_set = first.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(links.select(F.col("id").alias("rep"), "n_links"), "rep", "left")
-    of_set = of_set.select(F.col("same"), F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    matched = has.select("id", "same").join(of_set, "same").select(F.col("id").alias(key), "class_id", "n_links", "n_copies")
-    alone = sketch.where("n = 0 or id is null").select(F.col("id").alias(key), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
-    return matched.unionByName(alone)
+    joined = sets.join(roots, "node", "left").join(links.withColumnRenamed("id", "node"), "node", "left").select("same", "rep", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    least = joined.groupBy("root").agg(F.min("rep").alias("class_id"))
+    of_set = joined.join(least, "root")
+    matched = has.join(of_set, "same").select(F.col("id").alias(key), "class_id", "n_links", "n_copies", "sub", "root")
+    alone = sketch.where("n = 0 or id is null").select(F.col("id").alias(key), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), "sub")
+    if not first:
+        return matched.drop("sub", "root").unionByName(alone.drop("sub"))
+    lowest = matched.where(F.col(key) == F.col("class_id")).groupBy("root").agg(F.min("sub").alias("low"))
+    marked = matched.join(lowest, "root").withColumn("is_first", (F.col(key) == F.col("class_id")) & (F.col("sub") == F.col("low")))
+    return marked.drop("root", "low").unionByName(alone.withColumn("is_first", F.lit(True)))
