@@ -47,7 +47,7 @@ def _blocks(radius: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftright("print", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS, hashed: bool = False) -> DataFrame:
     """A row for each document and item of which it has a passage: key, item key, start (of the best window, in words from 0), n_words, similarity.
 
     Words are lower-case runs without white space, shingles five of them (all words of an item that has fewer). The
@@ -55,8 +55,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     in thousandths, ln(1 + items) where none has; from `threshold` on it is a leak, wherever the window starts. The best
     window is the most similar of those that a shared shingle lines up with an item, or of all where none of those is a
     leak, the first among equals; near the ends of a document, windows are moved inside; one that is longer than the document is
-    all of it. Null or empty texts and rows with null keys have no leaks; rows that repeat a key count as one document;
+    all of it. Null or empty texts and rows with null keys have no leaks; a key may have several texts, each with its own rows; rows that repeat key and text count once;
     an empty table on either side gives no rows; other columns are not read. Documents of any length are scanned whole.
+    hashed: also sub, the hash of the text.
     """
     items = benchmark.where(F.col(item_key).isNotNull()).select(F.col(item_key).alias("item"), _words(item_text).alias("w")).dropDuplicates(["item", "w"])
     items = items.where("size(w) > 0").select("item", F.size("w").alias("n_words"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
@@ -75,7 +76,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     item_sets = placed.select("item", "n_words", "width", "shingle").distinct().join(near(weights), "shingle")
     prints = cut(_fingerprint(item_sets, ["item", "n_words", "width"]))
 
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.transform(_words(text), lambda w: F.xxhash64(w)).alias("h"))
+    named = F.struct(F.col(key).cast("long").alias("id"), F.xxhash64(text_of(text)).alias("sub")).alias("doc")
+    rows = docs.where(F.col(key).isNotNull()).select(named, F.transform(_words(text), lambda w: F.xxhash64(w)).alias("h"))
     found = None
     for w in widths:
         each = rows.select("doc", F.size("h").alias("n"), F.posexplode(_shingles("h", w)).alias("pos", "shingle"))
@@ -94,7 +96,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     aligned = hits.join(enough, ["doc", "item", "n_words", "width"], "left_semi").select("doc", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("n") - F.col("n_words"))).alias("start"), "n_words", "width", F.lit(True).alias("aligned"))
     windows = cut(every.unionByName(aligned).groupBy("doc", "start", "n_words", "width").agg(F.max("aligned").alias("aligned")))
     by_doc = windows.groupBy("doc").agg(F.collect_set(F.struct("start", "n_words", "width")).alias("at"))
-    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__t")).join(by_doc, "doc")
+    texts = docs.where(F.col(key).isNotNull()).select(named, F.col(text).alias("__t")).join(by_doc, "doc")
     split = texts.select("doc", F.transform(_words("__t"), lambda w: F.xxhash64(w)).alias("h"), F.explode("at").alias("at")).select("doc", "at.*", F.col("h"))
     inside = split.select("doc", "start", "n_words", "width", F.slice("h", F.col("start") + 1, F.col("n_words")).alias("h"))
     sets = inside.select("doc", "start", "n_words", "width", F.explode(F.array_distinct(F.coalesce(*[F.when(F.col("width") == w, _shingles("h", w)) for w in widths]))).alias("shingle")).distinct()
@@ -109,9 +111,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     scored = scored.withColumn("similarity", F.col("common") / (F.col("window_mass") + F.col("mass") - F.col("common"))).where(F.col("similarity") >= threshold)
     scored = scored.join(windows.select("doc", "start", "n_words", "aligned"), ["doc", "start", "n_words"])
     best = scored.groupBy("doc", "item").agg(F.max(F.struct("aligned", "similarity", (-F.col("start")).alias("back"), (-F.col("n_words")).alias("less"))).alias("best"))
-    return best.select(F.col("doc").alias(key), F.col("item").alias(item_key), (-F.col("best.back")).alias("start"), (-F.col("best.less")).alias("n_words"), F.round("best.similarity", 6).alias("similarity"))
+    return best.select(F.col("doc.id").alias(key), *[F.col("doc.sub")] * hashed, F.col("item").alias(item_key), (-F.col("best.back")).alias("start"), (-F.col("best.less")).alias("n_words"), F.round("best.similarity", 6).alias("similarity"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents that leak an item; rows with a null key stay."""
-    return docs.join(find_leaks(docs, benchmark, key, text).select(key).distinct(), key, "left_anti").select(docs.columns)
+    """docs without the documents that leak an item; rows with a null key stay, and so do other texts of a key."""
+    leaks = find_leaks(docs, benchmark, key, text, hashed=True).select(F.col(key).alias("id"), "sub").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("id"), F.xxhash64(text_of(text)).alias("sub"))
+    return rows.join(leaks, ["id", "sub"], "left_anti").select("row.*")
