@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from tessera.llm.decontaminate import THRESHOLD, WIDTH
-from tessera.llm.pii import BASE, IBAN_LENGTHS, KINDS
+from tessera.llm.pii import BASE, CONFIRMING, IBAN_LENGTHS, KINDS, RAISE, REACH
 
 
 def _pii() -> str:
-    def spans(kind: str, plain: str) -> str:
+    def spans(kind: str, plain: str, score: float, context: str) -> str:
         digits = "regexp_replace(m, '[^0-9]', '', 'g')"
         compact = "replace(m, ' ', '')"
         luhn = f"(list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {digits}[-i]::INT WHEN {digits}[-i]::INT > 4 THEN 2 * {digits}[-i]::INT - 9 ELSE 2 * {digits}[-i]::INT END)) % 10 = 0)"
@@ -18,6 +18,8 @@ def _pii() -> str:
             "ip": "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR try_cast(p AS HUGEINT) > 255)) = 0",
             "card": f"(length({digits}) BETWEEN 13 AND 19 AND {luhn})",
             "phone": f"length({digits}) BETWEEN 9 AND 15",
+            "key": "true",
+            "secret": "(regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND length(m) <= 512)",
             "iban": f"coalesce(length({compact}) = {lengths}[substring({compact}, 1, 2)] AND {mod}, false)",
         }[kind]
         return f"""
@@ -25,9 +27,10 @@ def _pii() -> str:
         {kind}_at AS (SELECT doc_id, unnest(ms) m, unnest(range(1, len(ms) + 1)) i, gs, ms FROM {kind}_raw WHERE len(ms) > 0),
         {kind}_span AS (SELECT doc_id, '{kind}' kind, m, i,
             (list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda g: length(g))), 0))::BIGINT AS a FROM {kind}_at),
-        {kind}_ok AS (SELECT doc_id, kind, a, a + length(m) AS b FROM {kind}_span WHERE {good})"""
+        {kind}_near AS (SELECT {kind}_span.*, regexp_matches(t[greatest(a - {REACH}, 0) + 1:a], '{context}') near FROM {kind}_span JOIN d USING (doc_id)),
+        {kind}_ok AS (SELECT doc_id, kind, a, a + length(m) AS b, {score} + CASE WHEN near THEN {RAISE} ELSE 0 END score FROM {kind}_near WHERE {good}{" AND near" if kind in CONFIRMING else ""})"""
 
-    parts = ",".join(spans(k.name, k.plain) for k in KINDS)
+    parts = ",".join(spans(k.name, k.plain, k.score, k.context) for k in KINDS)
     order = "CASE kind " + " ".join(f"WHEN '{k.name}' THEN {i}" for i, k in enumerate(KINDS)) + " END, a"
     union = " UNION ALL ".join(f"SELECT * FROM {k.name}_ok" for k in KINDS)
     written = "kind || ':' || a || ':' || b"
@@ -37,8 +40,8 @@ def _pii() -> str:
     found AS ({union}),
     by_doc AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') n_{k}" for k in BASE)},
         coalesce(string_agg({written}, ',' ORDER BY {order}) FILTER ({base}), '') base,
-        coalesce(string_agg({written}, ',' ORDER BY {order}), '') spans FROM found GROUP BY doc_id)
-    SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT n_{k}" for k in BASE)}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
+        coalesce(string_agg({written}, ',' ORDER BY {order}), '') spans, max(score) top FROM found GROUP BY doc_id)
+    SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT n_{k}" for k in BASE)}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, round(coalesce(top, 0), 2)::DOUBLE max_score
     FROM d LEFT JOIN by_doc USING (doc_id)"""
 
 

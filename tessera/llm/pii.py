@@ -35,20 +35,30 @@ class Kind:
     context: str
 
 
+def _near(words: str) -> str:
+    """One of the words between characters that aren't letters; the same in both dialects."""
+    return rf"(?i)(^|[^A-Za-z])({words})([^A-Za-z]|$)"
+
+
 KINDS = (
     Kind(
         "email",
         r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
         r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
         0.9,
-        r"(?i)\b(e-?mail|mail|contact|correo|courriel|kontakt)\b",
+        _near("e-?mail|mail|contact|correo|courriel|kontakt"),
     ),
-    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 0.6, r"(?i)\b(ip|host|server|address|login)\b"),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9]([\x20-]?[0-9])+", 0.7, r"(?i)\b(card|visa|credit|karte|carte|tarjeta)\b"),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, r"(?i)\b(phone|call|tel|fax|mobile)\b"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", 0.8, r"(?i)\b(iban|account|bank|konto|compte|cuenta)\b"),
+    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 0.6, _near("ip|host|server|address|login")),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9]([\x20-]?[0-9])+", 0.7, _near("card|visa|credit|karte|carte|tarjeta")),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, _near("phone|call|tel|fax|mobile")),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", 0.8, _near("iban|account|bank|konto|compte|cuenta")),
+    # Bare values that only a word before them makes a secret (see CONFIRMING).
+    Kind("secret", r"[A-Za-z0-9_+/=-]{16,}+", r"[A-Za-z0-9_+/=-]{16,}", 0.5, _near("token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|bearer|authorization")),
+    Kind("key", r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35}", r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}", 0.9, _near("token|secret|key|aws|github|slack")),
 )
 BASE = ("email", "ip", "card", "phone")
+#: Kinds whose spans stand only where a context word is near, and so need a score above their own.
+CONFIRMING = ("secret",)
 #: Code points before a span in which context words count.
 REACH = 40
 RAISE = 0.1
@@ -73,6 +83,10 @@ def _confirmed(kind: str, match: Column) -> Column:
         return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
         return F.length(digits).between(9, 15)
+    if kind == "key":
+        return F.lit(True)
+    if kind == "secret":  # letters and digits mixed, as names and prose aren't
+        return match.rlike("[0-9]") & match.rlike("[A-Za-z]") & (F.length(match) <= 512)
     compact = F.replace(match, F.lit(" "), F.lit(""))
     lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
     return (F.length(compact) == F.try_element_at(lengths, F.substring(compact, 1, 2))) & (_mod97(compact) == 1)
@@ -104,7 +118,10 @@ def find_pii(df: DataFrame, text: str = "text", out: str = "pii", kinds: tuple[K
         good = F.filter(raw, lambda s: _confirmed(k.name, s["m"]))
         near = lambda s: F.substring(F.col("__t"), F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH)))
         scored = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (F.lit(k.score) + F.when(near(s).rlike(k.context), RAISE).otherwise(0.0)).alias("score"))
-        return F.when(F.size(f"__m_{k.name}") > 0, F.transform(good, scored)).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
+        kept = F.transform(good, scored)
+        if k.name in CONFIRMING:
+            kept = F.filter(kept, lambda s: s["score"] > k.score)
+        return F.when(F.size(f"__m_{k.name}") > 0, kept).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
 
     return placed.withColumn("__out", F.concat(*[spans(k) for k in kinds])).drop("__t", *own, out).withColumnRenamed("__out", out)
 
@@ -125,4 +142,4 @@ def digest(df: DataFrame, spans: str = "pii") -> DataFrame:
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE))
     of = lambda kind: F.filter(spans, lambda s: s["kind"] == kind)
     counts = {f"n_{k}": F.size(of(k)).cast("long") for k in BASE}
-    return df.withColumns(counts | {"base_sha256": F.sha2(written(base), 256), "spans": written(F.col(spans)), "max_score": F.coalesce(F.array_max(F.transform(spans, lambda s: s["score"])), F.lit(0.0))})
+    return df.withColumns(counts | {"base_sha256": F.sha2(written(base), 256), "spans": written(F.col(spans)), "max_score": F.round(F.coalesce(F.array_max(F.transform(spans, lambda s: s["score"])), F.lit(0.0)), 2)})

@@ -50,7 +50,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "max_score")
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
