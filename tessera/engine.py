@@ -19,9 +19,9 @@ from tessera.functions.filters import Predicate, equalities, guard_reserved, par
 from tessera.operators import stats
 from tessera.operators.ann import IvfIndex, build_ivf
 from tessera.operators.cursor import CursorRegistry
-from tessera.operators.knn import check_query, knn, knn_batch
+from tessera.operators.knn import check_query, knn, knn_batch, tie_break
 from tessera.operators.scan import debug_scan, scan
-from tessera.sources.catalog import ACTIVE_SET_SIZE_LIMIT, SEGMENTS_LISTED, Catalog, Table
+from tessera.sources.catalog import ACTIVE_SET_SIZE_LIMIT, LAYERS, SEGMENTS_LISTED, Catalog, Table
 from tessera.sources.rows import conform, from_ipc, text_row
 from tessera.sources.segment import BUCKET
 from tessera.sources.storage import Storage
@@ -37,6 +37,7 @@ class Engine:
         self.catalog = Catalog(spark, root)
         self.cursors = CursorRegistry(cursor_ttl)
         self.ivf: dict[tuple[str, str], IvfIndex] = {}
+        self.built: dict[tuple[str, str], tuple[str, int]] = {}
         self.metrics: dict[str, list[float]] = defaultdict(lambda: [0, 0.0])
         self.logs = {t: logging.getLogger(f"tessera.{t}") for t in LOG_TOPICS}
         self.topics: set[str] = set()
@@ -107,15 +108,13 @@ class Engine:
 
     # Search
 
-    def _searched(self, name: str, column: str, filter_text: str) -> tuple[DataFrame, dict, str]:
+    def _searched(self, name: str, column: str, filter_text: str) -> tuple[DataFrame, dict, str | None]:
         t = self.catalog.get(name)
         index = self.catalog.vector_column(t, column)
         df, tree = self._filtered(name, filter_text)
         df = df.where(~F.col(DELETED)).drop(DELETED)
         df = df.where(tree.column()) if tree else df
         key = t.primary_key if t.primary_key and isinstance(t.schema[t.primary_key].dataType, T.IntegralType) else next((f.name for f in t.schema.fields if isinstance(f.dataType, T.IntegralType)), None)
-        if key is None:
-            raise EngineError("A search needs an integer column to name the rows by.")
         return df, index, key
 
     def _width(self, name: str, column: str) -> int:
@@ -130,13 +129,13 @@ class Engine:
             return found.withColumn("distance", F.col("distance").cast("float")) if "distance" in found.columns else found
 
     def batch_ann(self, name: str, column: str, k: int, queries: DataFrame | Sequence[Sequence[float]], ef: int | None = None, projection: str = "*", filter_text: str = "") -> DataFrame:
-        """As ann for many queries at once, with query_idx first; in no order."""
+        """As ann for many queries at once, with query_idx first; in order of query_idx, then nearest first."""
         self._check_k(k, ef)
         with self._timed("BatchAnnCommand", "search"):
             df, index, key = self._searched(name, column, filter_text)
             if not isinstance(queries, DataFrame):
                 queries = [check_query(q, self._width(name, column)) for q in queries]
-            found = knn_batch(df, column, key, queries, k, index["metric"], projection or "*")
+            found = knn_batch(df, column, key, queries, k, index["metric"], projection or "*", ranked=True).orderBy("query_idx", "__rank").drop("__rank")
             return found.withColumn("distance", F.col("distance").cast("float")) if "distance" in found.columns else found
 
     @staticmethod
@@ -145,18 +144,26 @@ class Engine:
             raise EngineError("k and ef must be at least 1.")
 
     def build_index(self, name: str, column: str, path: str, cells: int | None = None) -> IvfIndex:
-        """An inverted file over the live rows, for approximate search; rows that come later are not in it."""
+        """An inverted file over the live rows, for approximate search. Later changes are seen by searches, at more cost until it is built again."""
         df, index, key = self._searched(name, column, "")
+        if key is None:
+            raise EngineError("An index needs an integer column to name the rows by.")
         self.ivf[name, column] = build_ivf(df, column, key, index["metric"], path, cells)
+        self.built[name, column] = self.catalog.get(name).folder, self.catalog.get(name).version
         return self.ivf[name, column]
 
     def approximate_ann(self, name: str, column: str, k: int, queries: Sequence[Sequence[float]], ef: int | None = None) -> DataFrame:
         """The nearest rows by the column's inverted file: in two thirds of the cells, by test a recall at 10 of 0.9; an ef or k above that share of 200 looks into more, 200 into all."""
         if (name, column) not in self.ivf:
             raise EngineError(f"Column '{column}' of table '{name}' has no built index.")
-        index = self.ivf[name, column]
+        self._check_k(k, ef)
+        index, t = self.ivf[name, column], self.catalog.get(name)
+        live = None
+        if self.built[name, column] != (t.folder, t.version):
+            df, _, key = self._searched(name, column, "")
+            live = df.select(tie_break(df, key).alias("__key"), F.col(f"`{column}`").alias("__v")).where("__key is not null and __v is not null")
         nprobe = max(-(-len(index.centres) * 2 // 3), -(-len(index.centres) * max(k, ef or k) // 200))
-        return index.search(self.spark, [check_query(q, self._width(name, column)) for q in queries], k, nprobe)
+        return index.search(self.spark, [check_query(q, self._width(name, column)) for q in queries], k, nprobe, live=live)
 
     # Writing
 
@@ -166,9 +173,14 @@ class Engine:
         with self._timed("InsertCommand", "insert"):
             self._append(t, text_row(self.spark, row, t.schema))
 
-    def insert(self, name: str, rows: DataFrame | pa.Table | bytes) -> int:
-        """Rows by place, each to its own segment. Rows whose primary key the segment has are skipped; the number that came in."""
+    def insert(self, name: str, rows: DataFrame | pa.Table | bytes, stream: tuple[str, int] | None = None) -> int:
+        """Rows by place, each to its own segment. Rows whose primary key the segment has are skipped; the number that came in.
+
+        stream: the name of a stream and the number of its batch; a batch that the table has already adds nothing.
+        """
         t = self.catalog.get(name)
+        if stream and t.streams.get(stream[0], -1) >= stream[1]:
+            return 0
         with self._timed("BatchInsertCommand", "insert"):
             df = rows if isinstance(rows, DataFrame) else from_ipc(self.spark, rows) if isinstance(rows, bytes) else self.spark.createDataFrame(rows)
             df = conform(df, t.schema)
@@ -178,15 +190,19 @@ class Engine:
                     raise EngineError(f"Primary key {repeated[0][key]!r} comes twice in one batch.")
                 on = list(dict.fromkeys([key, *t.segmentation.keys]))
                 df = df.join(self.table(name).where(~F.col(DELETED)).select(*on), on, "left_anti").select(*t.schema.names)
-            return self._append(t, df)
+            return self._append(t, df, stream)
 
-    def _append(self, t: Table, df: DataFrame) -> int:
+    def _append(self, t: Table, df: DataFrame, stream: tuple[str, int] | None = None) -> int:
         broken = violations(t.schema)
         seen = F.when(broken.isNull(), F.lit(False)).otherwise(F.raise_error(F.concat(F.lit("Wrong rows: "), broken)).cast("boolean"))
         layer = self.catalog.write(t, df.withColumn(DELETED, seen))
         n = self.spark.read.parquet(f"{self.catalog.storage.root}/{t.folder}/{layer['path']}").count()
-        if n:
-            self.catalog.commit(t, [*t.layers, layer])
+        if n or stream:
+            if stream:
+                t.streams = t.streams | {stream[0]: stream[1]}
+            self.catalog.commit(t, [*t.layers, layer] if n else t.layers)
+        if len(t.layers) > LAYERS:
+            self.compact(t.name)
         return n
 
     def delete(self, name: str, filter_text: str = "") -> int:
@@ -251,6 +267,10 @@ class Engine:
         t = self.catalog.get(name)
         self.catalog.replace(t, None, self.catalog.write(t, self.catalog.read(t).drop(BUCKET)))
 
+    def vacuum(self, name: str) -> int:
+        """Delete the files of earlier states of the table; the number of layers that went."""
+        return self.catalog.vacuum(self.catalog.get(name))
+
     # Counters
 
     def count_records(self, name: str) -> int:

@@ -48,13 +48,23 @@ class IvfIndex:
     metric: str
     centres: np.ndarray
 
-    def search(self, spark: SparkSession, queries: np.ndarray, k: int, nprobe: int | None = None, digits: int | None = None) -> DataFrame:
-        """(query_idx, key, distance) of the k nearest rows in the nprobe nearest cells; all cells give the exact result."""
+    def search(self, spark: SparkSession, queries: np.ndarray, k: int, nprobe: int | None = None, digits: int | None = None, live: DataFrame | None = None) -> DataFrame:
+        """(query_idx, key, distance) of the k nearest rows in the nprobe nearest cells; all cells give the exact result.
+
+        live: the rows (__key, __v) as they are now, where they have changed since the index was built. Those that the index
+        has as they are stand in their cells, others are not found; rows that it lacks are looked at by every query.
+        """
         queries = np.asarray(queries, float)
         nprobe = min(nprobe or max(1, len(self.centres) // 4), len(self.centres))
         near = np.argsort(distances(queries, self.centres, "l2" if self.metric == "l2" else "ip"), axis=1, kind="stable")[:, :nprobe]
         asks: dict[int, np.ndarray] = {c: np.flatnonzero((near == c).any(1)) for c in np.unique(near).tolist()}
-        rows = spark.read.parquet(self.path).where(F.col(CELL).isin(*asks)).select("__key", "__v", CELL)
+        held = spark.read.parquet(self.path).select("__key", "__v", CELL)
+        rows = held.where(F.col(CELL).isin(*asks))
+        if live is not None:
+            same = lambda df: df.withColumn("__h", F.xxhash64("__v"))
+            fresh = same(live).join(same(held).select("__key", "__h"), ["__key", "__h"], "left_anti").select("__key", "__v", F.lit(-1).alias(CELL))
+            rows = same(rows).join(same(live).select("__key", "__h"), ["__key", "__h"], "left_semi").select("__key", "__v", CELL).unionByName(fresh)
+            asks[-1] = np.arange(len(queries))
         metric, width = self.metric, queries.shape[1]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,8 @@
 """Exact top-k nearest neighbours, for one query or a batch.
 
-Every task keeps the k nearest rows of each query among its rows and gives out only (query, key, distance), so what is
-shuffled is queries x k x tasks, whatever the table's size; other columns are joined to the winners afterwards.
+Every task keeps the k nearest rows of each query among its rows and gives out only those, with the columns that are asked
+for, so what is shuffled is queries x k x tasks rows, whatever the table's size. A row is itself and not its key: keys may
+repeat or be missing.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,16 +25,19 @@ ROWS = 2048
 
 
 class Nearest:
-    """The k nearest of many rows for each query, ties by key."""
+    """The k nearest of many rows for each query, ties by key; `place` says which rows they are."""
 
     def __init__(self, queries: np.ndarray, k: int, metric: str, digits: int | None) -> None:
         self.queries, self.k, self.metric, self.digits = queries, k, metric, digits
         n = len(queries)
         self.limit = np.full(n, np.inf)
-        self.q, self.key, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.q, self.key, self.place, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         self.room = max(4 * n * k, 1 << 16)
+        self.seen = 0
+        self.rows: list[tuple[np.ndarray, pa.RecordBatch]] = []
 
-    def add(self, keys: np.ndarray, vectors: np.ndarray, only: np.ndarray | None = None) -> None:
+    def add(self, keys: np.ndarray, vectors: np.ndarray, only: np.ndarray | None = None, rows: pa.RecordBatch | None = None) -> None:
+        """rows: what is to be known of the rows besides their keys, kept for those that may be among the nearest."""
         which = np.arange(len(self.queries)) if only is None else only
         for a in range(0, len(keys), ROWS):
             d = distances(self.queries[which], vectors[a : a + ROWS], self.metric)
@@ -42,23 +46,40 @@ class Nearest:
             q, i = np.nonzero(d <= self.limit[which][:, None])
             self.q = np.concatenate([self.q, which[q]])
             self.key = np.concatenate([self.key, keys[a + i]])
+            self.place = np.concatenate([self.place, self.seen + a + i])
             self.d = np.concatenate([self.d, d[q, i]])
+            if rows is not None and len(i):
+                some = np.unique(a + i)
+                self.rows.append((self.seen + some, rows.take(pa.array(some))))
             if len(self.q) > self.room:
                 self.settle()
+        self.seen += len(keys)
 
     def settle(self) -> None:
-        order = np.lexsort((self.key, self.d, self.q))
-        q, key, d = self.q[order], self.key[order], self.d[order]
+        order = np.lexsort((self.place, self.key, self.d, self.q))
+        q, d = self.q[order], self.d[order]
         start = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
         rank = np.arange(len(q)) - np.maximum.accumulate(np.where(start, np.arange(len(q)), 0))
         keep = rank < self.k
         full = np.flatnonzero(rank == self.k - 1)
         self.limit[q[full]] = d[full]
-        self.q, self.key, self.d = q[keep], key[keep], d[keep]
+        order = order[keep]
+        self.q, self.key, self.place, self.d = self.q[order], self.key[order], self.place[order], self.d[order]
+        if self.rows:
+            places = np.concatenate([p for p, _ in self.rows])
+            wanted = np.flatnonzero(np.isin(places, self.place))
+            held = pa.Table.from_batches([r for _, r in self.rows]).take(pa.array(wanted)).combine_chunks()
+            self.rows = [(places[wanted], held.to_batches()[0])] if len(wanted) else []
 
     def batch(self, first: int) -> pa.RecordBatch:
         self.settle()
-        return pa.RecordBatch.from_pydict({"query_idx": pa.array(self.q + first), "__key": pa.array(self.key), "distance": pa.array(self.d)})
+        out = {"query_idx": pa.array(self.q + first), "__key": pa.array(self.key), "distance": pa.array(self.d)}
+        if self.rows:
+            places, held = self.rows[0]
+            order = np.argsort(places)
+            taken = held.take(pa.array(order[np.searchsorted(places, self.place, sorter=order)]))
+            out |= dict(zip(held.schema.names, taken.columns, strict=True))
+        return pa.RecordBatch.from_pydict(out)
 
 
 def check_query(vector: Sequence[float], width: int | None) -> list[float]:
@@ -70,27 +91,40 @@ def check_query(vector: Sequence[float], width: int | None) -> list[float]:
     return got
 
 
-def _winners(df: DataFrame, column: str, key: str, queries: np.ndarray, first: int, k: int, metric: str, digits: int | None) -> DataFrame:
+def tie_break(df: DataFrame, key: str | None) -> Column:
+    """The number that decides between rows at one distance: the key, or a hash of the whole row where there is none."""
+    return F.col(f"`{key}`").cast("long") if key else F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns])
+
+
+def _winners(df: DataFrame, column: str, key: str | None, queries: np.ndarray, first: int, k: int, metric: str, digits: int | None, columns: Sequence[str]) -> DataFrame:
+    """(query_idx, __key, distance, c0, c1, ..., __rank): the nearest rows with their columns."""
     width = queries.shape[1]
-    rows = df.select(F.col(f"`{key}`").cast("long").alias("__key"), F.col(f"`{column}`").alias("__v")).where("__key is not null and __v is not null")
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]
+    rows = df.select(tie_break(df, key).alias("__key"), F.col(f"`{column}`").alias("__v"), *own).where("__key is not null and __v is not null")
+    names = [f"c{i}" for i in range(len(columns))]
+    schema = T.StructType([T.StructField("query_idx", T.LongType()), T.StructField("__key", T.LongType()), T.StructField("distance", T.DoubleType()), *[T.StructField(n, df.schema[c].dataType) for n, c in zip(names, columns, strict=True)]])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Nearest(queries, k, metric, digits)
         for batch in batches:
             at, vectors = matrix(batch.column("__v"), width)
-            found.add(batch.column("__key").to_numpy(zero_copy_only=False)[at], vectors)
-        yield found.batch(first)
+            if len(at):
+                live = batch.take(pa.array(at))
+                found.add(live.column("__key").to_numpy(zero_copy_only=False), vectors, rows=live.select(names) if names else None)
+        if found.seen:
+            yield found.batch(first)
 
-    partial = rows.mapInArrow(search, "query_idx long, __key long, distance double")
+    partial = rows.mapInArrow(search, schema)
     order = Window.partitionBy("query_idx").orderBy("distance", "__key")
     return partial.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= k)
 
 
-def knn_batch(df: DataFrame, column: str, key: str, queries: DataFrame | Sequence[Sequence[float]], k: int, metric: str = "l2", projection: str = "*", digits: int | None = None, query_column: str = "query", query_key: str | None = None) -> DataFrame:
+def knn_batch(df: DataFrame, column: str, key: str | None, queries: DataFrame | Sequence[Sequence[float]], k: int, metric: str = "l2", projection: str = "*", digits: int | None = None, query_column: str = "query", query_key: str | None = None, ranked: bool = False) -> DataFrame:
     """The k nearest rows of each query, with query_idx first and distance where the projection names it ('*': last).
 
     queries: vectors, or a DataFrame with `query_column`, numbered by `query_key` (its own numbers) or in the order given.
-    Ties go to the smaller key; `digits` rounds distances before they are compared. A k above the number of rows gives all
+    Ties go to the smaller key, or without a key column to the smaller hash of the row; rows that share a key are found each
+    for itself. ranked: with a last column __rank, from 1, in each query's order. `digits` rounds distances before they are compared. A k above the number of rows gives all
     rows. Null vectors, vectors of other sizes and rows without a key are never found.
     """
     if k < 1:
@@ -116,30 +150,24 @@ def knn_batch(df: DataFrame, column: str, key: str, queries: DataFrame | Sequenc
         rows = [check_query(v, len(queries[0])) for v in queries]
     for a in range(0, len(rows), QUERY_BLOCK):
         blocks.append((a, np.array(rows[a : a + QUERY_BLOCK])))
+    columns = project(projection or "*", [*df.columns, "distance"], hidden=())
+    own = [c for c in columns if c != "distance"]
     out = None
     for first, block in blocks:
-        part = _winners(df, column, key, block, first, k, metric, digits)
+        part = _winners(df, column, key, block, first, k, metric, digits, own)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = spark.createDataFrame([], "query_idx long, __key long, distance double, __rank int")
+        out = _winners(df.limit(0), column, key, np.zeros((1, 1)), 0, k, metric, digits, own)
     if numbers is not None:
         named = spark.createDataFrame(list(enumerate(numbers)), "query_idx long, __n long")
         out = out.join(F.broadcast(named), "query_idx").withColumn("query_idx", F.col("__n")).drop("__n")
-    columns = project(projection or "*", [*df.columns, "distance"], hidden=())
-    rest = [c for c in columns if c not in ("distance", key)]
-    if rest:
-        wide = df.select(F.col(f"`{key}`").cast("long").alias("__key"), *[F.col(f"`{c}`") for c in dict.fromkeys([*rest, key])])
-        out = out.join(wide, "__key")
-    else:
-        out = out.withColumn(key, F.col("__key").cast(df.schema[key].dataType))
-    return out.select("query_idx", *[F.col(f"`{c}`") for c in columns])
+    shown = [F.col("distance") if c == "distance" else F.col(f"c{own.index(c)}").alias(c) for c in columns]
+    return out.select("query_idx", *shown, *["__rank"] * ranked)
 
 
-def knn(df: DataFrame, column: str, key: str, query: Sequence[float], k: int, metric: str = "l2", projection: str = "*", digits: int | None = None) -> DataFrame:
+def knn(df: DataFrame, column: str, key: str | None, query: Sequence[float], k: int, metric: str = "l2", projection: str = "*", digits: int | None = None) -> DataFrame:
     """The k nearest rows, nearest first; as knn_batch for one query."""
-    columns = project(projection or "*", [*df.columns, "distance"], hidden=())
-    found = knn_batch(df, column, key, [query], k, metric, ", ".join(dict.fromkeys([*columns, "distance", key])), digits)
-    return found.orderBy("distance", key).select(*[F.col(f"`{c}`") for c in columns])
+    return knn_batch(df, column, key, [query], k, metric, projection, digits, ranked=True).orderBy("__rank").drop("query_idx", "__rank")
 
 
 def within(df: DataFrame, column: str, query: Sequence[float], radius: float, metric: str = "l2") -> DataFrame:

@@ -46,6 +46,6 @@ def scan(df: DataFrame, projection: str = "*", filter_text: str = "", limit: int
     return out.limit(limit) if limit else out
 
 
-def debug_scan(df: DataFrame, projection: str = "*", filter_text: str = "", rows: int = 1000) -> str:
-    """The result of a scan as a text table of at most `rows` rows."""
+def debug_scan(df: DataFrame, projection: str = "*", filter_text: str = "", rows: int = 2_000_000_000) -> str:
+    """The whole result of a scan as a text table, for small tables."""
     return scan(df, projection, filter_text)._jdf.showString(rows, 0, False)

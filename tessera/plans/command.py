@@ -133,10 +133,10 @@ def execute(engine: Engine, *words: str | bytes) -> object:
             raise EngineError("Queries need a column named 'query'.")
         vectors = got["query"].to_pylist()
         found = engine.batch_ann(name, text(column), _number(text(k)), vectors, ef, projection, condition)
-        order = ["query_idx", *[c for c in ("distance",) if c in found.columns]]
-        result = found.orderBy(*order).toArrow()
-        index = result["query_idx"].to_numpy()
-        return [_stream(result.filter(pa.array(index == i)).drop_columns(["query_idx"])) for i in range(len(vectors))]
+        result = found.toArrow()  # in order of the queries, each nearest first
+        ends = np.searchsorted(result["query_idx"].to_numpy(), np.arange(len(vectors) + 1)).tolist()
+        result = result.drop_columns(["query_idx"])
+        return [_stream(result.slice(a, b - a)) for a, b in zip(ends, ends[1:])]
     if verb == "DELETE":
         _need(args, 1, 1, verb)
         return engine.delete(name, text(args[0]))

@@ -76,9 +76,9 @@ ORACLE: dict[str, str] = {
     "filter_kleene_or_null": f"SELECT doc_id FROM {LABELLED} WHERE quality = 1 OR lang = 'en'",
     "filter_kleene_not_null": f"SELECT doc_id FROM {LABELLED} WHERE NOT (quality = 1 AND lang = 'en')",
     "filter_canonical": """SELECT * FROM (VALUES
-        (0, '((l_linenumber = 1 AND l_quantity != 2) OR (l_tax < 3 AND l_discount >= 4))', 'l_discount,l_linenumber,l_quantity,l_tax'),
-        (1, '(l_linenumber IN [1, 2, 3] AND l_tax IS NULL)', 'l_linenumber,l_tax'),
-        (2, 'NOT (l_returnflag LIKE ''%A%'' OR l_tax IS NOT NULL)', 'l_returnflag,l_tax')) t(i, canonical, columns)""",
+        (0, '(l_suppkey < 40 OR (NOT l_linestatus LIKE ''_O%'' AND l_orderkey IN [7, 8, 9]))', 'l_linestatus,l_orderkey,l_suppkey'),
+        (1, 'l_linestatus IS NOT NULL', 'l_linestatus'),
+        (2, '(NOT (l_partkey >= 12 OR l_partkey NOT IN [3]) AND (l_returnflag IS NULL OR l_extendedprice <= 100.5))', 'l_extendedprice,l_partkey,l_returnflag')) t(i, canonical, columns)""",
     "knn_filtered": _single("l2", "embedding", 10, condition="v.label <> 3"),
     "knn_l2_single": _single("l2", "embedding", 10),
     "knn_ip_single": _single("ip", "embedding", 10),
@@ -121,4 +121,27 @@ ORACLE: dict[str, str] = {
     "list_and_describe": """SELECT 'vectors' AS table_name, * FROM (VALUES ('vec_id', 'bigint'), ('label', 'int'), ('embedding', 'array<float>'), ('__deleted_flag', 'boolean')) t(column_name, type)""",
     "arrow_stream_roundtrip": "SELECT s_suppkey, s_name, s_acctbal FROM supplier",
     "stream_ingest": "SELECT c_custkey AS k, c_name AS name FROM customer",
+    "knn_repeated_key": f"SELECT vec_id, vec_id % 5 AS part, distance FROM ({_single('l2', 'embedding', 12)})",
+    "knn_string_key": f"SELECT 'v' || vec_id AS name FROM ({_single('l2', 'embedding', 10)})",
+    "batchann_order": f"""SELECT query, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) - 1 AS place, vec_id FROM (
+        {" UNION ALL ".join(f"SELECT {q}::BIGINT AS query, vec_id, distance FROM ({_single('l2', 'embedding', 6, q)})" for q in (0, 20, 40))})""",
+    "ivf_all_cells": _batch("l2", "embedding", "vec_id % 20 = 0"),
+    "ivf_after_delete": f"""WITH now AS (SELECT vec_id, CASE WHEN vec_id = 200 THEN (SELECT embedding FROM embeddings WHERE vec_id = 300) ELSE embedding END AS embedding
+            FROM embeddings WHERE vec_id < 20 OR (vec_id >= 40 AND NOT vec_id BETWEEN 100 AND 149)),
+        asked AS (SELECT i AS query_idx, embedding AS q FROM embeddings JOIN (VALUES (0::BIGINT, 120), (1, 300)) t(i, id) ON vec_id = id)
+        SELECT query_idx, vec_id FROM (SELECT query_idx, vec_id, list_sum(list_transform(list_zip(embedding::DOUBLE[], q::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM now, asked)
+        QUALIFY row_number() OVER (PARTITION BY query_idx ORDER BY round(d, 9), vec_id) <= 8""",
+    "ann_ef": f"SELECT vec_id, ef FROM ({_single('l2', 'embedding', 4)}), (VALUES (1), (500)) t(ef)",
+    "several_vector_columns": f"SELECT vec_id, 'a' AS by FROM ({_single('l2', 'embedding', 5)}) UNION ALL SELECT vec_id, 'b' FROM (SELECT v.vec_id FROM {SCALED} v, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY 1 - list_inner_product(v.scaled::DOUBLE[], q::DOUBLE[]), v.vec_id LIMIT 5)",
+    "insert_arrow_table": "SELECT r_regionkey::INT AS r_regionkey, r_name FROM region",
+    "cursor_internal": "SELECT vec_id, label = 2 AS deleted FROM embeddings",
+    "debug_scan_full": "SELECT vec_id FROM embeddings WHERE label < 8",
+    "save_load_all": "SELECT 'nation' AS table_name, count(*) AS n FROM nation UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_orderkey >= 50",
+    "reopen_after_statements": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'F'",
+    "insert_rollback": "SELECT 1::BIGINT AS failed, count(*) AS n FROM embeddings",
+    "errors_by_statement": """SELECT * FROM (VALUES ('unknown column', 'ColumnNotFound'), ('empty projection', 'EngineError'), ('unfinished filter', 'FilterSyntaxError'), ('reserved column', 'ColumnNotFound'), ('query of another size', 'EngineError'),
+        ('column without index', 'EngineError'), ('k of 0', 'EngineError'), ('unknown metric', 'EngineError'), ('open quote', 'EngineError'), ('unknown table', 'EngineError')) t(statement, error)""",
+    "check_indexing": "SELECT 0::BIGINT AS waiting",
+    "metrics_and_logs": "SELECT * FROM (VALUES ('BatchInsertCommand', 1::BIGINT), ('Scan', 3), ('DeleteCommand', 1), ('log scan', 1), ('log delete', 1)) t(name, n)",
+    "settings": "SELECT 7::BIGINT AS active_set_size_limit, count(*) AS row_count FROM region",
 }

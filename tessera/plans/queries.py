@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.engine import Engine
+from tessera.errors import EngineError
 from tessera.operators import stats
 from tessera.operators.ann import build_ivf
 from tessera.operators.cursor import CursorRegistry
@@ -107,7 +108,7 @@ def filter_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     schema = read(spark, sf_dir, "lineitem").schema
     rows = []
-    for i, text in enumerate(["(l_linenumber = 1 aND l_quantity !=2) OR (l_tax < 3 AnD l_discount>=4)", "l_linenumber in (1, 2, 3) AND l_tax IS null", "nOT (l_returnflag Like '%A%' OR l_tax is nOT nuLL)"]):
+    for i, text in enumerate(["l_suppkey<40 or not l_linestatus   like '_O%' and l_orderkey IN(7,8 , 9)", "( ( l_linestatus IS NOT NULL ) )", "not (l_partkey >= 12 or l_partkey not in (3)) AND (l_returnflag is null or l_extendedprice <=100.5)"]):
         tree = parse_filter(text, schema)
         rows.append((i, str(tree), ",".join(tree.columns())))
     return spark.createDataFrame(rows, "i int, canonical string, columns string")
@@ -473,3 +474,214 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         ingest(engine, "keyed", stream, scratch(spark, f"stream{i}")).awaitTermination()
     return engine.scan("keyed")
 
+
+
+# Searches by record, in order, and after changes
+
+
+@query
+def knn_repeated_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that share the column that decides ties are found each for itself."""
+    df = read(spark, sf_dir, "embeddings").withColumn("part", F.col("vec_id") % 5)
+    return knn(df, "embedding", "part", vector(df, 0), 12, "l2", "vec_id, part, distance", DIGITS)
+
+
+@query
+def knn_string_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table without any integer column."""
+    engine = Engine(spark, scratch(spark, "engine"))
+    engine.create("name string not null, embedding fixed_size_list[64, float32]", "named", index_info=[{"column_id": "1", "index_type": "Hnsw", "parameters": {"space": "L2Space"}}])
+    source = read(spark, sf_dir, "embeddings")
+    engine.insert("named", source.select(F.concat(F.lit("v"), "vec_id").alias("name"), "embedding"))
+    return engine.ann("named", "embedding", 10, vector(source, 0), projection="name")
+
+
+@query
+def batchann_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streams of the batch command, in order although the distance isn't asked for."""
+    import io
+
+    import pyarrow as pa
+
+    from tessera.plans.command import execute
+
+    engine, source = vector_table(spark, sf_dir), read(spark, sf_dir, "embeddings")
+    sink = io.BytesIO()
+    asked = pa.table({"query": pa.array([vector(source, i) for i in (0, 20, 40)], pa.list_(pa.float32()))})
+    with pa.ipc.new_stream(sink, asked.schema) as writer:
+        writer.write_table(asked)
+    streams = execute(engine, "TABLE", "BATCHANN", "vectors", "embedding", "6", sink.getvalue(), "10", "vec_id")
+    found = [pa.ipc.open_stream(x).read_all()["vec_id"].to_pylist() for x in streams]
+    return spark.createDataFrame([(20 * q, place, v) for q, ids in enumerate(found) for place, v in enumerate(ids)], "query long, place long, vec_id long")
+
+
+@query
+def ivf_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted file with all its cells, which is the exact search."""
+    df = read(spark, sf_dir, "embeddings")
+    index = build_ivf(df, "embedding", "vec_id", "l2", scratch(spark, "ivf"))
+    asked = df.where("vec_id % 20 = 0").orderBy("vec_id").select("vec_id", "embedding").collect()
+    found = index.search(spark, np.array([list(r.embedding) for r in asked]), 5, len(index.centres), DIGITS)
+    return found.select((F.col("query_idx") * 20).alias("query_idx"), "vec_id", "distance")
+
+
+@query
+def ivf_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index finds neither deleted rows nor old values, and finds rows that came after it."""
+    engine, source = vector_table(spark, sf_dir), read(spark, sf_dir, "embeddings")
+    engine.delete("vectors", "vec_id < 40")
+    engine.build_index("vectors", "embedding", scratch(spark, "ivf"))
+    engine.delete("vectors", "vec_id >= 100 AND vec_id < 150")
+    engine.update("vectors", f"embedding = {json.dumps(vector(source, 300))}", "vec_id = 200")
+    engine.insert("vectors", source.where("vec_id < 20").select("vec_id", "label", "embedding"))
+    return engine.approximate_ann("vectors", "embedding", 8, [vector(source, 120), vector(source, 300)], ef=1000).select("query_idx", "vec_id")
+
+
+@query
+def ann_ef(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows whatever ef is."""
+    engine, q = vector_table(spark, sf_dir), vector(read(spark, sf_dir, "embeddings"), 0)
+    found = [engine.ann("vectors", "embedding", 4, q, ef=ef, projection="vec_id").withColumn("ef", F.lit(ef)) for ef in (1, 500)]
+    return found[0].unionByName(found[1])
+
+
+@query
+def several_vector_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with two indexed columns of different metrics."""
+    engine, source = Engine(spark, scratch(spark, "engine")), read(spark, sf_dir, "embeddings")
+    spaces = [{"column_id": str(i), "index_type": "Hnsw", "parameters": {"space": space}} for i, space in ((1, "L2Space"), (2, "IPSpace"))]
+    engine.create("vec_id int64 not null, a fixed_size_list[64, float32], b fixed_size_list[64, float32]", "two", index_info=spaces)
+    engine.insert("two", source.select("vec_id", "embedding", F.transform("embedding", lambda x: (x * (1 + F.col("vec_id") % 7)).cast("float"))))
+    q = vector(source, 0)
+    found = [engine.ann("two", c, 5, q, projection="vec_id").withColumn("by", F.lit(c)) for c in ("a", "b")]
+    return found[0].unionByName(found[1])
+
+
+# Statements, errors and administration
+
+
+@query
+def insert_arrow_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches that are in memory already."""
+    engine = Engine(spark, scratch(spark, "engine"))
+    engine.create("r_regionkey int32, r_name string", "region")
+    engine.insert("region", read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int"), "r_name").toArrow())
+    return engine.scan("region")
+
+
+@query
+def cursor_internal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of an internal scan: deleted rows and their flag come too."""
+    engine = vector_table(spark, sf_dir)
+    engine.delete("vectors", "label = 2")
+    page, more = engine.scan_open("u", "vectors", f"vec_id, {DELETED}", "", 0, True, 100)
+    rows = page.to_pylist()
+    while more:
+        page, more = engine.fetch_next("u")
+        rows += page.to_pylist()
+    return spark.createDataFrame([(r["vec_id"], r[DELETED]) for r in rows], "vec_id long, deleted boolean")
+
+
+@query
+def debug_scan_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A debug scan prints every row."""
+    engine = vector_table(spark, sf_dir)
+    printed = [line.strip("|") for line in engine.debug_scan("vectors", "vec_id", "label < 8").splitlines() if line.startswith("|")]
+    return spark.createDataFrame([(int(x),) for x in printed[1:]], "vec_id long")
+
+
+@query
+def save_load_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole database saved and loaded by another engine."""
+    engine, path = order_table(spark, sf_dir), scratch(spark, "database")
+    engine.create("n_nationkey int32, n_name string", "nation")
+    engine.insert("nation", read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int"), "n_name"))
+    engine.delete("orders", "o_orderkey < 50")
+    engine.save_all(path)
+    other = Engine(spark, scratch(spark, "engine"))
+    other.load_all(path)
+    counts = [other.scan(t).agg(F.count("*").alias("n")).withColumn("table_name", F.lit(t)) for t in other.list_tables()]
+    return counts[0].unionByName(counts[1])
+
+
+@query
+def reopen_after_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another engine over the same folder sees every finished statement; old files can go."""
+    root = scratch(spark, "engine")
+    engine = Engine(spark, root)
+    engine.create(ORDER_SCHEMA, "orders")
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    for part in range(3):
+        engine.insert("orders", rows.where(F.col("o_orderkey") % 3 == part))
+    engine.delete("orders", "o_orderstatus = 'F'")
+    engine.compact("orders")
+    engine.vacuum("orders")
+    return Engine(spark, root).scan("orders")
+
+
+@query
+def insert_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch with a row that the schema forbids adds nothing."""
+    engine = vector_table(spark, sf_dir)
+    bad = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.when(F.col("vec_id") == 17, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")))
+    try:
+        engine.insert("vectors", bad)
+        failed = 0
+    except Exception:  # Spark's own error classes differ between its versions
+        failed = 1
+    return _one(spark, failed=failed, n=engine.count_records("vectors"))
+
+
+@query
+def errors_by_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error that each wrong statement raises, by the name of its class."""
+    engine = vector_table(spark, sf_dir)
+    engine.create("a int32, v fixed_size_list[2, float32]", "plain")
+    wrong = {
+        "unknown column": lambda: engine.scan("vectors", "nope"),
+        "empty projection": lambda: engine.scan("vectors", " , "),
+        "unfinished filter": lambda: engine.scan("vectors", "*", "label = 1 OR"),
+        "reserved column": lambda: engine.scan("vectors", "*", f"{DELETED} = true"),
+        "query of another size": lambda: engine.ann("vectors", "embedding", 1, [1.0]),
+        "column without index": lambda: engine.ann("plain", "v", 1, [1.0, 2.0]),
+        "k of 0": lambda: engine.ann("vectors", "embedding", 0, [0.0] * 64),
+        "unknown metric": lambda: engine.create("a int32, v fixed_size_list[2, float32]", "x", index_info=[{"column_id": "1", "index_type": "Hnsw", "parameters": {"space": "Manhattan"}}]),
+        "open quote": lambda: engine.update("vectors", "label = 5'"),
+        "unknown table": lambda: engine.scan("nope"),
+    }
+    rows = []
+    for name, run in wrong.items():
+        try:
+            run()
+            rows.append((name, "none"))
+        except EngineError as e:
+            rows.append((name, type(e).__name__))
+    return spark.createDataFrame(rows, "statement string, error string")
+
+
+@query
+def check_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = vector_table(spark, sf_dir)
+    return _one(spark, waiting=int(engine.check_indexing("vectors")))
+
+
+@query
+def metrics_and_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often statements ran, and the topics that are logged."""
+    engine = order_table(spark, sf_dir)
+    for _ in range(3):
+        engine.scan("orders")
+    engine.delete("orders", "o_orderkey = 1")
+    topics = engine.system_log("set", "scan") + engine.system_log("set", "delete")
+    rows = [(name, int(n)) for name, (n, _) in engine.metrics.items()] + [(f"log {t}", 1) for t in set(topics)]
+    return spark.createDataFrame(rows, "name string, n long")
+
+
+@query
+def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A changed setting holds for tables to come."""
+    engine = Engine(spark, scratch(spark, "engine"))
+    engine.config("set", "active-set-size-limit", "7")
+    engine.create("r_regionkey int32, r_name string", "region")
+    engine.insert("region", read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int"), "r_name"))
+    return engine.segment_statistics_frame("region").select("active_set_size_limit", "row_count")

@@ -25,6 +25,8 @@ METADATA = {"table name", "segmentation_info", "index_info", "active_set_size_li
 ACTIVE_SET_SIZE_LIMIT = 10_000
 #: Replaced segments that a manifest lists; a statement that touches more rewrites the table.
 SEGMENTS_LISTED = 1000
+#: Rows of a file at most, and layers after which an insert rewrites the table as one.
+FILE_ROWS, LAYERS = 20_000_000, 64
 
 
 def parse_index_info(text: str | list | None, schema: T.StructType) -> dict[str, dict]:
@@ -67,19 +69,20 @@ class Table:
     folder: str = ""
     version: int = 0
     layers: list[dict] = field(default_factory=list)
+    streams: dict[str, int] = field(default_factory=dict)
 
     @property
     def primary_key(self) -> str | None:
         return next((f.name for f in self.schema.fields if f.metadata.get("primary_key")), None)
 
     def manifest(self) -> str:
-        return json.dumps({"name": self.name, "schema": self.schema.jsonValue(), "segmentation": self.segmentation.json(), "indexes": self.indexes, "limit": self.limit, "max_threads": self.max_threads, "layers": self.layers})
+        return json.dumps({"name": self.name, "schema": self.schema.jsonValue(), "segmentation": self.segmentation.json(), "indexes": self.indexes, "limit": self.limit, "max_threads": self.max_threads, "layers": self.layers, "streams": self.streams})
 
     @classmethod
     def load(cls, text: str, folder: str, version: int) -> Table:
         m = json.loads(text)
         schema = T.StructType.fromJson(m["schema"])
-        return cls(m["name"], schema, Segmentation.parse(m["segmentation"], schema), m["indexes"], m["limit"], m["max_threads"], folder, version, m["layers"])
+        return cls(m["name"], schema, Segmentation.parse(m["segmentation"], schema), m["indexes"], m["limit"], m["max_threads"], folder, version, m["layers"], m.get("streams", {}))
 
 
 class Catalog:
@@ -177,7 +180,7 @@ class Catalog:
         path = f"layers/{uuid.uuid4().hex}"
         if seg.kind:  # rows of a segment together, and a large segment in several tasks
             df = df.hint("rebalance", *seg.columns())
-        writer = df.write.option("maxRecordsPerFile", table.limit)
+        writer = df.write.option("maxRecordsPerFile", FILE_ROWS)
         (writer.partitionBy(*seg.columns()) if seg.kind else writer).parquet(f"{self.storage.root}/{table.folder}/{path}")
         return {"path": path, "minus": []}
 
@@ -191,6 +194,17 @@ class Catalog:
             raise EngineError("too many segments to list")
         self.commit(table, [*old, layer])
 
+    def vacuum(self, table: Table) -> int:
+        """Delete the layers and manifests that the newest manifest doesn't need; how many layers. Frames read before must not be used any more."""
+        used = {x["path"].split("/")[-1] for x in table.layers}
+        old = [n for n in self.storage.names(table.folder, "layers") if n not in used]
+        for n in old:
+            self.storage.delete(table.folder, "layers", n)
+        for n in self.storage.names(table.folder, "manifest"):
+            if n.endswith(".json") and n != f"{table.version}.json":
+                self.storage.delete(table.folder, "manifest", n)
+        return len(old)
+
     def vector_column(self, table: Table, column: str) -> dict:
         if column not in table.schema.names:
             raise ColumnNotFound(column)

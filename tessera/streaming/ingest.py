@@ -13,14 +13,14 @@ from tessera.sources.rows import conform
 def ingest(engine: Engine, name: str, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Append each micro-batch of a stream to a table.
 
-    A batch that runs again after a failure brings no row twice where the table has a primary key, for rows whose key is
-    there already are skipped.
+    The table's manifest has the number of the last batch of each checkpoint, so a batch that runs again after a failure
+    brings no row twice.
     """
     table = engine.catalog.get(name)
 
     def append(batch: DataFrame, number: int) -> None:
         rows = conform(batch, table.schema)
-        engine.insert(name, rows.dropDuplicates([table.primary_key]) if table.primary_key else rows)
+        engine.insert(name, rows.dropDuplicates([table.primary_key]) if table.primary_key else rows, stream=(checkpoint, number))
 
     writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
