@@ -35,16 +35,19 @@ def _shingle_set(text: Column) -> Column:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of similar documents the one with the least doc_id stays; of rows with one doc_id, or none, and one set of shingles the least.
+    """Of each class of similar documents the one with the least doc_id stays (and of its texts that with the least hash); of equal rows one.
 
-    Rows without doc_id are compared with each other only; those that have no words either all stay.
+    Rows without doc_id are compared with each other only, by their sets of shingles; those that have no words either all stay.
     """
-    later = jaccard.jaccard_classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    rows = docs.join(later, "doc_id", "left_anti").select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    alone = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"\S")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("t"))
+    firsts = jaccard.jaccard_classes(docs, first=True).where("is_first and doc_id is not null").select(F.col("doc_id").alias("id"), "sub").distinct()
+    named = rows.where("id is not null").select("row", "id", F.xxhash64("t").alias("sub")).join(firsts, ["id", "sub"], "left_semi")
+    kept = named.groupBy("id", "sub").agg(F.min("row").alias("row")).select("row.*")
+    nameless = rows.where("id is null")
+    bare = ~F.col("t").rlike(r"\S")
     # Copies meet before the shuffle, so that no task holds a large group of them.
-    once = rows.where(~alone).groupBy("doc_id", F.sha2(F.array_join(_shingle_set(F.col("text")).cast("array<string>"), ","), 256)).agg(F.min("row").alias("row"))
-    return once.select("row.*").unionByName(rows.where(alone).select("row.*")).select(docs.columns)
+    once = nameless.where(~bare).groupBy(F.sha2(F.array_join(_shingle_set(F.col("t")).cast("array<string>"), ","), 256)).agg(F.min("row").alias("row"))
+    return kept.unionByName(once.select("row.*")).unionByName(nameless.where(bare).select("row.*")).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
