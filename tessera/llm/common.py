@@ -109,47 +109,69 @@ def hash_strings(values: pa.Array) -> np.ndarray:
     _, offsets, data = values.buffers()
     offsets = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1]
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-    start, size = offsets[:-1] - offsets[0], np.diff(offsets)
-    words = eight_bytes(raw)
+    return hash_runs(raw, offsets[:-1] - offsets[0], np.diff(offsets))
+
+
+def hash_runs(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    words = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place
     with np.errstate(over="ignore"):
         h = mix64(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
         live, k = np.flatnonzero((size > 0) & (size <= SHORT)), 0
         while len(live):
-            rest = size[live] - k
-            w = words[start[live] + k]
-            w = np.where(rest < 8, w & ((np.uint64(1) << (np.minimum(rest, 7) * 8).astype(np.uint64)) - np.uint64(1)), w)
+            rest = np.minimum(size[live] - k, 8).astype(np.uint64)
+            w = words[start[live] + k] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * rest))
             h[live] = mix64(h[live] * np.uint64(0xC2B2AE3D27D4EB4F) + w)
-            live, k = live[rest > 8], k + 8
+            k += 8
+            live = live[size[live] > k]
     for i in np.flatnonzero(size > SHORT).tolist():
         h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : start[i] + size[i]].tobytes())
     return h
 
 
+def _white() -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """White space as UTF-8: which single bytes are, and the sequences of more bytes by their first one."""
+    points = pa.array([chr(c) for c in range(1, 0x3100)], pa.string())
+    found = [c.encode() for c in points.filter(pc.utf8_is_space(points)).to_pylist()]
+    one = np.zeros(256, bool)
+    one[[c[0] for c in found if len(c) == 1]] = True
+    more = sorted(c for c in found if len(c) > 1)
+    return one, {first: np.array([list(c[1:]) for c in more if c[0] == first], np.uint8) for first in {c[0] for c in more}}
+
+
+_ONE, _MORE = _white()
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): the hash of each lower-case word of each text; words are runs without white space."""
-    words = pc.utf8_split_whitespace(pc.utf8_lower(pc.utf8_trim_whitespace(texts.cast(pa.large_string()))))
-    flat = words.flatten()
-    offsets = words.offsets.to_numpy().astype(np.int64)
+    low = pc.utf8_lower(texts.cast(pa.large_string()))
+    if isinstance(low, pa.ChunkedArray):
+        low = low.combine_chunks()
+    _, offsets, data = low.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[low.offset : low.offset + len(low) + 1] if len(low) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
-    if len(flat) == 0:
-        return np.zeros(0, np.uint64), offsets
-    coded = flat.dictionary_encode()
-    hashes = hash_strings(coded.dictionary)
-    out = hashes[coded.indices.to_numpy(zero_copy_only=False)]
-    empty = np.flatnonzero(hashes == hash_strings(pa.array([""]))[0])
-    if len(empty) and (keep := out != hashes[empty[0]]).sum() != len(out):  # a text without words splits into one empty string
-        kept = np.concatenate([[0], np.cumsum(keep)])
-        return out[keep], kept[offsets]
-    return out, offsets
-
-
-def word_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the distinct lower-case words of all the texts together."""
-    words = pc.utf8_split_whitespace(pc.utf8_lower(texts.cast(pa.large_string()))).flatten().dictionary_encode()
-    hashes = hash_strings(words.dictionary)
-    counts = np.bincount(words.indices.to_numpy(zero_copy_only=False), minlength=len(hashes))
-    real = hashes != hash_strings(pa.array([""]))[0]
-    return hashes[real], counts[real]
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    white = _ONE[raw]
+    for first, rests in _MORE.items():
+        at = np.flatnonzero(raw == first)
+        width = rests.shape[1]
+        at = at[at + width < len(raw)]
+        for rest in rests if len(at) else ():
+            hit = at[np.all([raw[at + 1 + k] == rest[k] for k in range(width)], axis=0)]
+            for k in range(width + 1):
+                white[hit + k] = True
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    word = ~white
+    before = word & edge[:-1]
+    before[1:] |= word[1:] & white[:-1]
+    after = word & edge[1:]
+    after[:-1] |= word[:-1] & white[1:]
+    start = np.flatnonzero(before)
+    return hash_runs(raw, start, np.flatnonzero(after) + 1 - start), np.searchsorted(start, offsets)
 
 
 def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -5,8 +5,9 @@ common word within the first n - ceil(t n) + 1 words of both, and their second r
 posted under each of its first words that is not frequent, and under each pair of its first frequent words: whichever word
 is the rarest common one, the lines meet, and no key gathers the lines of a frequent word. Lines that meet pass filters on
 their lengths, on the places of the shared key and on 128 bits that tell how many words differ at least; each only drops
-lines that can't be similar. A line names few earlier candidates and is done when one of them is verified; the lines whose
-candidates all fail, and that may have more, look at all of them.
+lines that can't be similar. A line names few earlier candidates for each key, of which those with the most keys are verified
+first; the lines for which they fail, and that may have more, look at all of them. Postings of keys that had candidates are
+kept for that.
 
 Postings travel packed, a row for a bucket of keys and a chunk of text. Equal lines are merged within a chunk, within a task
 as far as they recur, and where they meet. Rarity is kept in a table of fixed size (a byte for a cell of word hashes), so any
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, in_chunks, mix64, release, text_of, word_counts, word_hashes
+from tessera.llm.common import cut, in_chunks, mix64, release, text_of, word_hashes
 
 THRESHOLD = 0.8
 #: Cells of the rarity table, in blocks that are summed apart.
@@ -32,18 +33,20 @@ CELLS, BLOCK = 1 << 24, 1 << 18
 FREQUENT = 8 * 10
 #: Lines with more distinct words post frequent words one by one, apart from those of shorter lines.
 LONG = 500
-#: Earlier candidates that a line names for each key before the rest wait for the outcome.
-FIRST = 2
+#: Earlier candidates that a line names for each key, and those verified before the rest wait for the outcome.
+FIRST, BEST = 4, 2
+#: Lines to verify whose numbers are broadcast (about 50 bytes each); more are joined by shuffling.
+BROADCAST = 1 << 13
 #: Text and pairs of frequent words handled at a time, pairs of lines compared at a time, and sets that a task remembers as recurring.
 CHUNK, PAIRS, TILE, RECURRING = 8 << 20, 1 << 20, 1 << 20, 1 << 16
-#: Cells of the table of keys that are wanted in the second round.
-NEEDED = 1 << 22
 #: Buckets of keys for each shuffle partition; a task holds one bucket at a time.
 SPREAD = 4
 
 PACKED = {"key": "<u4", "same": "<u8", "b1": "<u8", "b2": "<u8", "line": "<u4", "size": "<u4", "place": "<u4", "doc": "<i8", "sub": "<i8"}
 POSTED = "bucket int, " + ", ".join(f"{c} binary" for c in PACKED)
-FOUND = "doc long, sub long, line int, doc0 long, sub0 long, line0 int, bucket int, key long, more boolean"
+NAMED = {"doc": "<i8", "sub": "<i8", "line": "<u4", "doc0": "<i8", "sub0": "<i8", "line0": "<u4", "at": "<u8", "more": "u1"}
+FOUND = "kind int, target int, bucket int, at_key long, " + ", ".join(f"{c} binary" for c in PACKED | NAMED)
+GONE, CANDIDATES, KEPT = range(3)
 ID, ID0 = ["doc", "sub", "line"], ["doc0", "sub0", "line0"]
 
 
@@ -89,6 +92,16 @@ def _unpack(column: list, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind)
 
 
+def _dealt(name: str, bucket: np.ndarray, columns: dict[str, np.ndarray], kinds: dict[str, str], **same: int) -> pa.RecordBatch:
+    """A row for each bucket, with its values of the columns packed."""
+    order = np.argsort(bucket.astype(np.int16) if len(bucket) and bucket.max() < 1 << 15 else bucket, kind="stable")
+    b = bucket[order]
+    starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
+    bounds = np.r_[starts, len(b)].astype(np.int64)
+    fixed = {c: pa.array(np.full(len(starts), v, np.int32)) for c, v in same.items()}
+    return pa.RecordBatch.from_pydict(fixed | {name: pa.array(b[starts].astype(np.int32))} | {c: _pack(columns[c][order].astype(kind), bounds) for c, kind in kinds.items()})
+
+
 def _rarity(docs: DataFrame, n: int) -> np.ndarray:
     """The rank of each cell (0 to 255): 8 log2 of how often words of the cell occur in all documents; 0 for at most once."""
 
@@ -96,10 +109,7 @@ def _rarity(docs: DataFrame, n: int) -> np.ndarray:
         total = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for part in in_chunks(batch, "t"):
-                words, counts = word_counts(part.column("t"))
-                total += np.bincount(_cell(words), counts, CELLS).astype(np.uint32) if len(words) > CELLS // 16 else 0
-                if len(words) <= CELLS // 16:
-                    np.add.at(total, _cell(words), counts.astype(np.uint32))
+                np.add.at(total, _cell(word_hashes(part.column("t"))[0]), np.uint32(1))
         cells = np.flatnonzero(total)
         bounds = np.searchsorted(cells, np.arange(0, CELLS + 1, BLOCK))
         yield pa.RecordBatch.from_pydict({"block": pa.array(np.arange(len(bounds) - 1, dtype=np.int32)), "cells": _pack((cells % BLOCK).astype("<u4"), bounds), "n": _pack(total[cells].astype("<u4"), bounds)})
@@ -178,15 +188,8 @@ def _less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[0] < b[0]) | ((a[0] == b[0]) & ((a[1] < b[1]) | ((a[1] == b[1]) & (a[2] < b[2]))))
 
 
-def _postings(docs: DataFrame, rarity, buckets: int, threshold: float, only=None) -> DataFrame:
-    """Packed postings of all lines by bucket of their keys; bucket -1 has the lines that equal an earlier one of their task. only: a bitmap of the wanted keys."""
-
-    def rows(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-        order = np.argsort(bucket.astype(np.int16) if buckets < 1 << 15 else bucket, kind="stable")
-        b = bucket[order]
-        starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
-        bounds = np.r_[starts, len(b)].astype(np.int64)
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(b[starts].astype(np.int32))} | {c: _pack(columns[c][order].astype(kind), bounds) for c, kind in PACKED.items()})
+def _postings(docs: DataFrame, rarity, buckets: int, threshold: float) -> DataFrame:
+    """Packed postings of all lines by bucket of their keys; bucket -1 has the lines that equal an earlier one of their task."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, memory = rarity.value, _Recurring()
@@ -214,21 +217,26 @@ def _postings(docs: DataFrame, rarity, buckets: int, threshold: float, only=None
                 mark, high = np.uint64(1) << (words & np.uint64(63)), words & np.uint64(64) > 0
                 bits = {"b1": np.bitwise_xor.reduceat(np.where(high, np.uint64(0), mark), bounds[:-1]), "b2": np.bitwise_xor.reduceat(np.where(high, mark, np.uint64(0)), bounds[:-1])}
                 at = lambda r, key, place: {"key": key, "same": same[r], "line": line[r], "size": sizes[r], "place": place, "doc": own[0][r], "sub": own[1][r]} | {c: v[r] for c, v in bits.items()}
-                if only is None and (gone := np.flatnonzero(later)).size:
+                if (gone := np.flatnonzero(later)).size:
                     none = np.zeros(len(gone), np.int64)
-                    yield rows(none - 1, at(gone, none, none))
+                    yield _dealt("bucket", none - 1, at(gone, none, none), PACKED)
                 for key, r, place in _keys(words, bounds, rank[_cell(words)], same, ~later & ~extra, threshold):
                     bucket = (key % np.uint64(buckets)).astype(np.int64)
-                    if only is not None:
-                        cell = (key >> np.uint64(32)).astype(np.int64) % NEEDED
-                        want = np.flatnonzero((only.value[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1))
-                        key, r, place, bucket = key[want], r[want], place[want], bucket[want]
                     if len(key):
-                        yield rows(bucket, at(r, key >> np.uint64(32), place))
+                        yield _dealt("bucket", bucket, at(r, key >> np.uint64(32), place), PACKED)
 
     return docs.mapInArrow(emit, POSTED)
 
 
+def _repeats(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row equals the one before."""
+    out = np.ones(len(columns[0]), bool)
+    out[:1] = False
+    for c in columns:
+        out[1:] &= c[1:] == c[:-1]
+    return out
+
+
 class _Bucket:
     """The postings of one bucket in order of (key, size); equal sets of a key stand as their earliest line."""
 
@@ -239,22 +247,22 @@ class _Bucket:
         if marks.any():
             rows = {c: v[~marks] for c, v in rows.items()}
         both = (rows["key"].astype(np.uint64) << np.uint64(32)) | rows["size"]
-        order = np.lexsort((rows["line"], rows["sub"], rows["doc"], rows["same"], both))
-        both, same = both[order], rows["same"][order]
-        twin = np.zeros(len(order), bool)
-        twin[1:] = (both[1:] == both[:-1]) & (same[1:] == same[:-1])
+        order = np.lexsort((rows["same"], both))
+        twin = _repeats(both[order], rows["same"][order])
+        some = np.flatnonzero(twin | np.r_[twin[1:], False])  # lines with equals under their key, the earliest first
+        if len(some):
+            own = order[some]
+            order[some] = own[np.lexsort((rows["line"][own], rows["sub"][own], rows["doc"][own], rows["same"][own], both[own]))]
         head = order[np.maximum.accumulate(np.where(twin, 0, np.arange(len(order))))] if len(order) else order
         differs = np.zeros(len(order), bool)
-        for c in ("doc", "sub", "line"):
+        for c in ID:
             differs |= rows[c][order] != rows[c][head]
         gone = order[differs & (rows["place"][order] == 0)]
-        self.gone = {c: rows[c][gone] for c in ("doc", "sub", "line")}
+        self.gone = {c: rows[c][gone] for c in ID}
         kept = order[~twin]
-        self.rows, self.both = {c: v[kept] for c, v in rows.items()}, both[~twin]
+        self.rows, self.both = {c: v[kept] for c, v in rows.items()}, both[kept]
         self.size, self.place = self.rows["size"].astype(np.int64), self.rows["place"].astype(np.int64)
         self.threshold = threshold
-        self.since = np.empty(len(kept), np.int64)
-        self.since[np.lexsort((self.rows["line"], self.rows["sub"], self.rows["doc"]))] = np.arange(len(kept))
         key = self.both & np.uint64(0xFFFFFFFF00000000)
         least, most = _need(threshold, self.size), np.floor(self.size / threshold + 1e-9).astype(np.int64)
         self.lo = np.searchsorted(self.both, key | least.astype(np.uint64))
@@ -263,7 +271,11 @@ class _Bucket:
     def passes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether y is earlier than x and no filter tells that they can't be similar."""
         t, r = self.threshold, self.rows
-        out = np.flatnonzero(self.since[y] < self.since[x])
+        out = np.flatnonzero(r["doc"][y] <= r["doc"][x])
+        even = np.flatnonzero(r["doc"][y[out]] == r["doc"][x[out]])
+        if len(even):
+            a, b = y[out[even]], x[out[even]]
+            out = np.delete(out, even[~((r["sub"][a] < r["sub"][b]) | ((r["sub"][a] == r["sub"][b]) & (r["line"][a] < r["line"][b])))])
         x, y = x[out], y[out]
         both = self.size[x] + self.size[y]
         gap = np.bitwise_count(r["b1"][x] ^ r["b1"][y]).astype(np.int64) + np.bitwise_count(r["b2"][x] ^ r["b2"][y])
@@ -316,29 +328,42 @@ class _Bucket:
                 yield np.full(len(y), x), y, np.zeros(len(y), bool)
 
 
-def _candidates(threshold: float, every: bool):
-    """Reads packed postings in order of buckets: pairs of a line and an earlier one that pass the filters, and lines known to go (no earlier line named)."""
+def _home(doc: np.ndarray, sub: np.ndarray, n: int) -> np.ndarray:
+    """The partition in which all that is found about a line's document meets."""
+    return (mix64(doc.astype(np.int64).view(np.uint64) ^ mix64(sub.astype(np.int64).view(np.uint64))) % np.uint64(n)).astype(np.int64)
+
+
+def _candidates(threshold: float, every: bool, n: int):
+    """Reads packed postings in order of buckets, and deals out to n homes the lines known to go and the pairs that pass the filters; postings of keys with candidates are kept."""
+
+    def full(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kinds = dict.fromkeys(("kind", "target", "bucket"), pa.int32()) | {"at_key": pa.int64()} | dict.fromkeys(PACKED | NAMED, pa.binary())
+        null = {c: pa.nulls(batch.num_rows, kind) for c, kind in kinds.items()}
+        return pa.RecordBatch.from_pydict(null | {c: batch.column(c) for c in batch.schema.names})
 
     def gone(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        n = len(rows["doc"])
-        none = lambda kind: pa.nulls(n, kind)
-        return pa.RecordBatch.from_pydict({"doc": pa.array(rows["doc"]), "sub": pa.array(rows["sub"]), "line": pa.array(rows["line"].astype(np.int32)), "doc0": none(pa.int64()), "sub0": none(pa.int64()), "line0": none(pa.int32()), "bucket": none(pa.int32()), "key": none(pa.int64()), "more": pa.array(np.zeros(n, bool))})
+        return full(_dealt("target", _home(rows["doc"], rows["sub"], n), rows, {c: NAMED[c] for c in ID}, kind=GONE))
 
     def compare(bucket: int, columns: dict[str, list]) -> Iterator[pa.RecordBatch]:
         if bucket < 0:
-            for at in range(len(columns["doc"])):
-                yield gone({c: np.frombuffer(columns[c][at], PACKED[c]) for c in ("doc", "sub", "line")})
+            yield gone({c: _unpack(columns[c], PACKED[c]) for c in ID})
             return
         met = _Bucket(columns, threshold)
         if not every and len(met.gone["doc"]):
             yield gone(met.gone)
-        r = met.rows
+        r, held = met.rows, np.zeros(len(met.size), bool)
         for i, j, more in met.every() if every else [met.first(FIRST)]:
             if len(i):
-                yield pa.RecordBatch.from_pydict({
-                    "doc": pa.array(r["doc"][i]), "sub": pa.array(r["sub"][i]), "line": pa.array(r["line"][i].astype(np.int32)), "doc0": pa.array(r["doc"][j]), "sub0": pa.array(r["sub"][j]), "line0": pa.array(r["line"][j].astype(np.int32)),
-                    "bucket": pa.array(np.full(len(i), bucket, np.int32)), "key": pa.array(r["key"][i].astype(np.int64)), "more": pa.array(more),
-                })
+                names = {c: r[c][i] for c in ID} | {c: r[c[:-1]][j] for c in ID0} | {"at": (np.uint64(bucket) << np.uint64(32)) | r["key"][i].astype(np.uint64), "more": more}
+                yield full(_dealt("target", _home(r["doc"][i], r["sub"][i], n), names, NAMED, kind=CANDIDATES))
+                held[i[more]] = True
+        if not every and held.any():  # a row for each key of which a line may have more candidates
+            keep = np.flatnonzero(np.isin(r["key"], np.unique(r["key"][held])))
+            key = r["key"][keep]
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            bounds = np.r_[starts, len(key)].astype(np.int64)
+            fixed = {c: pa.array(np.full(len(starts), v, np.int32)) for c, v in (("kind", KEPT), ("bucket", bucket))}
+            yield full(pa.RecordBatch.from_pydict(fixed | {"at_key": pa.array((np.int64(bucket) << 32) | key[starts].astype(np.int64))} | {c: _pack(r[c][keep].astype(kind), bounds) for c, kind in PACKED.items()}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, {c: [] for c in PACKED}
@@ -358,31 +383,71 @@ def _candidates(threshold: float, every: bool):
     return run
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A bitmap of NEEDED cells, set for those of the column `key`."""
-    cell = F.pmod("key", F.lit(NEEDED))
-    words = keys.select(F.shiftright(cell, 6).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (cell % 64).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most NEEDED / 64 rows
-    table = np.zeros(NEEDED // 64, np.int64)
-    table[words["at"].to_numpy()] = words["bits"].to_numpy()
-    return table.view(np.uint64)
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From packed rows of one home: lines known to go (no earlier line named), and each other line's pairs, numbered from those under the most keys; `keys`, with its first pair, are those that may have more."""
+    held = {(k, c): [] for k in (GONE, CANDIDATES) for c in NAMED}
+    for batch in batches:
+        kind = batch.column("kind").to_numpy(zero_copy_only=False)
+        for k in (GONE, CANDIDATES):
+            rows = batch.take(pa.array(np.flatnonzero(kind == k)))
+            for c in ID if k == GONE else NAMED:
+                held[k, c].extend(rows.column(c).to_pylist())
+    gone = {c: _unpack(held[GONE, c], NAMED[c]) for c in ID}
+    r = {c: _unpack(held[CANDIDATES, c], NAMED[c]) for c in NAMED}
+    line, names = _number(*(np.concatenate([gone[c], r[c]]) for c in ID))
+    known = np.zeros(len(names), bool)
+    known[line[: len(gone["doc"])]] = True
+    own = line[len(gone["doc"]) :]
+
+    def out(at: np.ndarray, ends: dict, nth: np.ndarray, keys: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"doc": pa.array(names[at, 0]), "sub": pa.array(names[at, 1]), "line": pa.array(names[at, 2].astype(np.int32))} | ends | {"nth": pa.array(nth.astype(np.int32)), "keys": keys})
+
+    at = np.flatnonzero(known)
+    yield out(at, {c: pa.nulls(len(at), pa.int32() if c == "line0" else pa.int64()) for c in ID0}, np.zeros(len(at)), pa.nulls(len(at), pa.list_(pa.int64())))
+    rest = np.flatnonzero(~known[own])
+    if not len(rest):
+        return
+    own, r = own[rest], {c: v[rest] for c, v in r.items()}
+    pair, ends = _number(own, *(r[c] for c in ID0))
+    order = np.lexsort((-np.bincount(pair, minlength=len(ends)), ends[:, 0]))
+    ends = ends[order]
+    head = np.r_[True, ends[1:, 0] != ends[:-1, 0]]
+    nth = np.arange(len(ends)) - np.maximum.accumulate(np.where(head, np.arange(len(ends)), 0))
+    more = r["more"] > 0
+    places, keys = _number(own[more], r["at"][more].view(np.int64))[1].reshape(-1, 2).T
+    first, last = np.searchsorted(places, ends[:, 0]), np.searchsorted(places, ends[:, 0], side="right")
+    lists = [keys[a:b] if h and b > a else None for h, a, b in zip(head.tolist(), first.tolist(), last.tolist(), strict=True)]
+    yield out(ends[:, 0], {"doc0": pa.array(ends[:, 1]), "sub0": pa.array(ends[:, 2]), "line0": pa.array(ends[:, 3].astype(np.int32))}, nth, pa.array(lists, pa.list_(pa.int64())))
+
+
+def _number(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each row, the distinct rows in order)."""
+    rows = np.stack([c.astype(np.int64) for c in columns], axis=1)
+    order = np.lexsort(rows.T[::-1])
+    sorted_ = rows[order]
+    new = np.r_[True, (sorted_[1:] != sorted_[:-1]).any(axis=1)] if len(order) else np.zeros(0, bool)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, sorted_[new]
 
 
 def _asked(lines: DataFrame) -> DataFrame:
-    """Open lines (ID, bucket, key) as postings of size 0."""
+    """Open lines (ID, at) as postings of size 0."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            values = {c: batch.column(c).to_numpy(zero_copy_only=False) if c in ("key", "doc", "sub", "line") else np.zeros(n, np.int64) for c in PACKED}
-            yield pa.RecordBatch.from_pydict({"bucket": batch.column("bucket")} | {c: _pack(v.astype(PACKED[c]), np.arange(n + 1)) for c, v in values.items()})
+            n, at = batch.num_rows, batch.column("at").to_numpy(zero_copy_only=False)
+            values = {c: batch.column(c).to_numpy(zero_copy_only=False) if c in ID else np.zeros(n, np.int64) for c in PACKED} | {"key": at & 0xFFFFFFFF}
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array((at >> 32).astype(np.int32))} | {c: _pack(v.astype(PACKED[c]), np.arange(n + 1)) for c, v in values.items()})
 
-    return lines.select(*ID, "bucket", "key").mapInArrow(emit, POSTED)
+    return lines.mapInArrow(emit, POSTED)
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The lines (ID) of pairs whose word sets are similar."""
-    ends = pairs.select(*ID).unionByName(pairs.select(*[F.col(b).alias(a) for a, b in zip(ID, ID0, strict=True)])).groupBy("doc", "sub").agg(F.collect_set("line").alias("wanted"))
-    texts = docs.join(ends.withColumnsRenamed({"doc": "id"}), ["id", "sub"])
+def _sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(ID, words) of lines (ID): their word hashes. Few lines go out to the texts, for many both are shuffled."""
+    ends = cut(lines.groupBy(F.col("doc").alias("id"), "sub").agg(F.collect_set("line").alias("wanted")))
+    few = ends.agg(F.sum(F.size("wanted")).alias("n")).first().n or 0
+    texts = docs.join(F.broadcast(ends) if few <= BROADCAST else ends.hint("shuffle_hash"), ["id", "sub"])
     # Only the lines that are wanted go on, numbered as they come.
     some = F.transform(F.array(F.split("t", "\n")), lambda all_: F.transform("wanted", lambda i: F.get(all_, i)))[0]
     texts = texts.select("id", "sub", "wanted", F.array_join(some, "\n").alias("t"))
@@ -396,9 +461,17 @@ def _verify(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
                 line = wanted.values.to_numpy()[base[:-1][text] + nth]
                 yield pa.RecordBatch.from_pydict({"doc": part.column("id").take(pa.array(text)), "sub": part.column("sub").take(pa.array(text)), "line": pa.array(line), "words": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(words.view(np.int64)))})
 
-    sets = texts.mapInArrow(emit, "doc long, sub long, line int, words array<long>").groupBy(*ID).agg(F.first("words").alias("words"))
+    return cut(texts.mapInArrow(emit, "doc long, sub long, line int, words array<long>").groupBy(*ID).agg(F.first("words").alias("words")))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(*ID).unionByName(pairs.select(*[F.col(b).alias(a) for a, b in zip(ID, ID0, strict=True)]))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The lines (ID) of pairs whose word sets are similar."""
     other = sets.select(*[F.col(a).alias(b) for a, b in zip(ID, ID0, strict=True)], F.col("words").alias("words0"))
-    both = pairs.join(sets, ID).join(other, ID0).withColumn("common", F.size(F.array_intersect("words", "words0")))
+    both = pairs.select(*ID, *ID0).join(sets, ID).join(other, ID0).withColumn("common", F.size(F.array_intersect("words", "words0")))
     return both.where(F.col("common") >= threshold * (F.size("words") + F.size("words0") - F.col("common")) - 1e-9).select(*ID).distinct()
 
 
@@ -413,20 +486,29 @@ def later_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshol
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     rarity = spark.sparkContext.broadcast(_rarity(docs, n))
     dealt = lambda p: p.repartition(n, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.spark_partition_id())).sortWithinPartitions("bucket")
-    found = cut(dealt(_postings(docs, rarity, n * SPREAD, threshold)).mapInArrow(_candidates(threshold, False), FOUND))
+    home = lambda f: f.where(F.col("kind") != KEPT).select("kind", "target", *NAMED).repartition(n, "target").mapInArrow(_choose, "doc long, sub long, line int, doc0 long, sub0 long, line0 int, nth int, keys array<long>")
+    found = cut(dealt(_postings(docs, rarity, n * SPREAD, threshold)).mapInArrow(_candidates(threshold, False, n), FOUND))
     release(spark)
-    equal = found.where("doc0 is null").select(*ID).distinct()
-    pairs = found.where("doc0 is not null").select(*ID, *ID0).distinct().join(equal, ID, "left_anti")
-    gone = cut(equal.unionByName(_verify(docs, pairs, threshold)))
-    # Lines whose candidates failed and that may have further ones: look at all of those.
-    open_lines = cut(found.where("more").select(*ID, "bucket", "key").distinct().join(gone, ID, "left_anti"))
-    if open_lines.isEmpty():
-        return gone
+    chosen = cut(home(found))
+    pairs = chosen.where("doc0 is not null")
+    sets = _sets(docs, _ends(pairs))
+    gone = cut(chosen.where("doc0 is null").select(*ID).unionByName(_similar(pairs.where(F.col("nth") < BEST), sets, threshold)))
     release(spark)
-    only = spark.sparkContext.broadcast(_bitmap(open_lines.select("key")))
-    posted = _postings(docs, rarity, n * SPREAD, threshold, only).unionByName(_asked(open_lines))
-    rest = cut(dealt(posted).mapInArrow(_candidates(threshold, True), FOUND).select(*ID, *ID0).distinct())
-    return cut(gone.unionByName(_verify(docs, rest, threshold)).distinct())
+    # Lines whose best candidates failed: first the others that they named, then all of their keys that may have more.
+    others = pairs.where(F.col("nth") >= BEST).join(gone, ID, "left_anti")
+    gone = cut(gone.unionByName(_similar(others, sets, threshold)))
+    open_lines = cut(pairs.where("keys is not null").join(gone, ID, "left_anti").select(*ID, F.explode("keys").alias("at")))
+    keys = open_lines.select(F.col("at").alias("at_key")).distinct()
+    count = keys.count()
+    if not count:
+        return gone
+    kept = found.where(F.col("kind") == KEPT).select("at_key", "bucket", *PACKED).join(F.broadcast(keys) if count <= BROADCAST else keys, "at_key", "left_semi").drop("at_key")
+    rest = dealt(kept.unionByName(_asked(open_lines))).mapInArrow(_candidates(threshold, True, n), FOUND)
+    rest = cut(home(rest).select(*ID, *ID0).join(chosen, [*ID, *ID0], "left_anti"))
+    fresh = cut(_ends(rest).distinct().join(sets, ID, "left_anti"))
+    if not fresh.isEmpty():
+        sets = sets.unionByName(_sets(docs, fresh))
+    return cut(gone.unionByName(_similar(rest, sets, threshold)).distinct())
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -441,7 +523,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshol
     lost = later_lines(df, key, text, threshold).groupBy("doc", "sub").agg(F.collect_list("line").alias("lost"))
     rest = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(key).cast("long").alias("doc"), F.xxhash64(text_of(text)).alias("sub"))
-    joined = rows.join(lost, ["doc", "sub"], "left")
+    joined = rows.join(lost.hint("shuffle_hash"), ["doc", "sub"], "left")
     t = F.col("row").getField(text)
     kept = F.transform(F.array(F.split(t, "\n")), lambda all_: F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), "lost"), lambda i: F.get(all_, i)))[0]
     stripped = F.when(F.col("lost").isNull(), t).otherwise(F.array_join(kept, "\n"))

@@ -282,3 +282,61 @@ def test_image_files():
     pixels = np.arange(12, dtype=np.uint8).reshape(3, 4)
     assert (media.decode_image(media.encode_image(pixels)) == pixels).all()
     assert media.decode_image(b"P5\n4 4\n255\nxx") is None and media.decode_image(None) is None
+
+
+def turned(pixels, degrees):
+    a, (h, w) = np.deg2rad(degrees), pixels.shape
+    y, x = np.mgrid[0:h, 0:w] - np.array([(h - 1) / 2, (w - 1) / 2])[:, None, None]
+    sx, sy = np.cos(a) * x - np.sin(a) * y + (w - 1) / 2, np.sin(a) * x + np.cos(a) * y + (h - 1) / 2
+    return pixels[np.clip(np.rint(sy), 0, h - 1).astype(int), np.clip(np.rint(sx), 0, w - 1).astype(int)]
+
+
+EDITS = {
+    **{f"scaled {f}": lambda p, f=f: np.rint(media.resize(media._box(p.astype(float), 1) if f < 1 else p.astype(float), int(96 * f), int(96 * f))).astype(np.uint8) for f in (0.5, 0.6, 0.75, 1.33, 1.5)},
+    "middle half": lambda p: p[24:72, 24:72], "quarter turn": np.rot90, "turned by 30": lambda p: turned(p, 30), "blurred": lambda p: np.rint(media._box(p.astype(float), 1)).astype(np.uint8),
+}
+
+
+@pytest.mark.parametrize("name", EDITS)
+def test_recall_of_edited_pictures(name):
+    """At least nine of ten copies are found, and nothing else, in tables without Spark."""
+    r = np.random.default_rng(3)
+    pictures = [media.render(r.normal(0, 0.13, 64)) for _ in range(60)]
+    held = [media.describe(p) for p in pictures]
+    tables = media._Tables([media.describe(np.ascontiguousarray(EDITS[name](p))).tobytes() for p in pictures[:30]])
+    corners, image = np.concatenate(held), np.repeat(np.arange(60), [len(h) for h in held])
+    q, who, _ = tables.copies(corners, image, *tables.matches(corners))
+    assert sum(q == who) >= 27 and sum(q != who) <= 1
+
+
+def test_matches_against_all_pairs():
+    """Every pair of descriptors within seven bits is found, and none beyond NEAR; frequent values included."""
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 63, (40, 2)).astype(np.uint64)
+    corners = np.zeros(4000, media.CORNER)
+    for k, c in enumerate(("d0", "d1")):
+        flips = np.zeros(4000, np.uint64)
+        for _ in range(4):
+            flips ^= np.uint64(1) << r.integers(0, 64, 4000).astype(np.uint64)
+        corners[c] = base[r.integers(0, 40, 4000) if k == 0 else 0, k] ^ flips
+    a, b = corners[:1500], corners[1500:]
+    gap = sum(np.bitwise_count(a[c][:, None] ^ b[c][None]).astype(int) for c in ("d0", "d1"))
+    i, j = media._Tables([a.tobytes()]).matches(b)
+    got = set(zip(i.tolist(), j.tolist()))
+    assert len(got) == len(i) and set(zip(*(x.tolist() for x in np.nonzero(gap <= 7)))) <= got <= set(zip(*(x.tolist() for x in np.nonzero(gap <= media.NEAR))))
+
+
+def test_lines_of_frequent_words(spark, monkeypatch):
+    """Frequent words are posted in pairs, those of long lines one by one; both find every similar line."""
+    monkeypatch.setattr(lines, "FREQUENT", 9)
+    monkeypatch.setattr(lines, "LONG", 12)
+    texts = corpus(4)
+    assert {(r.doc, r.line) for r in lines.later_lines(table(spark, texts)).collect()} == later(texts)
+
+
+def test_lines_of_repeated_keys(spark):
+    """A key with several texts: each loses its own lines; rows that are wholly equal are one document."""
+    rows = [(1, "alpha beta gamma"), (2, "alpha beta gamma\nkeep one two"), (2, "unique words here now\nother line entirely"), (3, "x y z"), (3, "x y z"), (4, " ".join(f"w{i % 3000}" for i in range(40000)) + "\nx y z")]
+    got = sorted((r.doc_id, r.text, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [(1, rows[0][1], 0), (2, "keep one two", 1), (2, rows[2][1], 0), (3, "x y z", 0), (3, "x y z", 0), (4, rows[5][1].split("\n")[0], 1)]
+    assert got == sorted(want)
