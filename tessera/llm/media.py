@@ -30,7 +30,9 @@ QUERIES, IMAGES, TILE = 4096, 2048, 1 << 20
 #: Images that a task of `features` remembers, to describe equal ones once.
 REMEMBERED = 1 << 16
 #: Images that are compared with a block of queries at a time.
-TOGETHER = 64
+TOGETHER = 256
+#: Pairs of corners with one value from which they are compared as a block.
+OFTEN = 2048
 #: A packed corner: x and y in eighths of a pixel, the number of the scale, the angle in 1024ths of a turn, the bits.
 CORNER = np.dtype([("x", "<u2"), ("y", "<u2"), ("scale", "u1"), ("angle", "<u2"), ("d0", "<u8"), ("d1", "<u8")])
 
@@ -158,12 +160,11 @@ class _Tables:
         self.corners = np.frombuffer(b"".join(corners), CORNER)
         counts = np.array([len(c) // CORNER.itemsize for c in corners])
         self.owner = np.repeat(np.arange(len(counts)), counts)
-        self.d = np.ascontiguousarray(self.corners["d0"]), np.ascontiguousarray(self.corners["d1"])
         self.tables = []
         for k in range(8):
             value = self.part(self.corners, k)
             order = np.argsort(value, kind="stable")
-            self.tables.append((np.searchsorted(value[order], np.arange((1 << 16) + 1)), order))
+            self.tables.append((np.searchsorted(value[order], np.arange((1 << 16) + 1)), order, self.corners["d0"][order], self.corners["d1"][order]))
 
     @staticmethod
     def part(corners: np.ndarray, k: int) -> np.ndarray:
@@ -172,26 +173,36 @@ class _Tables:
     def matches(self, corners: np.ndarray, near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (corner of a query, one of `corners`) that meet in a table and differ in at most `near` bits; each once."""
         left, right = [], []
-        d = np.ascontiguousarray(corners["d0"]), np.ascontiguousarray(corners["d1"])
-        for k, (starts, order) in enumerate(self.tables):
+        d0, d1 = np.ascontiguousarray(corners["d0"]), np.ascontiguousarray(corners["d1"])
+
+        def take(k: int, i: np.ndarray, j: np.ndarray) -> None:
+            """Those of the pairs (place in table k, corner) that are close and haven't met in an earlier table."""
+            _, order, e0, e1 = self.tables[k]
+            x, z = e0[i] ^ d0[j], e1[i] ^ d1[j]
+            ok = np.bitwise_count(x) + np.bitwise_count(z) <= near
+            for e in range(k):
+                ok &= ((x if e < 4 else z) >> np.uint64(16 * (e % 4))) & np.uint64(0xFFFF) != 0
+            left.append(order[i[ok]])
+            right.append(j[ok])
+
+        for k, (starts, order, e0, e1) in enumerate(self.tables):
             value = self.part(corners, k)
-            lo, n = starts[value], starts[value + 1] - starts[value]
-            cells = np.cumsum(n) // TILE
-            for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(cells)) + 1):
-                m = n[part]
-                j = np.repeat(part, m)
-                i = order[np.repeat(lo[part] - (np.cumsum(m) - m), m) + np.arange(len(j))]
-                own, other = k // 4, 1 - k // 4  # the half that has the table's bits tells most pairs apart
-                x = self.d[own][i] ^ d[own][j]
-                ok = np.flatnonzero(np.bitwise_count(x) <= near)
-                i, j, x = i[ok], j[ok], x[ok]
-                z = self.d[other][i] ^ d[other][j]
-                ok = np.bitwise_count(x) + np.bitwise_count(z) <= near
-                # A pair that has met in an earlier table has been taken there.
-                for e in range(k):
-                    ok &= ((x if e // 4 == own else z) >> np.uint64(16 * (e % 4))) & np.uint64(0xFFFF) != 0
-                left.append(i[ok])
-                right.append(j[ok])
+            sorted_ = np.argsort(value, kind="stable")
+            values, first, own = np.unique(value[sorted_], return_index=True, return_counts=True)
+            other = starts[values + 1] - starts[values]
+            # Frequent values: all their corners against each other, a block at a time.
+            for v in np.flatnonzero(own * other >= OFTEN).tolist():
+                lo, hi = starts[values[v]], starts[values[v] + 1]
+                step = max(1, TILE // int(hi - lo))
+                for at in range(first[v], first[v] + own[v], step):
+                    js = sorted_[at : min(at + step, first[v] + own[v])]
+                    gap = np.bitwise_count(d0[js][:, None] ^ e0[lo:hi]) + np.bitwise_count(d1[js][:, None] ^ e1[lo:hi])
+                    a, b = np.nonzero(gap <= near)
+                    take(k, lo + b, js[a])
+            rest = sorted_[np.repeat(own * other < OFTEN, own)]
+            n = starts[value[rest] + 1] - starts[value[rest]]
+            j = np.repeat(rest, n)
+            take(k, np.repeat(starts[value[rest]] - (np.cumsum(n) - n), n) + np.arange(len(j)), j)
         return np.concatenate(left), np.concatenate(right)
 
     def copies(self, corners: np.ndarray, image: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,11 +218,14 @@ class _Tables:
         turn = (c["angle"].astype(float) - q["angle"]) * (2 * np.pi / 1024)
         step = np.rint(turn * 12 / (2 * np.pi)).astype(np.int64) % 12
         # Most pairs have too few votes for any scale and turn, wherever the corners are.
-        levels = int(np.abs(level).max()) * 2 + 1 if len(level) else 1
-        vote = (pair * levels + level + levels // 2) * 12 + step
-        votes = np.bincount(vote, minlength=len(pairs) * levels * 12).reshape(-1, 12)
-        near = (votes + np.maximum(np.roll(votes, 1, axis=1), np.roll(votes, -1, axis=1))).ravel()
-        keep = np.flatnonzero(near[vote] >= AGREE)
+        vote = ((pair << 8) + level + 128) * 12 + step
+        votes, own, n = np.unique(vote, return_inverse=True, return_counts=True)
+        beside = np.zeros(len(votes), np.int64)
+        for turned in (1, 11):  # the neighbouring turns
+            at = votes - votes % 12 + (votes + turned) % 12
+            place = np.minimum(np.searchsorted(votes, at), max(0, len(votes) - 1))
+            beside = np.maximum(beside, np.where(votes[place] == at, n[place], 0))
+        keep = np.flatnonzero((n + beside)[own] >= AGREE)
         if not len(keep):
             return none, none, none
         i, q, c, pair, level, turn, step = (v[keep] for v in (i, q, c, pair, level, turn, step))

@@ -54,9 +54,14 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pictures of all vectors; the queries are edited copies of every one whose id is divisible by 20."""
+    """The pictures of all vectors; the queries are edited copies of every one whose id is divisible by 20.
+
+    A row for each query that has any: query_id, n_classes, n_images, and copies, a list of (class_id, n_images, n_inliers).
+    """
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return media.find_copies(media.pictures(vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", edited=True), media.pictures(vectors, "vec_id", "embedding"))
+    found = media.find_copies(media.pictures(vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", edited=True), media.pictures(vectors, "vec_id", "embedding"))
+    copies = F.array_sort(F.collect_list(F.struct("class_id", "n_images", "n_inliers")))
+    return found.groupBy("query_id").agg(F.count("*").alias("n_classes"), F.sum("n_images").alias("n_images"), copies.alias("copies"))
 
 
 def op8_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
