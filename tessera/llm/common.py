@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -15,6 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Of the C library where it has it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Text handled at a time inside a Python task, so that memory follows this and not the partition.
 CHUNK_BYTES = 4 << 20
 
@@ -60,6 +63,13 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def give_back() -> None:
+    """Return freed memory to the system, which allocators keep otherwise: workers live on beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def in_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batch with about `limit` bytes of the column each; a longer value is a slice of its own."""
     if batch.num_rows == 0:
@@ -70,7 +80,7 @@ def in_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> I
     for a, b in zip(starts[:-1], starts[1:], strict=True):
         if b > a:
             yield batch.slice(int(a), int(b - a))
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, in_chunks, mix64, release, text_of, word_hashes
+from tessera.llm.common import cut, give_back, in_chunks, mix64, release, text_of, word_hashes
 
 THRESHOLD = 0.8
 #: Cells of the rarity table, in blocks that are summed apart.
@@ -379,6 +379,8 @@ def _candidates(threshold: float, every: bool, n: int):
                     held[c].extend(batch.column(c).slice(a, b - a).to_pylist())
         if bucket is not None:
             yield from compare(bucket, held)
+        held.clear()
+        give_back()
 
     return run
 
