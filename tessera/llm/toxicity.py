@@ -4,8 +4,10 @@ Every word of every example is a term. A term weighs its inverse document freque
 its relevance: a floor plus the square of the standardised log-odds by which it leans to label 1 among the examples, so
 that words which tell nothing hardly turn a vector. The index is inverted: each term has its postings, cut at the borders
 of blocks of examples, with the largest weight in each block. Bounds of blocks are summed from those maxima first; only
-blocks whose bound reaches the k-th best similarity have their postings read, so the search stays exact. Votes weighted by
-similarity give a raw score, and a logistic curve fitted on the examples' own leave-one-out scores calibrates it.
+blocks whose bound reaches the k-th best similarity have their postings read, so the search stays exact. Terms that many
+examples have bound nothing: their postings are whole rows, multiplied at once for a batch of texts, and the block maxima
+of that product are part of the bounds. Votes weighted by similarity give a raw score, and a logistic curve fitted on the
+examples' own leave-one-out scores calibrates it.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,10 @@ from tessera.llm.common import in_chunks, text_of
 from tessera.llm.quality import training_rows
 
 THRESHOLD = 0.3
-#: Labelled examples the index is fitted on, nearest examples, examples a block.
-SAMPLE, K, BLOCK = 4000, 15, 64
+#: Labelled examples the index is fitted on, nearest examples, examples a block, texts searched at once.
+SAMPLE, K, BLOCK, BATCH = 4000, 15, 64, 128
+#: A term that one in so many examples has is held as a row of all examples.
+COMMON = 16
 #: The relevance of a term that tells nothing, and the weight with which the prior votes.
 FLOOR, PULL = 0.02, 0.05
 
@@ -70,7 +73,9 @@ class Index:
     weight: np.ndarray  # of each term
     ids: np.ndarray  # of the examples, block by block
     y: np.ndarray
-    runs: np.ndarray  # where each term's runs begin, and the end; a run is a term's postings in one block
+    common: np.ndarray  # the row of each term that many examples have, -1 for others
+    rows: np.ndarray  # common terms x examples
+    runs: np.ndarray  # where each other term's runs begin, and the end; a run is a term's postings in one block
     block: np.ndarray  # of each run
     top: np.ndarray  # the largest weight of each run
     posts: np.ndarray  # where each run's postings begin, and the end
@@ -79,54 +84,67 @@ class Index:
     prior: float  # the share of label 1 among examples without any term
     curve: tuple[float, float]
 
-    def unit(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """The TF-IDF weights of a text's terms, as a unit vector."""
+    def units(self, text: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+        """The TF-IDF weights of the terms of n texts, each text a unit vector."""
         w = np.log1p(count) * self.weight[term]
-        return w / np.sqrt((w * w).sum())
-
-    def nearest(self, term: np.ndarray, q: np.ndarray, k: int = K, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, similarities) of the k nearest to a unit vector, and of those that tie with the last; only similarities above 0. Ties by id."""
-        size = np.diff(self.runs)[term]
-        run, by = ranges(self.runs[:-1][term], size), np.repeat(q, size)
-        if not len(run):
-            return np.zeros(0, np.int64), np.zeros(0)
-        blocks = -(-len(self.ids) // BLOCK)
+        return w / np.sqrt(np.bincount(text, w * w, n))[text]
+
+    def search(self, text: np.ndarray, term: np.ndarray, q: np.ndarray, n: int, k: int = K, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of n texts the k nearest (examples, similarities), and those that tie with the last; only similarities above 0. Ties by id.
+
+        (text, term, q) are the unit vectors, ascending by text; without: an example that each text leaves out.
+        """
+        if not len(self.ids):
+            yield from ((np.zeros(0, np.int64), np.zeros(0)) for _ in range(n))
+            return
+        cuts = np.searchsorted(text, np.arange(n + 1))
+        for a in range(0, n, BATCH):
+            b = min(a + BATCH, n)
+            part = slice(cuts[a], cuts[b])
+            row = self.common[term[part]]
+            many = row >= 0
+            shared = np.zeros((b - a, len(self.rows)))
+            shared[text[part][many] - a, row[many]] = q[part][many]
+            sims = shared @ self.rows
+            bounds = np.maximum.reduceat(sims, np.arange(0, len(self.ids), BLOCK), axis=1)
+            for i in range(a, b):
+                own = slice(cuts[i], cuts[i + 1])
+                yield self._nearest(term[own], q[own], sims[i - a], bounds[i - a], k, None if without is None else int(without[i]))
+
+    def _nearest(self, term: np.ndarray, q: np.ndarray, sim: np.ndarray, bound: np.ndarray, k: int, without: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The search of one text, from its similarities by common terms and their block maxima on."""
+        size = self.runs[term + 1] - self.runs[term]
+        run, by = ranges(self.runs[term], size), np.repeat(q, size)
         at = self.block[run]
-        bound = np.bincount(at, by * self.top[run], blocks)
-        sim, ahead = np.zeros(len(self.ids)), np.argsort(-bound, kind="stable")[: 1 + -(-k // BLOCK)]
-        chosen = np.zeros(blocks, bool)
+        bound = bound + np.bincount(at, by * self.top[run], len(bound))
+        ahead = np.argsort(-bound, kind="stable")[: 1 + -(-k // BLOCK)]
+        chosen = np.zeros(len(bound), bool)
         chosen[ahead] = True
+        last = 0.0
         for _ in range(2):  # the blocks of the largest bounds, then all others that may hold one of the k nearest
-            own = chosen[at]
-            first = self.posts[run[own]]
-            number = self.posts[run[own] + 1] - first
+            mine = chosen[at]
+            first = self.posts[run[mine]]
+            number = self.posts[run[mine] + 1] - first
             post = ranges(first, number)
-            sim += np.bincount(self.example[post], np.repeat(by[own], number) * self.value[post], len(sim))
+            sim = sim + np.bincount(self.example[post], np.repeat(by[mine], number) * self.value[post], len(sim))
             if without is not None:
                 sim[without] = 0
-            last = np.partition(sim, -k)[-k] if len(sim) >= k else 0.0
-            done, chosen = chosen, (bound >= last - 1e-8) & (bound > 0)
+            last = float(np.partition(sim, -k)[-k]) if len(sim) >= k else 0.0
+            chosen = (bound >= last - 1e-8) & (bound > 0)
             chosen[ahead] = False
-            if not chosen.any():
-                break
-        last = round(float(np.partition(sim, -k)[-k]), 9) if len(sim) >= k else 0.0
         found = np.round(sim, 9)
-        who = np.flatnonzero((found >= last) & (found > 0))
+        who = np.flatnonzero((found >= round(last, 9)) & (found > 0))
         who = who[np.lexsort((self.ids[who], -found[who]))]
         return who, found[who]
 
-    def raw(self, term: np.ndarray, q: np.ndarray, without: int | None = None) -> tuple[float, np.ndarray]:
-        """The weighted vote of the nearest examples, with a small vote for the prior, and the examples."""
-        who, sim = self.nearest(term, q, without=without)
+    def raw(self, who: np.ndarray, sim: np.ndarray) -> float:
+        """The weighted vote of the nearest examples, with a small vote for the prior."""
         weight = sim**2
-        return float((weight @ self.y[who] + PULL * self.prior) / (weight.sum() + PULL)), who
+        return float((weight @ self.y[who] + PULL * self.prior) / (weight.sum() + PULL))
 
-    def score(self, term: np.ndarray, count: np.ndarray) -> tuple[float, np.ndarray]:
-        raw, who = self.raw(term, self.unit(term, count))
-        if not len(who):
-            return self.prior, who
+    def score(self, who: np.ndarray, sim: np.ndarray) -> float:
         a, b = self.curve
-        return float(1 / (1 + np.exp(-(a * raw + b)))), who
+        return float(1 / (1 + np.exp(-(a * self.raw(who, sim) + b)))) if len(who) else self.prior
 
 
 def relevance(text: np.ndarray, term: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
@@ -176,19 +194,25 @@ def build(ids: np.ndarray, texts: list[str], y: np.ndarray, frequencies: Callabl
     place = np.full(len(texts), -1)
     place[order] = np.arange(len(order))
     example = place[text]
+    common = np.full(len(terms), -1)
+    often = np.flatnonzero(np.bincount(term, minlength=len(terms)) * COMMON >= max(len(order), 1))
+    common[often] = np.arange(len(often))
+    rows = np.zeros((len(often), len(order)))
+    many = common[term] >= 0
+    rows[common[term[many]], example[many]] = w[many]
     sort = np.lexsort((example, term))
-    example, term, w = example[sort], term[sort], w[sort]
-    first = np.ones(len(term), bool)
-    first[1:] = (term[1:] != term[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK)
+    sort = sort[~many[sort]]
+    own, at, value = term[sort], example[sort], w[sort]
+    first = np.ones(len(own), bool)
+    first[1:] = (own[1:] != own[:-1]) | (at[1:] // BLOCK != at[:-1] // BLOCK)
     begin = np.flatnonzero(first)
-    top = np.maximum.reduceat(w, begin) if len(begin) else np.zeros(0)
-    runs = np.searchsorted(term[begin], np.arange(len(terms) + 1))
-    index = Index(terms, weight, ids[order], y[order], runs, example[begin] // BLOCK, top, np.append(begin, len(term)), example, w, prior, (4.0, -2.0))
+    top = np.maximum.reduceat(value, begin) if len(begin) else np.zeros(0)
+    runs = np.searchsorted(own[begin], np.arange(len(terms) + 1))
+    index = Index(terms, weight, ids[order], y[order], common, rows, runs, at[begin] // BLOCK, top, np.append(begin, len(own)), at, value, prior, (4.0, -2.0))
     if len(order):
-        by_example = np.lexsort((term, example))
-        cuts = np.searchsorted(example[by_example], np.arange(len(order) + 1))
-        own = [by_example[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        index.curve = curve_of(np.array([index.raw(term[p], w[p], without=i)[0] for i, p in enumerate(own)]), index.y)
+        by = np.lexsort((term, example))
+        votes = [index.raw(*found) for found in index.search(example[by], term[by], w[by], len(order), without=np.arange(len(order)))]
+        index.curve = curve_of(np.array(votes), index.y)
     return index
 
 
@@ -214,7 +238,7 @@ def document_frequencies(docs: DataFrame, terms: pa.Array) -> tuple[np.ndarray,
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Index:
     """An index over at most `limit` labelled documents outside the held-out fold; term statistics cover all documents.
 
-    The driver holds those documents and their postings, and every task a copy of the index: some 40 MB for 4000 documents.
+    The driver holds those documents and their postings, and every task a copy of the index: some 50 MB for 4000 documents here.
     """
     rows = training_rows(docs, labels, "toxic", 4, 2, limit).collect()
     rows.sort(key=lambda r: (r.doc_id, r.y, r.text))
@@ -233,22 +257,11 @@ def score_toxicity(df: DataFrame, index: Index, text: str = "text", out: str = "
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[f"`{c}`" for c in rest]).schema.fields) + f", `{out}` double, `{evidence}` array<long>"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple[float, list[int]]] = {}
         for batch in batches:
             for part in in_chunks(batch, "__t"):
                 row, term, count = count_terms(part.column("__t"), index.terms)
-                found: list[tuple[float, list[int]]] = [(round(index.prior, 6), [])] * part.num_rows
-                cuts = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
-                for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    if b <= a:
-                        continue
-                    key = xxhash.xxh3_128_digest(term[a:b].tobytes() + count[a:b].tobytes())
-                    if key not in known:
-                        if len(known) > 20_000:
-                            known.clear()
-                        p, who = index.score(term[a:b], count[a:b])
-                        known[key] = round(p, 6), index.ids[who[:K]].tolist()
-                    found[i] = known[key]
+                near = index.search(row, term, index.units(row, term, count, part.num_rows), part.num_rows)
+                found = [(round(index.score(who, sim), 6), index.ids[who[:K]].tolist()) for who, sim in near]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array([p for p, _ in found], pa.float64()), pa.array([w for _, w in found], pa.list_(pa.int64()))], names=[*rest, out, evidence])
 
     return rows.mapInArrow(score, schema)

@@ -330,21 +330,23 @@ def test_toxicity_equals_brute_force(spark):
 
 
 def test_blocks_that_cannot_hold_a_neighbour_are_not_read():
-    texts = [f"group{i // 64} " * 9 + f"own{i} common" for i in range(640)]
+    texts = [f"group{i // 32} " * 9 + f"own{i} common" for i in range(640)]
     index = toxicity.build(np.arange(640), texts, np.arange(640) // 64 == 3, lambda terms: (np.ones(len(terms)), 640))
-    _, term, count = toxicity.count_terms(pa.array(["group3 own200 common"]), index.terms)
-    q = index.unit(term, count)
-    who, sim = index.nearest(term, q)
-    dense = np.zeros((640, len(index.terms)))
-    dense[index.example, np.repeat(np.repeat(np.arange(len(index.terms)), np.diff(index.runs)), np.diff(index.posts))] = index.value
-    every = np.round(dense[:, term] @ q, 9)
+    row, term, count = toxicity.count_terms(pa.array(["group6 own200 common"]), index.terms)
+    q = index.units(row, term, count, 1)
+    who, sim = next(index.search(row, term, q, 1))
+    rare, dense = np.zeros((640, len(index.terms))), np.zeros((640, len(index.terms)))
+    rare[index.example, np.repeat(np.repeat(np.arange(len(index.terms)), np.diff(index.runs)), np.diff(index.posts))] = index.value
+    dense[:, index.common >= 0] = index.rows[index.common[index.common >= 0]].T
+    assert len(index.rows) == 1 and not (rare[:, index.common >= 0]).any()
+    every = np.round((rare + dense)[:, term] @ q, 9)
     assert index.ids[who[0]] == 200 and (every >= sim[-1]).sum() == len(who) and np.allclose(every[who], sim)
-    bounds = np.array([dense[i : i + toxicity.BLOCK, term].max(0) @ q for i in range(0, 640, toxicity.BLOCK)])
+    bounds = np.array([(dense[i : i + toxicity.BLOCK, term] @ q).max() + rare[i : i + toxicity.BLOCK, term].max(0) @ q for i in range(0, 640, toxicity.BLOCK)])
     ahead = np.argsort(-bounds, kind="stable")[:2]
     unread = [b for b in range(len(bounds)) if b not in ahead and bounds[b] < sim[-1] - 1e-6]
     assert len(unread) >= 7
     index.value[np.isin(index.example // toxicity.BLOCK, unread)] = np.nan
-    again = index.nearest(term, q)
+    again = next(index.search(row, term, q, 1))
     assert again[0].tolist() == who.tolist() and again[1].tolist() == sim.tolist()
 
 
