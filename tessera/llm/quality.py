@@ -1,8 +1,8 @@
 """Document quality by a byte-level convolutional network in numpy.
 
 A text is its UTF-8 bytes. Every byte has a learned vector; learned filters of WIDTH bytes step over the whole text STRIDE
-bytes at a time; runs of CHUNK steps, which overlap by the bytes that a filter reaches over their border, are max-pooled;
-the mean and the maximum of the chunks' features are combined into one probability.
+bytes at a time; runs of CHUNK steps, one every HOP steps, so that a quarter of each is in the next, are max-pooled; the mean
+and the maximum of the chunks' features are combined into one probability.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import in_chunks, text_of
 
-STRIDE, WIDTH, DIM, FILTERS, CHUNK = 4, 8, 8, 24, 256
+STRIDE, WIDTH, DIM, FILTERS, CHUNK, HOP = 4, 8, 8, 24, 256, 192
 THRESHOLD = 0.3
 
 
@@ -47,13 +47,13 @@ def pooled(m: Model, texts: list[bytes]) -> np.ndarray:
     h = cells @ m.filters[: STRIDE * DIM]
     h[:-1] += cells[1:] @ m.filters[STRIDE * DIM :]
     start = np.concatenate([[0], np.cumsum(steps + 1)])[:-1]
-    chunks = -(-steps // CHUNK)
+    chunks = 1 + -(-np.maximum(steps - CHUNK, 0) // HOP)
     row = np.repeat(np.arange(len(texts)), chunks)
     first = np.concatenate([[0], np.cumsum(chunks)])[:-1]
-    begin = start[row] + (np.arange(len(row)) - first[row]) * CHUNK
+    begin = start[row] + (np.arange(len(row)) - first[row]) * HOP
     end = np.minimum(begin + CHUNK, start[row] + steps[row])
     bounds = np.stack([begin, end], 1).ravel()
-    top = np.maximum.reduceat(h, bounds, axis=0)[::2]  # the other half are the gaps between chunks
+    top = np.maximum.reduceat(h, bounds, axis=0)[::2]  # the other half are no chunks
     top = np.maximum(top + m.bias, 0)
     mean = np.add.reduceat(top, first, axis=0) / chunks[:, None]
     return np.concatenate([mean, np.maximum.reduceat(top, first, axis=0)], axis=1)

@@ -215,7 +215,7 @@ def test_quality_covers_the_whole_text_and_ignores_neighbours():
         padded = t + bytes(-len(t) % quality.STRIDE or (quality.STRIDE if not t else 0)) + bytes(quality.STRIDE)
         steps = len(padded) // quality.STRIDE - 1
         h = np.array([model.embed[np.frombuffer(padded[k * quality.STRIDE : k * quality.STRIDE + quality.WIDTH], np.uint8)].ravel() @ model.filters for k in range(steps)])
-        chunks = np.array([np.maximum(h[k : k + quality.CHUNK].max(0), 0) for k in range(0, steps, quality.CHUNK)])
+        chunks = np.array([np.maximum(h[k : k + quality.CHUNK].max(0), 0) for k in range(0, max(1, steps - quality.CHUNK + quality.HOP), quality.HOP)])
         assert np.allclose(together[i], np.r_[chunks.mean(0), chunks.max(0)], atol=1e-3)
 
 
