@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, jaccard, lines, piece_dropout, quality
 from tessera.llm.common import scratch, table
 from tessera.llm.queries import PIECE_BPE, vocabulary
+from tessera.sources.storage import Storage
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,9 +74,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; a stage's files go as soon as the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            Storage(spark, before).delete()
+        before = path
     return docs
