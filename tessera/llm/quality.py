@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import in_chunks, text_of
+from tessera.llm.common import give_back, in_chunks, text_of
 
 STRIDE, WIDTH, DIM, FILTERS, CHUNK, HOP = 4, 8, 8, 24, 256, 192
 THRESHOLD = 0.3
@@ -107,7 +107,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, steps: int = 500,
             m1 += 0.1 * (g - m1)
             m2 += 0.001 * (g * g - m2)
             p -= (0.01 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-    parts = np.cumsum([len(t) for t in texts]) >> 20  # a text of more than a megabyte is a part of its own
+    parts = np.cumsum([len(t) for t in texts]) >> 18  # a text of more than 256 kilobytes is a part of its own
     edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(texts)]
     x = np.concatenate([pooled(model, texts[a:b]) for a, b in zip(edges, edges[1:], strict=False)]).astype(np.float64)
     scale = x.std(0) + 1e-6
@@ -140,7 +140,10 @@ SAMPLE = 3000
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     rows = training_rows(docs, labels, "quality", 5, 0, limit).select("doc_id", "text", "y").collect()
     rows.sort(key=lambda r: (r.doc_id, r.y, r.text))
-    return fit([r.text.encode() for r in rows], np.array([r.y for r in rows]))
+    model = fit([r.text.encode() for r in rows], np.array([r.y for r in rows]))
+    del rows
+    give_back()  # the driver goes on to other stages
+    return model
 
 
 def score_quality(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

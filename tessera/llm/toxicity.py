@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import in_chunks, text_of
+from tessera.llm.common import give_back, in_chunks, text_of
 from tessera.llm.quality import training_rows
 
 THRESHOLD = 0.3
@@ -242,7 +242,10 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Index:
     """
     rows = training_rows(docs, labels, "toxic", 4, 2, limit).collect()
     rows.sort(key=lambda r: (r.doc_id, r.y, r.text))
-    return build(np.array([r.doc_id for r in rows], np.int64), [r.text for r in rows], np.array([r.y for r in rows], np.int64), lambda terms: document_frequencies(docs, terms))
+    index = build(np.array([r.doc_id for r in rows], np.int64), [r.text for r in rows], np.array([r.y for r in rows], np.int64), lambda terms: document_frequencies(docs, terms))
+    del rows
+    give_back()
+    return index
 
 
 def score_toxicity(df: DataFrame, index: Index, text: str = "text", out: str = "score", evidence: str = "evidence") -> DataFrame:
