@@ -125,7 +125,7 @@ def _rarity(docs: DataFrame, n: int) -> np.ndarray:
 
     summed = docs.select("t").mapInArrow(count, "block int, cells binary, n binary").repartition(min(n, CELLS // BLOCK), "block").mapInArrow(add, "block int, ranks binary")
     table = np.zeros(CELLS, np.uint8)
-    for row in summed.toLocalIterator():  # CELLS bytes in all
+    for row in summed.collect():  # CELLS bytes in all, by one job
         table[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.ranks, np.uint8)
     return table
 
