@@ -386,7 +386,11 @@ def _candidates(threshold: float, every: bool, n: int):
 
 
 def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From packed rows of one home: lines known to go (no earlier line named), and each other line's pairs, numbered from those under the most keys; `keys`, with its first pair, are those that may have more."""
+    """From packed rows of one home: lines known to go (no earlier line named), and each other line's pairs, `best` for those under the most keys; `keys`, with its first pair, are those that may have more.
+
+    `best` is stored, not compared for where pairs are read: a comparison over a stored table makes Spark build Bloom filters
+    for the joins with the sets, which drop nothing there, are merged by one task and go out with every task from the driver.
+    """
     held = {(k, c): [] for k in (GONE, CANDIDATES) for c in NAMED}
     for batch in batches:
         kind = batch.column("kind").to_numpy(zero_copy_only=False)
@@ -401,11 +405,11 @@ def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known[line[: len(gone["doc"])]] = True
     own = line[len(gone["doc"]) :]
 
-    def out(at: np.ndarray, ends: dict, nth: np.ndarray, keys: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"doc": pa.array(names[at, 0]), "sub": pa.array(names[at, 1]), "line": pa.array(names[at, 2].astype(np.int32))} | ends | {"nth": pa.array(nth.astype(np.int32)), "keys": keys})
+    def out(at: np.ndarray, ends: dict, best: np.ndarray, keys: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"doc": pa.array(names[at, 0]), "sub": pa.array(names[at, 1]), "line": pa.array(names[at, 2].astype(np.int32))} | ends | {"best": pa.array(best), "keys": keys})
 
     at = np.flatnonzero(known)
-    yield out(at, {c: pa.nulls(len(at), pa.int32() if c == "line0" else pa.int64()) for c in ID0}, np.zeros(len(at)), pa.nulls(len(at), pa.list_(pa.int64())))
+    yield out(at, {c: pa.nulls(len(at), pa.int32() if c == "line0" else pa.int64()) for c in ID0}, np.ones(len(at), bool), pa.nulls(len(at), pa.list_(pa.int64())))
     rest = np.flatnonzero(~known[own])
     if not len(rest):
         return
@@ -419,7 +423,7 @@ def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places, keys = _number(own[more], r["at"][more].view(np.int64))[1].reshape(-1, 2).T
     first, last = np.searchsorted(places, ends[:, 0]), np.searchsorted(places, ends[:, 0], side="right")
     lists = [keys[a:b] if h and b > a else None for h, a, b in zip(head.tolist(), first.tolist(), last.tolist(), strict=True)]
-    yield out(ends[:, 0], {"doc0": pa.array(ends[:, 1]), "sub0": pa.array(ends[:, 2]), "line0": pa.array(ends[:, 3].astype(np.int32))}, nth, pa.array(lists, pa.list_(pa.int64())))
+    yield out(ends[:, 0], {"doc0": pa.array(ends[:, 1]), "sub0": pa.array(ends[:, 2]), "line0": pa.array(ends[:, 3].astype(np.int32))}, nth < BEST, pa.array(lists, pa.list_(pa.int64())))
 
 
 def _number(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -488,16 +492,16 @@ def later_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshol
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     rarity = spark.sparkContext.broadcast(_rarity(docs, n))
     dealt = lambda p: p.repartition(n, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.spark_partition_id())).sortWithinPartitions("bucket")
-    home = lambda f: f.where(F.col("kind") != KEPT).select("kind", "target", *NAMED).repartition(n, "target").mapInArrow(_choose, "doc long, sub long, line int, doc0 long, sub0 long, line0 int, nth int, keys array<long>")
+    home = lambda f: f.where(F.col("kind") != KEPT).select("kind", "target", *NAMED).repartition(n, "target").mapInArrow(_choose, "doc long, sub long, line int, doc0 long, sub0 long, line0 int, best boolean, keys array<long>")
     found = cut(dealt(_postings(docs, rarity, n * SPREAD, threshold)).mapInArrow(_candidates(threshold, False, n), FOUND))
     release(spark)
     chosen = cut(home(found))
     pairs = chosen.where("doc0 is not null")
     sets = _sets(docs, _ends(pairs))
-    gone = cut(chosen.where("doc0 is null").select(*ID).unionByName(_similar(pairs.where(F.col("nth") < BEST), sets, threshold)))
+    gone = cut(chosen.where("doc0 is null").select(*ID).unionByName(_similar(pairs.where("best"), sets, threshold)))
     release(spark)
     # Lines whose best candidates failed: first the others that they named, then all of their keys that may have more.
-    others = pairs.where(F.col("nth") >= BEST).join(gone, ID, "left_anti")
+    others = pairs.where("not best").join(gone, ID, "left_anti")
     gone = cut(gone.unionByName(_similar(others, sets, threshold)))
     open_lines = cut(pairs.where("keys is not null").join(gone, ID, "left_anti").select(*ID, F.explode("keys").alias("at")))
     keys = open_lines.select(F.col("at").alias("at_key")).distinct()

@@ -340,3 +340,22 @@ def test_lines_of_repeated_keys(spark):
     got = sorted((r.doc_id, r.text, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     want = [(1, rows[0][1], 0), (2, "keep one two", 1), (2, rows[2][1], 0), (3, "x y z", 0), (3, "x y z", 0), (4, rows[5][1].split("\n")[0], 1)]
     assert got == sorted(want)
+
+
+def test_joins_of_lines_build_no_bloom_filters(spark, monkeypatch, tmp_path):
+    """Spark would merge them in one task and send them out with every task, though the sets are those of the pairs."""
+    plans, own = [], lines.cut
+    monkeypatch.setattr(lines, "cut", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), own(df))[1])
+    sizes = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for name, value in sizes.items():  # small tables are joined as large ones are
+        spark.conf.set(name, value)
+    try:
+        texts = ["a b c d e f g h i j", "a b c d e f g h i k", "other words stand here"]
+        table(spark, texts).write.parquet(f"{tmp_path}/documents")  # a table of known size
+        got = {(r.doc, r.line) for r in lines.later_lines(spark.read.parquet(f"{tmp_path}/documents")).collect()}
+    finally:
+        for name in sizes:
+            spark.conf.unset(name)
+    assert got == later(texts)
+    assert any("Join" in p for p in plans)
+    assert not any("might_contain" in p for p in plans)
