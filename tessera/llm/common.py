@@ -88,15 +88,20 @@ def in_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> I
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64) over an unsigned array."""
     x = x.astype(np.uint64, copy=True)
-    with np.errstate(over="ignore"):
-        x ^= x >> np.uint64(30)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(27)
-        x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
+    _mix64(x, np.empty_like(x))
     return x
 
 
+def _mix64(x: np.ndarray, free: np.ndarray) -> None:
+    """mix64 in place; `free` is overwritten."""
+    with np.errstate(over="ignore"):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+            np.right_shift(x, np.uint64(shift), out=free)
+            np.bitwise_xor(x, free, out=x)
+            if factor:
+                np.multiply(x, np.uint64(factor), out=x)
+
+
 def eight_bytes(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place as a little-endian number, zeros beyond the end."""
     n = (len(data) + 7) // 8 * 8
@@ -124,30 +129,50 @@ def hash_strings(values: pa.Array) -> np.ndarray:
     return hash_runs(raw, offsets[:-1] - offsets[0], np.diff(offsets))
 
 
+#: Runs hashed at a time, so that their arrays stay in the processor's cache.
+RUNS = 1 << 14
+#: Of a run by its size: what the hash starts from, and which bits of its last eight bytes count (by the size modulo 8).
+_SEED = mix64(np.arange(SHORT + 1).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+_LAST = ~np.uint64(0) >> np.array([0, 56, 48, 40, 32, 24, 16, 8], np.uint64)
+
+
 def hash_runs(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each run of bytes."""
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
     words = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place
+    h = np.empty(len(size), np.uint64)
+    free = np.empty(min(RUNS, len(size)), np.uint64)
     with np.errstate(over="ignore"):
-        h = mix64(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        live, k = np.flatnonzero((size > 0) & (size <= SHORT)), 0
-        while len(live):
-            rest = np.minimum(size[live] - k, 8).astype(np.uint64)
-            w = words[start[live] + k] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * rest))
-            h[live] = mix64(h[live] * np.uint64(0xC2B2AE3D27D4EB4F) + w)
-            k += 8
-            live = live[size[live] > k]
+        for a in range(0, len(size), RUNS):
+            at, n, own = start[a : a + RUNS], size[a : a + RUNS], h[a : a + RUNS]
+            np.take(_SEED, n, out=own, mode="clip")
+            live, k = None, 0  # all at first; then those that have more than k bytes
+            if n.min() == 0 or n.max() > SHORT:
+                live = np.flatnonzero((n > 0) & (n <= SHORT))
+                at, n, own = at[live], n[live], own[live]
+            while len(n):
+                w = words[at + k if k else at]
+                last = n <= k + 8
+                np.bitwise_and(w, np.where(last, _LAST[n & 7], ~np.uint64(0)), out=w)
+                np.multiply(own, np.uint64(0xC2B2AE3D27D4EB4F), out=own)
+                np.add(own, w, out=own)
+                _mix64(own, free[: len(own)])
+                if live is not None:
+                    h[a + live] = own
+                k += 8
+                more = np.flatnonzero(~last)
+                live = more if live is None else live[more]
+                at, n, own = at[more], n[more], own[more]
     for i in np.flatnonzero(size > SHORT).tolist():
         h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : start[i] + size[i]].tobytes())
     return h
 
 
-def _white() -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """White space as UTF-8: which single bytes are, and the sequences of more bytes by their first one."""
+def _white() -> tuple[bytes, dict[int, np.ndarray]]:
+    """White space as UTF-8: which single bytes are (1, else 0), and the sequences of more bytes by their first one."""
     points = pa.array([chr(c) for c in range(1, 0x3100)], pa.string())
     found = [c.encode() for c in points.filter(pc.utf8_is_space(points)).to_pylist()]
-    one = np.zeros(256, bool)
-    one[[c[0] for c in found if len(c) == 1]] = True
+    one = bytes(bytes([c]) in found for c in range(256))
     more = sorted(c for c in found if len(c) > 1)
     return one, {first: np.array([list(c[1:]) for c in more if c[0] == first], np.uint8) for first in {c[0] for c in more}}
 
@@ -166,7 +191,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = offsets - offsets[0]
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    white = _ONE[raw]
+    white = np.frombuffer(bytearray(raw.tobytes().translate(_ONE)), bool)
     for first, rests in _MORE.items():
         at = np.flatnonzero(raw == first)
         width = rests.shape[1]

@@ -39,6 +39,10 @@ FIRST, BEST = 4, 2
 BROADCAST = 1 << 13
 #: Text and pairs of frequent words handled at a time, pairs of lines compared at a time, and sets that a task remembers as recurring.
 CHUNK, PAIRS, TILE, RECURRING = 8 << 20, 1 << 20, 1 << 20, 1 << 16
+#: Words of lines sorted at a time, and neighbours compared at a time.
+SORTED, SLICE = 1 << 16, 1 << 14
+#: Longs of 64 bits, in blocks, in which a bit is set for each text that has lines to verify (8 MB in all).
+LONGS, PER_BLOCK = 1 << 20, 1 << 10
 #: Buckets of keys for each shuffle partition; a task holds one bucket at a time.
 SPREAD = 4
 
@@ -56,17 +60,22 @@ def _lines(texts: pa.Array, rank: np.ndarray | None = None) -> tuple[np.ndarray,
     offsets = split.offsets.to_numpy().astype(np.int64)
     words, bounds = word_hashes(split.flatten())
     n = np.diff(bounds)
-    row = np.repeat(np.arange(len(n)), n)
-    # One key a word: its line, its rank, and as many bits of its hash as are left.
-    bits = max(1, int(len(n)).bit_length())
-    key = words >> np.uint64(bits)
-    if rank is not None:
-        key = (key >> np.uint64(8)) | (rank[_cell(words)].astype(np.uint64) << np.uint64(56 - bits))
-    order = np.argsort(key | (row.astype(np.uint64) << np.uint64(64 - bits)))
-    words, row = words[order], row[order]
-    first = np.ones(len(words), bool)
-    first[1:] = (words[1:] != words[:-1]) | (row[1:] != row[:-1])
-    words, row = words[first], row[first]
+    hashes, rows = [], []
+    ends = np.searchsorted(bounds, np.arange(SORTED, len(words) + SORTED, SORTED))  # of blocks of lines, so that each is sorted in the processor's cache
+    for a, b in zip(np.r_[0, ends].tolist(), np.minimum(ends, len(n)).tolist(), strict=False):
+        own, row = words[bounds[a] : bounds[b]], np.repeat(np.arange(b - a), n[a:b])
+        # One key a word: its line, its rank, and as many bits of its hash as are left.
+        bits = max(1, int(b - a).bit_length())
+        key = own >> np.uint64(bits)
+        if rank is not None:
+            key = (key >> np.uint64(8)) | (rank[_cell(own)].astype(np.uint64) << np.uint64(56 - bits))
+        order = np.argsort(key | (row.astype(np.uint64) << np.uint64(64 - bits)))
+        own, row = own[order], row[order]
+        first = np.ones(len(own), bool)
+        first[1:] = (own[1:] != own[:-1]) | (row[1:] != row[:-1])
+        hashes.append(own[first])
+        rows.append(row[first] + a)
+    words, row = np.concatenate([*hashes, words[:0]]), np.concatenate([*rows, np.zeros(0, np.int64)])
     some = np.flatnonzero(n > 0)
     bounds = np.r_[np.searchsorted(row, some), len(row)]
     text = np.searchsorted(offsets, some, side="right") - 1
@@ -237,6 +246,21 @@ def _repeats(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def _by_set(key: np.ndarray, size: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """The order of rows by key, size and `same`; rows equal in all three stand in any order."""
+    if not len(size) or size.max() >= 1 << 12:
+        return np.lexsort((same, size, key))
+    # One number a row, with as many bits of `same` as are left.
+    brief = (key.astype(np.uint64) << np.uint64(32)) | (size.astype(np.uint64) << np.uint64(20)) | (same >> np.uint64(44))
+    order = np.argsort(brief)
+    even = _repeats(brief[order])
+    if (even[1:] & (same[order[1:]] != same[order[:-1]])).any():
+        tied = np.flatnonzero(even | np.r_[even[1:], False])
+        own = order[tied]
+        order[tied] = own[np.lexsort((same[own], brief[own]))]
+    return order
+
+
 class _Bucket:
     """The postings of one bucket in order of (key, size); equal sets of a key stand as their earliest line."""
 
@@ -247,7 +271,7 @@ class _Bucket:
         if marks.any():
             rows = {c: v[~marks] for c, v in rows.items()}
         both = (rows["key"].astype(np.uint64) << np.uint64(32)) | rows["size"]
-        order = np.lexsort((rows["same"], both))
+        order = _by_set(rows["key"], rows["size"], rows["same"])
         twin = _repeats(both[order], rows["same"][order])
         some = np.flatnonzero(twin | np.r_[twin[1:], False])  # lines with equals under their key, the earliest first
         if len(some):
@@ -263,44 +287,68 @@ class _Bucket:
         self.rows, self.both = {c: v[kept] for c, v in rows.items()}, both[kept]
         self.size, self.place = self.rows["size"].astype(np.int64), self.rows["place"].astype(np.int64)
         self.threshold = threshold
+        # A set's part of the words in which it may differ from a similar one.
+        self.spare = self.size * ((1 - threshold) / (1 + threshold)) + 1e-9
         key = self.both & np.uint64(0xFFFFFFFF00000000)
         least, most = _need(threshold, self.size), np.floor(self.size / threshold + 1e-9).astype(np.int64)
         self.lo = np.searchsorted(self.both, key | least.astype(np.uint64))
         self.hi = np.searchsorted(self.both, key | most.astype(np.uint64), side="right")
 
+    def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The places of the pairs of which no filter tells that they can't be similar."""
+        r = self.rows
+        out = np.flatnonzero(np.bitwise_count(r["b1"][x] ^ r["b1"][y]) + np.bitwise_count(r["b2"][x] ^ r["b2"][y]) <= self.spare[x] + self.spare[y])
+        return out[self.placed(x[out], y[out])]
+
+    def placed(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the words up to the shared key and those after it may be enough in common."""
+        return np.minimum(self.place[x], self.place[y]) + np.minimum(self.size[x] - self.place[x], self.size[y] - self.place[y]) >= np.ceil(self.threshold / (1 + self.threshold) * (self.size[x] + self.size[y]) - 1e-9)
+
+    def at_distance(self, d: int, alive: np.ndarray) -> np.ndarray:
+        """The lines x of the pairs (x, x + d) that `near` lets pass and of which one is alive; for many, without gathering."""
+        b1, b2, n, out = self.rows["b1"], self.rows["b2"], len(self.size), []
+        for a in range(0, n - d, SLICE):
+            x, y = slice(a, min(a + SLICE, n - d)), slice(a + d, min(a + SLICE + d, n))
+            ok = np.bitwise_count(b1[x] ^ b1[y]) + np.bitwise_count(b2[x] ^ b2[y]) <= self.spare[x] + self.spare[y]
+            out.append(np.flatnonzero(ok & (alive[x] | alive[y])) + a)
+        x = np.concatenate([np.zeros(0, np.int64), *out])
+        return x[self.placed(x, x + d)]
+
+    def earlier(self, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Whether y is earlier than x."""
+        return _less([self.rows[c][y] for c in ID], [self.rows[c][x] for c in ID])
+
     def passes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether y is earlier than x and no filter tells that they can't be similar."""
-        t, r = self.threshold, self.rows
-        out = np.flatnonzero(r["doc"][y] <= r["doc"][x])
-        even = np.flatnonzero(r["doc"][y[out]] == r["doc"][x[out]])
-        if len(even):
-            a, b = y[out[even]], x[out[even]]
-            out = np.delete(out, even[~((r["sub"][a] < r["sub"][b]) | ((r["sub"][a] == r["sub"][b]) & (r["line"][a] < r["line"][b])))])
-        x, y = x[out], y[out]
-        both = self.size[x] + self.size[y]
-        gap = np.bitwise_count(r["b1"][x] ^ r["b1"][y]).astype(np.int64) + np.bitwise_count(r["b2"][x] ^ r["b2"][y])
-        ok = gap <= np.floor(both * (1 - t) / (1 + t) + 1e-9)  # the words that may differ
-        out, x, y, both = out[ok], x[ok], y[ok], both[ok]
-        ok = np.minimum(self.place[x], self.place[y]) + np.minimum(self.size[x] - self.place[x], self.size[y] - self.place[y]) >= np.ceil(t / (1 + t) * both - 1e-9)
-        return out[ok]
+        """The places of the pairs with y earlier than x of which no filter tells that they can't be similar."""
+        out = self.near(x, y)
+        return out[self.earlier(y[out], x[out])]
 
     def first(self, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(line, earlier line, more): for each line up to `most` candidates, those of like size first, and whether there may be more."""
-        found = np.zeros(len(self.size), np.int64)
+        n, found = len(self.size), np.zeros(len(self.size), np.int64)
         left, right = [], []
         live, d = np.flatnonzero(self.hi - self.lo > 1), 1
+        alive = np.zeros(n, bool)
+        alive[live] = True
         while len(live) > 16:
-            for step in (-d, d):
-                for x in np.array_split(live, len(live) // TILE + 1):
-                    y = x + step
-                    ok = np.flatnonzero((y >= self.lo[x]) & (y < self.hi[x]) & (found[x] < most))
-                    x, y = x[ok], y[ok]
-                    ok = self.passes(x, y)
-                    left.append(x[ok])
-                    right.append(y[ok])
-                    found[x[ok]] += 1
+            # Each pair at a distance of d once, whichever of its lines is the earlier.
+            if len(live) > n >> 5:
+                x = self.at_distance(d, alive)
+            else:
+                x = np.sort(np.concatenate([live[live < n - d], live[live >= d] - d]))
+                x = x[~_repeats(x)]
+                x = np.concatenate([part[self.near(part, part + d)] for part in np.array_split(x, len(x) // TILE + 1)])
+            y = x + d
+            before, after = self.earlier(x, y) & (x >= self.lo[y]), self.earlier(y, x) & (y < self.hi[x])
+            for line, other in ((y[before], x[before]), (x[after], y[after])):
+                ok = alive[line] & (found[line] < most)
+                left.append(line[ok])
+                right.append(other[ok])
+                found[line[ok]] += 1
             d += 1
-            live = live[(found[live] < most) & ((live - d >= self.lo[live]) | (live + d < self.hi[live]))]
+            stay = (found[live] < most) & ((live - d >= self.lo[live]) | (live + d < self.hi[live]))
+            alive[live[~stay]] = False
+            live = live[stay]
         # The few that are left, such as the earliest line of a large group, go through their range at once.
         for x in live.tolist():
             for a in range(self.lo[x], self.hi[x], TILE):
@@ -318,14 +366,19 @@ class _Bucket:
 
     def every(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """All candidates of the lines that were asked for."""
-        wanted = set(zip(*(self.asked[c].tolist() for c in ("key", "doc", "sub", "line")), strict=True))
         has = np.flatnonzero(np.isin(self.rows["doc"], self.asked["doc"]))
-        own = zip(*(self.rows[c][has].tolist() for c in ("key", "doc", "sub", "line")), strict=True)
-        for x in has[np.fromiter((o in wanted for o in own), bool, len(has))].tolist():
-            for a in range(self.lo[x], self.hi[x], TILE):
-                y = np.arange(a, min(a + TILE, self.hi[x]))
-                y = y[self.passes(np.full(len(y), x), y)]
-                yield np.full(len(y), x), y, np.zeros(len(y), bool)
+        number = _number(*(np.concatenate([self.asked[c], self.rows[c][has]]) for c in ("key", *ID)))[0]
+        asked = len(self.asked["key"])
+        lines = has[np.isin(number[asked:], number[:asked])]
+        parts = -(-(self.hi - self.lo)[lines] // TILE)  # of their ranges
+        x = np.repeat(lines, parts)
+        a = self.lo[x] + TILE * (np.arange(len(x)) - np.repeat(np.cumsum(parts) - parts, parts))
+        width = np.minimum(TILE, self.hi[x] - a)
+        for part in np.split(np.arange(len(x)), np.flatnonzero(np.diff(np.cumsum(width) // TILE)) + 1):
+            i = np.repeat(x[part], width[part])
+            y = np.repeat(a[part] - np.cumsum(width[part]) + width[part], width[part]) + np.arange(len(i))
+            ok = self.passes(i, y)
+            yield i[ok], y[ok], np.zeros(len(ok), bool)
 
 
 def _home(doc: np.ndarray, sub: np.ndarray, n: int) -> np.ndarray:
@@ -449,11 +502,32 @@ def _asked(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(emit, POSTED)
 
 
-def _sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(ID, words) of lines (ID): their word hashes. Few lines go out to the texts, for many both are shuffled."""
+def _may_be_in(docs: DataFrame, ends: DataFrame, n: int) -> DataFrame:
+    """The docs without most of those whose (id, sub) ends lacks: by a table of bits, of a fixed size, that all tasks get."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column("at").to_numpy(zero_copy_only=False)
+            block = at // (64 * PER_BLOCK)
+            for b in np.unique(block).tolist():
+                own = at[block == b] % (64 * PER_BLOCK)
+                np.bitwise_or.at(blocks.setdefault(b, np.zeros(PER_BLOCK, np.uint64)), own // 64, np.uint64(1) << (own % 64).astype(np.uint64))
+        for b, bits in blocks.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int64()), "bits": pa.array([bits.view(np.int64)], pa.list_(pa.int64()))})
+
+    at = F.xxhash64("id", "sub").bitwiseAND(64 * LONGS - 1)
+    block = F.floor(F.col("at") / (64 * PER_BLOCK)).cast("long")
+    bits = ends.select(at.alias("at")).repartition(n, block).mapInArrow(fill, "block long, bits array<long>")
+    bit = F.call_function("shiftrightunsigned", F.get("bits", (F.shiftright("at", 6) % PER_BLOCK).cast("int")), (F.col("at") % 64).cast("int"))
+    return docs.withColumn("at", at).withColumn("block", block).join(F.broadcast(bits), "block").where(bit.bitwiseAND(1) == 1).select(docs.columns)
+
+
+def _sets(docs: DataFrame, lines: DataFrame, n: int) -> DataFrame:
+    """(ID, words) of lines (ID): their word hashes. Few lines go out to the texts, for many both are shuffled, but of the texts only those that may have any."""
     ends = cut(lines.groupBy(F.col("doc").alias("id"), "sub").agg(F.collect_set("line").alias("wanted")))
     few = ends.agg(F.sum(F.size("wanted")).alias("n")).first().n or 0
-    texts = docs.join(F.broadcast(ends) if few <= BROADCAST else ends.hint("shuffle_hash"), ["id", "sub"])
+    texts = docs.join(F.broadcast(ends), ["id", "sub"]) if few <= BROADCAST else _may_be_in(docs, ends, n).join(ends.hint("shuffle_hash"), ["id", "sub"])
     # Only the lines that are wanted go on, numbered as they come.
     some = F.transform(F.array(F.split("t", "\n")), lambda all_: F.transform("wanted", lambda i: F.get(all_, i)))[0]
     texts = texts.select("id", "sub", "wanted", F.array_join(some, "\n").alias("t"))
@@ -471,7 +545,7 @@ def _sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(*ID).unionByName(pairs.select(*[F.col(b).alias(a) for a, b in zip(ID, ID0, strict=True)]))
+    return pairs.select(F.inline(F.array(F.struct(*ID), F.struct(*[F.col(b).alias(a) for a, b in zip(ID, ID0, strict=True)]))))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -497,7 +571,7 @@ def later_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshol
     release(spark)
     chosen = cut(home(found))
     pairs = chosen.where("doc0 is not null")
-    sets = _sets(docs, _ends(pairs))
+    sets = _sets(docs, _ends(pairs), n)
     gone = cut(chosen.where("doc0 is null").select(*ID).unionByName(_similar(pairs.where("best"), sets, threshold)))
     release(spark)
     # Lines whose best candidates failed: first the others that they named, then all of their keys that may have more.
@@ -513,7 +587,7 @@ def later_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshol
     rest = cut(home(rest).select(*ID, *ID0).join(chosen, [*ID, *ID0], "left_anti"))
     fresh = cut(_ends(rest).distinct().join(sets, ID, "left_anti"))
     if not fresh.isEmpty():
-        sets = sets.unionByName(_sets(docs, fresh))
+        sets = sets.unionByName(_sets(docs, fresh, n))
     return cut(gone.unionByName(_similar(rest, sets, threshold)).distinct())
 
 
@@ -533,6 +607,6 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshol
     t = F.col("row").getField(text)
     kept = F.transform(F.array(F.split(t, "\n")), lambda all_: F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), "lost"), lambda i: F.get(all_, i)))[0]
     stripped = F.when(F.col("lost").isNull(), t).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
+    n_lines = F.octet_length(t) - F.octet_length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
     out = [(stripped if c == text else F.col("row").getField(c)).alias(c) for c in rest]
     return joined.select(*out, F.coalesce(n_lines, F.lit(1)).cast("long").alias("n_lines"), F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_removed"))

@@ -359,3 +359,47 @@ def test_joins_of_lines_build_no_bloom_filters(spark, monkeypatch, tmp_path):
     assert got == later(texts)
     assert any("Join" in p for p in plans)
     assert not any("might_contain" in p for p in plans)
+
+
+def test_texts_without_lines_to_verify_are_not_shuffled(spark, monkeypatch):
+    """Of the texts only those that may have such lines go on to the join with them; none that has is left out."""
+    monkeypatch.setattr(lines, "BROADCAST", 0)
+    plans, own = [], lines.cut
+    monkeypatch.setattr(lines, "cut", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), own(df))[1])
+    texts = corpus(6)
+    assert {(r.doc, r.line) for r in lines.later_lines(table(spark, texts)).collect()} == later(texts)
+    sets = [p for p in plans if "wanted" in p and "MapInArrow" in p]
+    assert sets and all("bits" in p for p in sets)
+    docs = spark.range(3000).selectExpr("id", "hash(id) * 3L as sub", "'x' as t")
+    ends = docs.where("id % 50 = 0").select("id", "sub")
+    kept = {r.id for r in lines._may_be_in(docs, ends, 3).collect()}
+    assert set(range(0, 3000, 50)) <= kept and len(kept) < 70
+
+
+@pytest.mark.parametrize(("seed", "slice_", "tile"), [(0, 7, 5), (1, 1 << 14, 1 << 20)])
+def test_candidates_of_a_bucket(monkeypatch, seed, slice_, tile):
+    """Those named are of the nearest that pass, and `every` names all of the lines asked for; near and far, by slices or one by one."""
+    monkeypatch.setattr(lines, "SLICE", slice_)
+    monkeypatch.setattr(lines, "TILE", tile)
+    r, n = np.random.default_rng(seed), 300
+    rows = {"key": r.integers(0, 3, n), "same": r.integers(0, 1 << 40, n), "b1": r.integers(0, 8, n), "b2": r.integers(0, 4, n), "line": r.integers(0, 3, n), "size": r.integers(5, 30, n), "place": r.integers(0, 2, n), "doc": r.integers(0, 99, n), "sub": np.arange(n)}
+    asked = {c: rows[c][:20] if c in ("key", "doc", "sub", "line") else np.zeros(20, np.int64) for c in rows}
+    met = lines._Bucket({c: [np.concatenate([rows[c], asked[c]]).astype(kind).tobytes()] for c, kind in lines.PACKED.items()}, 0.8)
+    x, y = np.divmod(np.arange(n * n), n)
+    x, y = x[(y >= met.lo[x]) & (y < met.hi[x])], y[(y >= met.lo[x]) & (y < met.hi[x])]
+    ok = met.passes(x, y)
+    want = defaultdict(set)
+    for a, b in zip(x[ok].tolist(), y[ok].tolist()):
+        want[a].add(b)
+    i, j, more = met.first(4)
+    got = defaultdict(list)
+    for a, b in zip(i.tolist(), j.tolist()):
+        got[a].append(b)
+    assert got.keys() == want.keys()
+    for a, found in got.items():
+        assert len(found) == len(set(found)) == min(4, len(want[a])) and set(found) <= want[a]
+        assert sorted(abs(b - a) for b in found) == sorted(abs(b - a) for b in want[a])[: len(found)]
+    assert (more == np.array([len(got[a]) >= 4 for a in i.tolist()])).all()
+    pairs = [(a, b) for e in met.every() for a, b in zip(e[0].tolist(), e[1].tolist())]
+    own = {k for k in range(n) if met.rows["sub"][k] < 20}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, b) for a in own for b in want[a]}
